@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .simhash import simhash_groups
+from .vectors import embedding_links
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,13 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
 }
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import digest_sql, digests, format_parts
 from .common import table
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
@@ -33,13 +34,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    sure = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", sure), (-7, 1, "assistant", sure)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_parts(turns.union(added)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_url_filter": op6_url_filter,
+    "op8_chat_format": op8_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
     "op6_url_filter": verdict_sql(),
+    "op8_chat_format": digest_sql(),
 }

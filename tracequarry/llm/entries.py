@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_sql, digests, format_parts
 from .common import table
+from .quality import quality_scores
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
 from .urls import url_verdicts, verdict_sql
@@ -42,7 +43,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_parts(turns.union(added)))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and decision for every document."""
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_url_filter": op6_url_filter,

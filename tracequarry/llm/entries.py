@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_sql, digests, format_parts
 from .common import table
+from .lines import line_dedup, line_dedup_sql
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
@@ -48,8 +49,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without boilerplate lines."""
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_url_filter": op6_url_filter,
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": line_dedup_sql(),
     "op6_url_filter": verdict_sql(),
     "op8_chat_format": digest_sql(),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_sql, digests, format_parts
 from .common import table
+from .decontam import contaminated, contaminated_sql
 from .lines import line_dedup, line_dedup_sql
 from .quality import quality_scores
 from .secret_scan import secret_spans
@@ -54,6 +55,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents repeat."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_url_filter": op6_url_filter,
     "op8_chat_format": op8_chat_format,
+    "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -68,4 +76,5 @@ ORACLE: dict[str, str] = {
     "op3_line_dedup": line_dedup_sql(),
     "op6_url_filter": verdict_sql(),
     "op8_chat_format": digest_sql(),
+    "op9_decontamination": contaminated_sql(),
 }

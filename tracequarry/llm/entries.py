@@ -10,6 +10,7 @@ from .chat import digest_sql, digests, format_parts
 from .common import table
 from .decontam import contaminated, contaminated_sql
 from .lines import line_dedup, line_dedup_sql
+from .pieces import encoded, read_vocabulary
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
@@ -61,8 +62,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    return encoded(table(spark, sf_dir, "documents"), read_vocabulary(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,

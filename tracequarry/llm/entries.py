@@ -10,6 +10,7 @@ from .chat import digest_sql, digests, format_parts
 from .common import table
 from .decontam import contaminated, contaminated_sql
 from .lines import line_dedup, line_dedup_sql
+from .ngrams import lm_scores
 from .pieces import encoded, read_vocabulary
 from .quality import quality_scores
 from .secret_scan import secret_spans
@@ -67,6 +68,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), read_vocabulary(spark))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_lm_score": op7_lm_score,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,

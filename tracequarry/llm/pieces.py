@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 #: The mark that stands for a space.
 MARK = "▁"
@@ -236,11 +237,10 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def _with(docs: DataFrame, column: str, kind: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def _with(docs: DataFrame, column: str, kind: DataType, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """docs with another column, which make adds last; one of that name is replaced."""
     kept = docs.select(*[c for c in docs.columns if c != column])
-    types = kept.schema.add(column, kind)
-    return kept.mapInArrow(make, types)
+    return kept.mapInArrow(make, StructType([*kept.schema.fields, StructField(column, kind)]))
 
 
 def encode_texts(docs: DataFrame, vocab: Vocabulary, column: str = "ids") -> DataFrame:
@@ -267,7 +267,7 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, column: str = "ids") -> Dat
                         yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, column])
                         flat, ends, start = array("i"), [0], k + 1
 
-    return _with(docs, column, "array<int>", run)
+    return _with(docs, column, ArrayType(IntegerType()), run)
 
 
 def decode_ids(frame: DataFrame, vocab: Vocabulary, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -280,7 +280,7 @@ def decode_ids(frame: DataFrame, vocab: Vocabulary, ids: str = "ids", column: st
             texts = [None if x is None else decoder.decode(x) for x in (v.as_py() for v in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column])
 
-    return _with(frame, column, "string", run)
+    return _with(frame, column, StringType(), run)
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:

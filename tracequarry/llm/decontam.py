@@ -17,10 +17,13 @@ _WORDS = r"filter(split(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '')"
 
 
 def _shingled(frame: DataFrame) -> DataFrame:
-    """Adds sh, the hashes of a text's shingles in order; texts with fewer words have none."""
-    hashed = frame.withColumn("words", F.expr(f"transform({_WORDS}, w -> xxhash64(w))"))
+    """Adds sh, the hashes of a text's shingles in order; texts with fewer words have none.
+
+    The words are the argument of a lambda, so that they are made once however Spark moves the expression.
+    """
     each = ", ".join(f"words[i + {k}]" for k in range(SHINGLE))
-    return hashed.withColumn("sh", F.expr(f"IF(size(words) < {SHINGLE}, CAST(array() AS array<bigint>), transform(sequence(0, size(words) - {SHINGLE}), i -> xxhash64({each})))")).drop("words")
+    shingles = f"IF(size(words) < {SHINGLE}, CAST(array() AS array<bigint>), transform(sequence(0, size(words) - {SHINGLE}), i -> xxhash64({each})))"
+    return frame.withColumn("sh", F.expr(f"transform(array(transform({_WORDS}, w -> xxhash64(w))), words -> {shingles})[0]"))
 
 
 def _numbered(of: str) -> str:
@@ -65,16 +68,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = items.select("item_id", "m", F.explode(F.array_distinct("sh")).alias("h"))
     few = known.count() <= BROADCAST
     texts = _keyed(docs.select("doc_id", "text"))
-    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("__k1", "__k2", F.posexplode("sh").alias("at", "h"))
+    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("__k1", "__k2", F.posexplode_outer("sh").alias("at", "h"))
     met = each.join(F.broadcast(known) if few else known, "h")
     need = f"CAST(ceil({2 * SIMILAR / (1 + SIMILAR)} * m - 1e-6) AS INT)"
     met = met.groupBy("__k1", "__k2", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {need}")
     starts = F.expr(f"transform(filter(sequence(0, size(ats) - {need}), k -> ats[k + {need} - 1] < ats[k] + m), k -> ats[k])")
     windows = met.select("__k1", "__k2", "m", F.explode(starts).alias("start")).distinct()
     windows = saved(windows.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("m", "start")).alias("windows")), "benchmark-windows")
-    hit = _shingled(texts.join(windows, ["__k1", "__k2"])).select("__k1", "__k2", "doc_id", "sh", F.explode("windows").alias("w"))
+    hit = _shingled(texts.join(windows, ["__k1", "__k2"])).select("__k1", "__k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))
     cut = hit.select("__k1", "__k2", "doc_id", "w.m", "w.start", F.expr("array_sort(slice(sh, w.start + 1, w.m))").alias("cut"))
-    cut = cut.select("__k1", "__k2", "doc_id", "m", "start", F.expr(_numbered("cut")).alias("bag"), F.expr(_simhash("cut")).alias("fp"))
+    both = f"transform(array(cut), cut -> named_struct('bag', {_numbered('cut')}, 'fp', {_simhash('cut')}))[0]"
+    cut = cut.select("__k1", "__k2", "doc_id", "m", "start", F.expr(both).alias("made")).select("__k1", "__k2", "doc_id", "m", "start", "made.bag", "made.fp")
     left = cut.withColumn("block", F.explode(F.expr(_blocks())))
     right = items.select("item_id", "m", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks())).alias("block"))
     pairs = left.join(F.broadcast(right) if few else right, ["m", "block"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")

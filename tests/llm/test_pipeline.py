@@ -12,7 +12,7 @@ from tracequarry.llm.quality import quality_scores
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_decontam import plain as leaks  # noqa: E402
 from test_lines import plain as without_lines  # noqa: E402
-from test_simhash import groups  # noqa: E402
+from test_simhash import plain_groups  # noqa: E402
 
 
 def key(doc_id):
@@ -27,7 +27,7 @@ def test_run_against_brute_force(spark):
     rows = {r.doc_id: rows[r.doc_id] for r in quality_scores(docs).collect() if r.kept}
     cut = [eval(x) for x in without_lines([(d, t, s) for d, (t, s) in rows.items()])]  # noqa: S307
     rows = {d: t for d, n, t in cut if not n or t.strip(" ")}
-    component = groups(rows)
+    component = {d: c for d, _, c in plain_groups(list(rows.items()))}
     rows = {d: t for d, t in rows.items() if component[d] == d}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     gone = {d for d, _ in leaks(list(rows.items()), items)}

@@ -25,7 +25,7 @@ from .common import saved
 #: Folds of the documents: how many, the one that is not learned from, and the deleted one.
 FOLDS, HELD_OUT, DELETED = 5, 1, 2
 #: Words of a block, and words of the corpus for each shard of the counts, about.
-BLOCK, SHARD = 1 << 20, 1 << 22
+BLOCK, SHARD = 1 << 20, 1 << 21
 #: Steps in which probabilities and counts are told apart for the weights, per factor of two.
 STEPS = 4
 #: Keys of the start and the end of a text; words are not empty and have no space.
@@ -39,13 +39,16 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs."""
-    most = int(x.max()) if len(x) else 0
-    return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(k[2]))).tobytes()
+    """Whole numbers in as many bytes each as the largest needs; all lowest bytes first, so that zeros lie together."""
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    whole = np.zeros((n, 8), np.uint8)
+    if n:
+        whole[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return whole.view("<i8").reshape(-1)
 
 
 def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,14 +174,18 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
 def _answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     """The sums of a shard for each block that asked, and a row (block -1) of what the shard holds."""
     grams, shard = key[0].as_py(), key[1].as_py()
-    rows = asked.select(["block", "deleted", "keys", "counts"]).to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-    counts = [_unpacked(r["counts"], len(k)) for r, k in zip(rows, keys, strict=True)]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
-    gone = np.bincount(at, np.concatenate([c * r["deleted"] for c, r in zip(counts, rows, strict=True)]), len(distinct)).astype(np.int64)
+    blocks, deleted = asked["block"].to_pylist(), asked["deleted"].to_pylist()
+    keys = [np.frombuffer(k.as_buffer(), "<u8") for k in asked["keys"]]
     ends = np.cumsum([len(k) for k in keys])
-    found = [(r["block"], grams, shard, _packed(total[part]), _packed(gone[part]), None, None, None) for r, part in zip(rows, np.split(at, ends[:-1]), strict=True)]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total, gone = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    parts = np.split(at, ends[:-1])
+    for part, counts, is_deleted in zip(parts, asked["counts"], deleted, strict=True):
+        n = _unpacked(counts.as_py(), len(part))  # keys of a block are distinct, so each place is added to once
+        total[part] += n
+        if is_deleted:
+            gone[part] += n
+    found = [(block, grams, shard, _packed(total[part]), _packed(gone[part]), None, None, None) for block, part in zip(blocks, parts, strict=True)]
     words = distinct != np.uint64(START) if grams == 1 else np.ones(len(distinct), bool)
     found.append((-1, grams, shard, None, None, int((total[words] > 0).sum()), int(total[words].sum()), int(gone[words].sum())))
     return pa.Table.from_batches([_batch(found, _schema(ANSWERED))])

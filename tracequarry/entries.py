@@ -281,7 +281,7 @@ def a4_context_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_text("a5_thread_running", """, r AS (SELECT ts, dur FROM schd JOIN thr USING (utid) WHERE tid = 42)
-SELECT count(*) > 0 AS is_running, CAST(coalesce(sum(dur), 0) AS BIGINT) AS run_time_ns, 100.0 * coalesce(sum(dur), 0)::DOUBLE / (SELECT (max(coalesce(ts + dur, ts)) - min(ts))::DOUBLE FROM schd) AS run_percent, count(*) AS sched_count, coalesce(sum(dur), 0)::DOUBLE / count(dur) AS avg_timeslice_ns FROM r""")
+SELECT count(*) > 0 AS is_running, CAST(coalesce(sum(dur), 0) AS BIGINT) AS run_time_ns, 100.0 * coalesce(sum(dur), 0)::DOUBLE / (SELECT (max(coalesce(ts + dur, ts)) - min(ts))::DOUBLE FROM schd) AS run_percent, count(*) AS sched_count, coalesce(sum(dur)::DOUBLE / nullif(count(dur), 0), 0) AS avg_timeslice_ns FROM r""")
 def a5_thread_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return analyzer.thread_running(t["sched"], t["thread"], 42)

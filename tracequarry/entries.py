@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.store import kept
 from .functions.text import BUSY, IDLE_LEVEL, STATES, UNKNOWN_STATE, VIRTUALISATION
 from .operators import analyzer, crash, derive, frequency
 from .plans.rules import abnormal, backward_times, stall_level, switch_meaning
@@ -124,7 +125,14 @@ def _switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return derive.trace_tables(_events(spark, sf_dir), width=DAY)
+    """Tables over events that are parsed once and stored, as TraceFile.build_index() does for a trace."""
+    return derive.trace_tables(kept(_events(spark, sf_dir), "events"), width=DAY)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """sched and thread, stored, as analyses read them more than once."""
+    t = _tables(spark, sf_dir)
+    return kept(t["sched"], "sched"), kept(t["thread"], "thread")
 
 
 @_text("src1_events", """SELECT pc AS task, CAST(p AS BIGINT) AS pid, CAST(cpu AS INT) AS cpu, 'd...' AS flags, ts, 'sched_switch' AS event, pc AS prev_comm, p AS prev_pid, 120 AS prev_prio, st AS prev_state, uc AS next_comm, u AS next_pid, CAST(prio AS INT) AS next_prio, CAST(NULL AS VARCHAR) AS wake_comm, CAST(NULL AS BIGINT) AS wake_pid FROM sw
@@ -261,8 +269,8 @@ x AS (SELECT ts // {HOUR} AS bin, 1 AS n, 0 AS busy FROM t UNION ALL
   SELECT bin, 0, least(ts + dur, (bin + 1) * {HOUR}) - greatest(ts, bin * {HOUR}) FROM (SELECT ts, dur, unnest(range(ts // {HOUR}, (ts + dur - 1) // {HOUR} + 1)) AS bin FROM t JOIN thr USING (utid) WHERE tid <> 0 AND dur > 0))
 SELECT bin, (SELECT min(ts) FROM schd) + bin * {HOUR} AS bin_start, CAST(sum(n) AS BIGINT) AS event_count, sum(busy)::DOUBLE / ({HOUR} * (SELECT count(DISTINCT cpu) FROM schd)) AS cpu_util FROM x GROUP BY bin""")
 def a2_time_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.time_distribution(t["sched"], t["thread"], HOUR)
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.time_distribution(sched, thread, HOUR)
 
 
 _CONTEXT = "CASE kind WHEN 'user' THEN 'user_process' ELSE kind END"
@@ -270,27 +278,27 @@ _CONTEXT = "CASE kind WHEN 'user' THEN 'user_process' ELSE kind END"
 
 @_text("a3_contexts", f"""SELECT {_CONTEXT} AS context, count(*) AS count, count(DISTINCT utid) AS threads, 100.0 * coalesce(sum(dur), 0)::DOUBLE / (SELECT sum(dur)::DOUBLE FROM schd) AS time_percent FROM schd JOIN knd USING (utid) GROUP BY kind""")
 def a3_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.contexts(t["sched"], t["thread"])
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.contexts(sched, thread)
 
 
 @_text("a4_context_timeline", f"SELECT ts AS start, ts + dur AS end, {_CONTEXT} AS context, tid AS pid, name AS comm FROM schd JOIN knd USING (utid) WHERE cpu = 3")
 def a4_context_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.context_timeline(t["sched"], t["thread"], 3)
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.context_timeline(sched, thread, 3)
 
 
 @_text("a5_thread_running", """, r AS (SELECT ts, dur FROM schd JOIN thr USING (utid) WHERE tid = 42)
 SELECT count(*) > 0 AS is_running, CAST(coalesce(sum(dur), 0) AS BIGINT) AS run_time_ns, 100.0 * coalesce(sum(dur), 0)::DOUBLE / (SELECT (max(coalesce(ts + dur, ts)) - min(ts))::DOUBLE FROM schd) AS run_percent, count(*) AS sched_count, coalesce(sum(dur)::DOUBLE / nullif(count(dur), 0), 0) AS avg_timeslice_ns FROM r""")
 def a5_thread_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.thread_running(t["sched"], t["thread"], 42)
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.thread_running(sched, thread, 42)
 
 
 @_text("a6_cpu_time", "SELECT tid AS pid, CAST(sum(dur) AS BIGINT) AS time_ns, 100.0 * sum(dur)::DOUBLE / (SELECT (max(coalesce(ts + dur, ts)) - min(ts))::DOUBLE FROM schd) AS percent FROM schd JOIN thr USING (utid) WHERE tid IN (1, 42, 77, 0) GROUP BY tid")
 def a6_cpu_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.cpu_time(t["sched"], t["thread"], [1, 42, 77, 0])
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.cpu_time(sched, thread, [1, 42, 77, 0])
 
 
 _OFF = f"o AS (SELECT utid, ts + dur AS gap_start, lead(ts) OVER (PARTITION BY utid ORDER BY ts, id) AS gap_end, cpu FROM schd), gp AS (SELECT o.*, gap_end - gap_start AS duration_ns, tid AS pid, name AS comm FROM o JOIN thr USING (utid) WHERE gap_end - gap_start > {24 * HOUR})"
@@ -300,8 +308,8 @@ _OFF = f"o AS (SELECT utid, ts + dur AS gap_start, lead(ts) OVER (PARTITION BY u
   FROM gp JOIN schd r ON r.cpu = gp.cpu AND r.ts < gap_end AND r.ts + r.dur > gap_start JOIN knd k ON k.utid = r.utid GROUP BY ALL)
 SELECT utid, pid, comm, gap_start, gap_end, duration_ns, cpu, arg_max({_CONTEXT}, (shared, kind)) AS dominant_context, CAST(sum(n) AS BIGINT) AS processes FROM c GROUP BY ALL""")
 def a7_thread_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return analyzer.gap_activity(analyzer.thread_gaps(t["sched"], t["thread"], None, 24 * HOUR, DAY), t["sched"], t["thread"], DAY)
+    sched, thread = _runs(spark, sf_dir)
+    return analyzer.gap_activity(analyzer.thread_gaps(sched, thread, None, 24 * HOUR, DAY), sched, thread, DAY)
 
 
 @_text("q10_grouped", "SELECT CAST(cpu AS INT) AS cpu, st AS prev_state, count(*) AS count FROM sw WHERE cpu IN (1, 2, 5) AND st IN ('D', 'S') AND (p IN (9, 10, 13) OR u IN (9, 10, 13)) GROUP BY ALL")

@@ -82,12 +82,19 @@ def thread_states(events: DataFrame, width: int = WIDTH) -> DataFrame:
     A wake-up of a thread that runs or may run already changes nothing and is dropped. Of changes at one time, the switch
     away comes first, then the wake-up, then the switch to the thread.
     """
-    switched, number = switches(events), line_id(events)
-    none, long = F.lit(None), "long"
-    away = switched.where("prev_pid IS NOT NULL AND prev_state IS NOT NULL").select("ts", "place", F.lit(0).alias("kind"), utid_of("prev_pid", "cpu").alias("utid"), F.col("prev_state").alias("state"), none.cast(long).alias("waker_utid"), none.cast(long).alias("ucpu"), (number * 4).alias("id"))
-    woken = events.where("wake_pid > 0").select("ts", "place", F.lit(1).alias("kind"), utid_of("wake_pid", "cpu").alias("utid"), F.lit("R").alias("state"), utid_of("pid", "cpu").alias("waker_utid"), none.cast(long).alias("ucpu"), (number * 4 + 1).alias("id"))
-    to = switched.select("ts", "place", F.lit(2).alias("kind"), utid_of("next_pid", "cpu").alias("utid"), F.lit("Running").alias("state"), none.cast(long).alias("waker_utid"), F.col("cpu").cast(long).alias("ucpu"), (number * 4 + 2).alias("id"))
-    changes = neighbour(away.unionByName(woken).unionByName(to), ["utid"], "ts", ["kind", "place"], ["state"], "before", width, -1)
+    number, switched, none = line_id(events) * 4, "event = 'sched_switch' AND next_pid IS NOT NULL", F.lit(None).cast("long")
+
+    def change(kind: int, if_so: str, pid: str, state: Column, waker: Column, ucpu: Column) -> Column:
+        made = F.struct(F.lit(kind).alias("kind"), utid_of(pid, "cpu").alias("utid"), state.alias("state"), waker.alias("waker_utid"), ucpu.alias("ucpu"), (number + kind).alias("id"))
+        return F.when(F.expr(if_so), made)
+
+    made = F.array(
+        change(0, f"{switched} AND prev_pid IS NOT NULL AND prev_state IS NOT NULL", "prev_pid", F.col("prev_state"), none, none),
+        change(1, "wake_pid > 0", "wake_pid", F.lit("R"), utid_of("pid", "cpu"), none),
+        change(2, switched, "next_pid", F.lit("Running"), none, F.col("cpu").cast("long")),
+    )
+    every = events.select("ts", "place", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("ts", "place", "x.*")
+    changes = neighbour(every, ["utid"], "ts", ["kind", "place"], ["state"], "before", width, -1)
     real = changes.where("NOT (kind = 1 AND coalesce(before.state, '') IN ('R', 'R+', 'Running'))").drop("before")
     found = neighbour(real, ["utid"], "ts", ["kind", "place"], ["ts"], "next", width)
     return shaped(found.withColumn("dur", F.col("next.ts") - F.col("ts")), "thread_state")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import neighbour
+from ..functions.ordered import last_known, neighbour
 from ..functions.text import process_type
 from .derive import WIDTH
 
@@ -57,8 +57,6 @@ def hotspots(distribution: DataFrame, bin_ns: int = 1_000_000, threshold: float
     high = distribution.where(F.col("cpu_util") > threshold)
     marked = neighbour(high, [], "bin", [], ["bin"], "before", width_bins, -1)
     firsts = marked.withColumn("first", F.when(F.col("before").isNull() | (F.col("before.bin") < F.col("bin") - 1), F.col("bin")))
-    from ..functions.ordered import last_known
-
     grouped = last_known(firsts.drop("before"), [], "bin", [], F.col("first"), "island", width_bins)
     return grouped.groupBy("island").agg(F.min("bin_start").alias("start"), (F.max("bin_start") + bin_ns).alias("end"), F.avg("cpu_util").alias("util")).drop("island")
 

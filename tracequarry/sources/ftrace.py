@@ -42,7 +42,8 @@ def parse_events(lines: DataFrame) -> DataFrame:
     """
     value = F.translate("value", "\x01", " ")
     usable = lines.where(~F.col("value").startswith("#") & (F.col("value") != "") & ~F.contains("value", F.lit("buffer started")))
-    parts = usable.select("place", F.split(F.regexp_replace(value, LINE, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01").alias("p")).where("size(p) = 6")
+    # as the output of a generator the parts are made once: filters on them don't move below it
+    parts = usable.select("place", F.explode_outer(F.array(F.split(F.regexp_replace(value, LINE, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01"))).alias("p")).where("size(p) = 6")
     found = parts.select(
         F.col("p")[0].alias("task"), F.col("p")[1].try_cast("long").alias("pid"), F.col("p")[2].try_cast("int").alias("cpu"), F.col("p")[2].alias("cpu_text"), F.col("p")[3].alias("flags"),
         F.col("p")[4].try_cast("decimal(20,9)").alias("ts_sec"), F.col("p")[5].alias("message"), "place",

@@ -96,17 +96,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated_sql() -> str:
     """doc_id, item_id, similarity and start over documents and benchmark, for DuckDB, by the same words without sketches."""
-    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '')"
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     gram = " || ' ' || ".join(f"ws[i + {k}]" for k in range(SHINGLE))
     return f"""
 WITH d AS (SELECT doc_id, {words} AS ws FROM documents), b AS (SELECT item_id, {words} AS ws FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, i - 1 AS at, {gram} AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM d)),
+ds AS (SELECT DISTINCT doc_id, i - 1 AS pos, {gram} AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM d)),
 bs AS (SELECT item_id, i, len(ws) - {SHINGLE - 1} AS m, {gram} AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM b)),
 bc AS (SELECT item_id, m, g, count(*) AS n FROM bs GROUP BY ALL),
-hit AS (SELECT doc_id, item_id, m, at, g FROM ds JOIN bc USING (g)),
-w AS (SELECT s.doc_id, s.item_id, s.m, s.at AS start, h.g, count(*) AS n FROM hit s JOIN hit h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.at BETWEEN s.at AND s.at + s.m - 1 GROUP BY ALL),
-c AS (SELECT w.doc_id, w.item_id, w.m, w.start, sum(least(w.n, bc.n)) AS both FROM w JOIN bc USING (item_id, g) GROUP BY ALL),
-e AS (SELECT doc_id, max(at) AS last FROM ds GROUP BY doc_id),
-s AS (SELECT doc_id, item_id, start, CAST(both AS DOUBLE) / (least(m, last - start + 1) + m - both) AS similarity FROM c JOIN e USING (doc_id))
+hit AS (SELECT doc_id, item_id, m, pos, g FROM ds JOIN bc USING (g)),
+w AS (SELECT s.doc_id, s.item_id, s.m, s.pos AS start, h.g, count(*) AS n FROM hit s JOIN hit h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.pos BETWEEN s.pos AND s.pos + s.m - 1 GROUP BY ALL),
+c AS (SELECT w.doc_id, w.item_id, w.m, w.start, sum(least(w.n, bc.n)) AS common FROM w JOIN bc USING (item_id, g) GROUP BY ALL),
+e AS (SELECT doc_id, max(pos) AS last FROM ds GROUP BY doc_id),
+s AS (SELECT doc_id, item_id, start, CAST(common AS DOUBLE) / (least(m, last - start + 1) + m - common) AS similarity FROM c JOIN e USING (doc_id))
 SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INT) AS start FROM s
 WHERE similarity >= {SIMILAR} - 1e-9 GROUP BY doc_id, item_id"""

@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
 import __spark_entry__
-from tracequarry.llm.pieces import MARK, MODEL, Decoder, Encoder, decode_ids, encode_texts, read_vocabulary, vocabulary
+from tracequarry.llm.pieces import MARK, MODEL, Decoder, Encoder, decode_ids, encode_texts, read_model, vocabulary
 
 DATA = open(MODEL, "rb").read()
 
@@ -44,7 +45,7 @@ def odd_texts(n=2000):
 
 
 def ids_of(encoder, texts):
-    return [[i for word in words for i in word] for words in encoder.encode(texts)]
+    return [np.frombuffer(ids, np.int32).tolist() for ids in encoder.encode(texts)]
 
 
 def test_every_document_as_the_library_encodes_it(spark, sf):
@@ -75,7 +76,7 @@ def test_best_sums_by_unigram_scores():
     def best(word):
         found = [(0.0, [])]
         for end in range(1, len(word) + 1):
-            options = [(found[s][0] + vocab.scores[word[s:end]], [*found[s][1], word[s:end]]) for s in range(end) if word[s:end] in vocab.ids]
+            options = [(found[s][0] + vocab.scores[vocab.ids[word[s:end]]], [*found[s][1], word[s:end]]) for s in range(end) if word[s:end] in vocab.ids]
             if word[end - 1] not in vocab.ids:
                 options.append((found[end - 1][0] + vocab.worst, [*found[end - 1][1], word[end - 1]]))
             found.append(max(options, key=lambda x: x[0]))
@@ -84,19 +85,19 @@ def test_best_sums_by_unigram_scores():
     words = {MARK + "".join(rng.choice(f"theraingo{strange}") for _ in range(rng.randrange(1, 12))) for _ in range(500)}
     encoder.learn(words)
     for word in words:
-        ids = encoder.words[word]
-        total = sum(vocab.scores[vocab.names[i]] for i in ids if not 3 <= i < 259) + vocab.worst * word.count(strange)
+        ids = np.frombuffer(encoder.words[word], np.int32).tolist()
+        total = sum(vocab.scores[i] for i in ids if not 3 <= i < 259) + vocab.worst * word.count(strange)
         assert total == pytest.approx(best(word))
         assert Decoder(vocab).decode(ids) == word[1:]
 
 
 def test_odd_rows(spark):
-    vocab = read_vocabulary(spark)
+    model = read_model(spark)
     rows = [(1, None, 5), (2, "", None), (None, "no id", 6), (3, "same", 7), (3, "same", 7), (4, f"mark {MARK} here", 8), (5, "word " * 200_000, 9), (6, "x" * 300_000, 9)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(3)
-    found = encode_texts(frame, vocab)
+    found = encode_texts(frame, model)
     assert found.columns == ["doc_id", "text", "ids"] and dict(found.dtypes)["ids"] == "array<int>"
-    got = {r.doc_id: r for r in decode_ids(found, vocab).collect()}
+    got = {r.doc_id: r for r in decode_ids(found, model).collect()}
     assert found.count() == len(rows) and got[1].ids == [] and got[2].ids == [] and got[1].decoded == ""
     assert all(got[k].decoded == got[k].text for k in (2, 3, 5, 6, None)) and got[4].decoded == "mark   here"
-    assert encode_texts(frame.limit(0), vocab).count() == 0
+    assert encode_texts(frame.limit(0), model).count() == 0

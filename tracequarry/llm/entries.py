@@ -11,7 +11,7 @@ from .common import table
 from .decontam import contaminated, contaminated_sql
 from .lines import line_dedup, line_dedup_sql
 from .ngrams import lm_scores
-from .pieces import encoded, read_vocabulary
+from .pieces import encoded, read_model
 from .quality import quality_scores
 from .secret_scan import secret_spans
 from .simhash import simhash_groups
@@ -65,7 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to its text."""
-    return encoded(table(spark, sf_dir, "documents"), read_vocabulary(spark))
+    return encoded(table(spark, sf_dir, "documents"), read_model(spark))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ MARK = "▁"
 #: Vocabulary file of the queries, as /opt/tokenizers/README.md describes it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a portion of texts, words and pairs that a task remembers, ids of a batch that goes out.
-PORTION, WORDS, PAIRS, IDS = 4 << 20, 1 << 18, 1 << 20, 1 << 20
+PORTION, WORDS, PAIRS, IDS = 2 << 20, 1 << 18, 1 << 19, 1 << 20
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -34,25 +35,25 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 @dataclass
 class Vocabulary:
-    """Pieces with their scores, the ids of bytes (-1: none), and what the file says of spaces."""
+    """Names of the pieces by id (empty: not a piece), their scores, the ids of bytes (-1: none), and the file's settings.
 
-    ids: dict[str, int]
-    scores: dict[str, float]
+    ends has every end of a piece with its id, or -1 if it is not a piece itself.
+    """
+
+    names: list[str]
+    scores: list[float]
     byte_ids: list[int]
     unknown: int
-    names: list[str]
     merges: bool
     first_mark: bool = True
-    longest: int = 0
-    endings: frozenset = field(default=frozenset(), repr=False)
-    worst: float = 0.0
 
     def __post_init__(self):
+        spelling = set(self.byte_ids)
+        self.ids = {name: i for i, name in enumerate(self.names) if name and i not in spelling}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word")
-        self.longest = max(map(len, self.ids), default=0)
-        self.endings = frozenset(p[k:] for p in self.ids for k in range(len(p)))
-        self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -86,18 +87,16 @@ def vocabulary(data: bytes) -> Vocabulary:
     # Field numbers and piece types of the public file format.
     pieces_field, trainer_field, normaliser_field = 1, 2, 3
     normal, unknown_type, user, unused, byte = 1, 2, 4, 5, 6
-    ids, scores, byte_ids, names, unknown, merges, mark = {}, {}, [-1] * 256, [], 0, False, True
+    scores, byte_ids, names, unknown, merges, mark = [], [-1] * 256, [], 0, False, True
     for number, value in _fields(data):
         if number == pieces_field:
             of = dict(_fields(value))
             name, kind = of[1].decode(), of.get(3, normal)
-            score = float(np.frombuffer(of[2], "<f4")[0]) if 2 in of else 0.0
-            if kind in (normal, user, unused):
-                ids[name], scores[name] = len(names), score
-            elif kind == byte:
+            if kind == byte:
                 byte_ids[int(name[3:5], 16)] = len(names)
             elif kind == unknown_type:
                 unknown = len(names)
+            scores.append(float(np.frombuffer(of[2], "<f4")[0]) if 2 in of else 0.0)
             names.append(name if kind in (normal, user, unused, byte) else "")
         elif number == trainer_field:
             merges = dict(_fields(value)).get(3, 1) == 2
@@ -106,104 +105,126 @@ def vocabulary(data: bytes) -> Vocabulary:
             mark = bool(of.get(3, 1))
             if of.get(2) or of.get(4, 1):
                 raise ValueError("the file's normalisation rules aren't supported")
-    return Vocabulary(ids, scores, byte_ids, unknown, names, merges, mark)
+    return Vocabulary(names, scores, byte_ids, unknown, merges, mark)
 
 
-def read_vocabulary(spark: SparkSession, path: str = MODEL) -> Vocabulary:
-    """Reads a model file by Spark, from any store; a vocabulary has a fixed size, so tasks get it whole."""
+def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
+    """Reads a model file by Spark, from any store; its size is fixed, so tasks get it whole."""
     uri = path if "://" in path else f"file://{path}"
-    content = spark.read.format("binaryFile").load(uri).select("content").first()
-    return vocabulary(bytes(content[0]))
+    return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
 
 
 class Encoder:
-    """Finds the pieces of marked words; it remembers words and pairs of pieces, up to WORDS and PAIRS of them."""
+    """Finds the pieces of marked words; it remembers words and pairs of pieces, up to WORDS and PAIRS of them.
+
+    Within the search a piece is its id, and a character without a piece is ~ of its code point.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.words: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: of neighbours that form a piece, the best-scored, leftmost, first."""
-        parts, scores = list(text), self.vocab.scores
+        parts, ids, scores = list(text), self.vocab.ids, self.vocab.scores
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
-                score = scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
+                i = ids.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str, piece: str) -> bool:
-        """Whether merging leaves the two as they are; before is empty at the start of a word."""
-        found = self.pairs.get((before, piece))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return found
-
-    def step(self, word: str, end: int, scores: list[float], lasts: list[str]) -> tuple[float, str]:
-        """Forward score of word[:end] and the last piece of its best path, from those of the shorter prefixes."""
-        vocab = self.vocab
-        found = []
-        for start in range(end - 1, max(end - vocab.longest, 0) - 1, -1):
-            piece = word[start:end]
-            if piece not in vocab.endings:
-                break
-            if piece in vocab.ids:
+    def fits(self, before: int | None, piece: int) -> bool:
+        """Whether merging leaves the two as they are; before is None at the start of a word."""
+        names = self.vocab.names
+        if before is None:
+            return self.merged(names[piece]) == [names[piece]]
+        first = names[before] if before >= 0 else chr(~before)
+        return self.merged(first + names[piece]) == [first, names[piece]]
+
+    def merge_step(self, word: str, end: int, lasts: list[int], starts: list[int]) -> None:
+        """Appends the last piece of word[:end] and its start: the longest one that fits what ends where it starts."""
+        ends, found, start = self.vocab.ends, [], end - 1
+        while start >= 0 and (piece := ends.get(word[start:end])) is not None:
+            if piece >= 0:
                 found.append((start, piece))
-        if vocab.merges:
-            for start, piece in reversed(found):
-                if self.fits(lasts[start], piece):
-                    return 0.0, piece
-            return 0.0, word[end - 1]
-        if not found or found[0][0] != end - 1:
-            found.append((end - 1, word[end - 1]))
-        return max(((scores[s] + vocab.scores.get(p, vocab.worst), p) for s, p in found), key=lambda x: x[0])
-
-    def spelled(self, piece: str) -> list[int]:
-        """The ids of a piece: its own, or those of its bytes."""
-        own = self.vocab.ids.get(piece)
-        if own is not None:
-            return [own]
-        spelled = [self.vocab.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        return spelled if min(spelled) >= 0 else [self.vocab.unknown]
+            start -= 1
+        pairs = self.pairs
+        for start, piece in reversed(found):
+            key = (lasts[start] << 20) + piece if start else (1 << 60) + piece
+            fits = pairs.get(key)
+            if fits is None:
+                if len(pairs) >= PAIRS:
+                    pairs.clear()
+                fits = pairs[key] = self.fits(lasts[start] if start else None, piece)
+            if fits:
+                lasts.append(piece)
+                starts.append(start)
+                return
+        lasts.append(~ord(word[end - 1]))
+        starts.append(end - 1)
+
+    def score_step(self, word: str, end: int, lasts: list[int], starts: list[int], sums: list[float]) -> None:
+        """Appends the last piece of the best path to word[:end], its start and the path's sum of scores."""
+        vocab, start = self.vocab, end - 1
+        best = (sums[start] + vocab.worst, ~ord(word[start]), start)
+        while start >= 0 and (piece := vocab.ends.get(word[start:end])) is not None:
+            if piece >= 0 and (start == end - 1 or sums[start] + vocab.scores[piece] > best[0]):
+                best = (sums[start] + vocab.scores[piece], piece, start)
+            start -= 1
+        sums.append(best[0])
+        lasts.append(best[1])
+        starts.append(best[2])
+
+    def spelled(self, piece: int) -> list[int]:
+        """The ids of a piece: its own, or those of an unknown character's bytes."""
+        if piece >= 0:
+            return [piece]
+        found = [self.vocab.byte_ids[b] for b in chr(~piece).encode("utf-8", "replace")]
+        return found if min(found) >= 0 else [self.vocab.unknown]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encodes distinct words in the order of their trie, depth first."""
-        before, scores, lasts = "", [0.0], [""]
+        """Encodes distinct words in the order of their trie, depth first: what a word shares with the last one stays."""
+        before, merges = "", self.vocab.merges
+        lasts, starts, sums = [0], [0], [0.0]
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del scores[shared + 1 :], lasts[shared + 1 :]
+            del lasts[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                score, last = self.step(word, end, scores, lasts)
-                scores.append(score)
-                lasts.append(last)
-            before, path, at = word, [], len(word)
+                if merges:
+                    self.merge_step(word, end, lasts, starts)
+                else:
+                    self.score_step(word, end, lasts, starts, sums)
+            path, at = array("i"), len(word)
             while at:
-                path.append(lasts[at])
-                at -= len(lasts[at])
-            self.words[word] = [i for piece in reversed(path) for i in self.spelled(piece)]
+                if lasts[at] >= 0:
+                    path.append(lasts[at])
+                else:
+                    path.extend(reversed(self.spelled(lasts[at])))
+                at = starts[at]
+            path.reverse()
+            self.words[word] = path.tobytes()
+            before = word
 
     def marked(self, text: str) -> list[str]:
         """The marked words of a text."""
         return _WORD.findall((MARK if self.vocab.first_mark and text else "") + text.replace(" ", MARK))
 
-    def encode(self, texts: list[str]) -> Iterator[Iterator[list[int]]]:
-        """For each text the ids of its words, in order."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text its ids, as 32-bit numbers."""
         cut = [self.marked(t) for t in texts]
         every = set().union(*cut)
         if len(self.words) + len(every) > WORDS:
-            self.words.clear()
+            self.words = {w: ids for w, ids in self.words.items() if w in every}
         self.learn(every.difference(self.words))
         for words in cut:
-            yield map(self.words.__getitem__, words)
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 class Decoder:
@@ -223,6 +244,12 @@ class Decoder:
         return text[1:] if self.vocab.first_mark and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def _encoder(model: bytes) -> Encoder:
+    """An encoder for each process, so that tasks that follow each other share what it remembers."""
+    return Encoder(vocabulary(model))
+
+
 def _portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Texts from a batch, about PORTION characters at a time, with the place of the first; null counts as empty."""
     first, held, size = 0, [], 0
@@ -243,38 +270,37 @@ def _with(docs: DataFrame, column: str, kind: DataType, make: Callable[[Iterator
     return kept.mapInArrow(make, StructType([*kept.schema.fields, StructField(column, kind)]))
 
 
-def encode_texts(docs: DataFrame, vocab: Vocabulary, column: str = "ids") -> DataFrame:
+def encode_texts(docs: DataFrame, model: bytes, column: str = "ids") -> DataFrame:
     """Adds the ids (array of int) of each whole text of docs(text) and keeps all rows and other columns.
 
-    A column that has the name already is replaced. A null or empty text has no ids; a character without a piece is
-    spelled in bytes, or is the unknown id where the vocabulary has no bytes. There is no shuffle: each task encodes what
-    it reads, in portions, so memory is bounded by the longest text and the caches.
+    model is a SentencePiece file. A column that has the name already is replaced. A null or empty text has no ids; a
+    character without a piece is spelled in bytes, or is the unknown id where the vocabulary has no bytes. There is no
+    shuffle: each task encodes what it reads, in portions, so memory is bounded by the longest text and the caches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab)
+        encoder = _encoder(model)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for first, texts in _portions(batch.column(at)):
-                flat, ends, start = array("i"), [0], 0
-                for k, words in enumerate(encoder.encode(texts)):
-                    for ids in words:
-                        flat.extend(ids)
-                    ends.append(len(flat))
-                    if len(flat) >= IDS or k == len(texts) - 1:
-                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                parts, ends, start = [], [0], 0
+                for k, ids in enumerate(encoder.encode(texts)):
+                    parts.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
+                    if ends[-1] >= IDS or k == len(texts) - 1:
+                        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                         part = batch.slice(first + start, k + 1 - start)
                         yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, column])
-                        flat, ends, start = array("i"), [0], k + 1
+                        parts, ends, start = [], [0], k + 1
 
     return _with(docs, column, ArrayType(IntegerType()), run)
 
 
-def decode_ids(frame: DataFrame, vocab: Vocabulary, ids: str = "ids", column: str = "decoded") -> DataFrame:
+def decode_ids(frame: DataFrame, model: bytes, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """Adds the text that the ids of frame(ids) stand for; null ids give null. A column of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocab)
+        decoder = Decoder(_encoder(model).vocab)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             texts = [None if x is None else decoder.decode(x) for x in (v.as_py() for v in batch.column(at))]
@@ -283,14 +309,27 @@ def decode_ids(frame: DataFrame, vocab: Vocabulary, ids: str = "ids", column: st
     return _with(frame, column, StringType(), run)
 
 
-def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+def encoded(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, lossless and ids of each row of docs(doc_id, text), by encoding and decoding.
 
     lossless says whether decoding the ids gives the text again; it does but for texts with the mark itself (it comes
-    back as a space) or with what the vocabulary can't spell. A null text counts as empty.
+    back as a space) or with what the vocabulary can't spell. A null text counts as empty. Both ways are gone in one pass,
+    so that a task has one Python process.
     """
-    found = decode_ids(encode_texts(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), vocab), vocab)
-    lossless = (F.col("decoded") == F.col("text")).alias("lossless")
-    low, high = min(vocab.byte_ids), max(vocab.byte_ids)
-    spelled = F.size(F.filter("ids", lambda i: (i >= low) & (i <= high))) if low >= 0 else F.lit(0)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), spelled.cast("long").alias("n_byte_tokens"), lossless, "ids")
+    byte_ids = np.array(vocabulary(model).byte_ids, np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model)
+        decoder = Decoder(encoder.vocab)
+        for batch in batches:
+            for first, texts in _portions(batch.column(1)):
+                rows = []
+                for text, data in zip(texts, encoder.encode(texts), strict=True):
+                    ids = np.frombuffer(data, np.int32)
+                    rows.append((len(ids), int(np.isin(ids, byte_ids).sum()), decoder.decode(ids.tolist()) == text, ids))
+                n, spelled, lossless, ids = zip(*rows, strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(ids)))
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(spelled, pa.int64()), pa.array(lossless), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_byte_tokens", "lossless", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, lossless boolean, ids array<int>")

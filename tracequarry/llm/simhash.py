@@ -95,8 +95,9 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     Rows without doc_id can't be named as copies and stay as they are.
     """
     groups = simhash_groups(docs.where("doc_id IS NOT NULL"))
-    keep = saved(groups.where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
-    kept = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns)
-    if not keep.where("count > 1").isEmpty():
+    told = saved(groups.groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("firsts")).where("firsts <> 1"), "simhash-told")
+    # what goes is less than what stays, and often so little that the texts need no shuffle
+    kept = docs.where("doc_id IS NOT NULL").join(told.where("firsts = 0"), "doc_id", "left_anti").select(*docs.columns)
+    if not told.where("firsts > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id IS NULL"))

@@ -59,3 +59,16 @@ def test_edited_passages_and_odd_rows(spark):
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if not any((d, i) in want for i, _ in items))
     assert contaminated(frame.limit(0), bench).count() == 0 and decontaminate(frame, bench.limit(0)).count() == len(docs)
+
+
+def test_items_cut_at_the_end(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(k, say(n)) for k, n in enumerate((60, 104, 24, 40))]
+    docs = [(10 * k + j, " ".join(say(9) * before + words[: len(words) * share // 1000])) for k, words in items for j, (before, share) in enumerate([(0, 870), (1, 870), (0, 840), (1, 840), (0, 700), (1, 1000)])]
+    items = [(k, " ".join(words)) for k, words in items]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain(docs, items)
+    assert {0, 1, 10, 11, 20, 21} <= {d for d, _ in want}
+    assert got(contaminated(frame, bench)) == want

@@ -61,18 +61,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing. Repeated rows give one result for each doc_id and item_id.
 
     A window has as many shingles as the item. If it is similar enough, so is the one that starts at its first shingle
-    that the item has, and that one holds 2 s / (1 + s) of them in such places; only those windows are made. Their
+    that the item has, and that one holds s / (1 + s) of both's shingles in such places; only those windows are made. A
+    window at the end of a text has fewer shingles than the item, and needs fewer. Their
     fingerprints meet the items' of equal size in blocks, and all pairs within the radius are compared exactly.
     """
     items = saved(_items(benchmark), "benchmark-items")
     known = items.select("item_id", "m", F.explode(F.array_distinct("sh")).alias("h"))
     few = known.count() <= BROADCAST
     texts = _keyed(docs.select("doc_id", "text"))
-    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("__k1", "__k2", F.posexplode_outer("sh").alias("at", "h"))
+    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("__k1", "__k2", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("at", "h"))
     met = each.join(F.broadcast(known) if few else known, "h")
-    need = f"CAST(ceil({2 * SIMILAR / (1 + SIMILAR)} * m - 1e-6) AS INT)"
-    met = met.groupBy("__k1", "__k2", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {need}")
-    starts = F.expr(f"transform(filter(sequence(0, size(ats) - {need}), k -> ats[k + {need} - 1] < ats[k] + m), k -> ats[k])")
+    # the window at ats[k] has least(m, n - ats[k]) shingles, and the item m
+    need = f"CAST(ceil({SIMILAR / (1 + SIMILAR)} * (least(m, n - ats[k]) + m) - 1e-6) AS INT)"
+    met = met.groupBy("__k1", "__k2", "n", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {SIMILAR} * m - 1e-6")
+    enough = f"k + {need} <= size(ats) AND ats[least(k + {need}, size(ats)) - 1] < ats[k] + m"
+    starts = F.expr(f"transform(filter(sequence(0, size(ats) - 1), k -> {enough}), k -> ats[k])")
     windows = met.select("__k1", "__k2", "m", F.explode(starts).alias("start")).distinct()
     windows = saved(windows.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("m", "start")).alias("windows")), "benchmark-windows")
     hit = _shingled(texts.join(windows, ["__k1", "__k2"])).select("__k1", "__k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))

@@ -1,7 +1,7 @@
 import numpy as np
 
 import __spark_entry__
-from tracequarry.llm.quality import BAD, BUCKETS, GOOD, counted, fit_labels, hashed, quality_filter, quality_scores, votes
+from tracequarry.llm.quality import BAD, BUCKETS, GOOD, counted, fit, fit_labels, hashed, quality_filter, quality_scores, votes
 
 
 def test_query_against_labels(spark):
@@ -48,3 +48,17 @@ def test_counts_do_not_depend_on_chunks():
     assert whole.classes.sum() == len(text) and whole.shapes.sum() == len(text) - 3
     assert whole.n_words == 800_000 and whole.lines == 400_000 and whole.repeated_lines == 399_999
     assert all(0 <= b < BUCKETS for b in hashed(whole)[0]) and len(votes(whole)) == 8
+
+
+def test_copies_and_nulls_take_no_places(spark):
+    prose = "The old bridge crosses a quiet river, and people walk over it each day. Some of them stop to look at boats. "
+    rows = [(k, prose + f"Number {k} was seen by my friend near house {k * 7}.") for k in range(300)]
+    rows += [(1000 + k, f"BUY!! NOW!! $$$ %%% x{k} " * (k + 30)) for k in range(60)]
+    extra = [(2000 + k, None) for k in range(20_000)] + [(30_000 + k, rows[3][1]) for k in range(3000)] + [(50_000 + k, " \n") for k in range(3000)]
+    plain = fit(spark.createDataFrame(rows, "doc_id long, text string"), 100_000)[1]
+    more = fit(spark.createDataFrame(extra + rows, "doc_id long, text string").repartition(5), 100_000)[1]
+    turned = fit(spark.createDataFrame(rows[::-1] + extra, "doc_id long, text string").repartition(3), 100_000)[1]
+    assert np.allclose(plain.weights, more.weights, atol=0.02) and abs(plain.bias - more.bias) < 0.02
+    assert np.array_equal(more.weights, turned.weights) and more.bias == turned.bias
+    few = fit(spark.createDataFrame(extra + rows, "doc_id long, text string"), 40)[1]
+    assert few(*hashed(counted(rows[0][1]))) >= 0.5 > few(*hashed(counted(rows[310][1])))

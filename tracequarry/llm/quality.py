@@ -199,17 +199,19 @@ def _pattern_rows(codes: list[int]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, Scorer]:
-    """Label model over the votes of all texts, and a scorer fitted on a hash sample of about fit_rows of them.
+    """Label model over the votes of all texts, and a scorer fitted on a hash sample of about fit_rows distinct ones.
 
-    The driver gets a count for each row of votes, 3^8 at most, and the sample's features, 4 x fit_rows rows at most.
+    The driver gets a count for each row of votes, 3^8 at most, and the sample's features, about fit_rows rows.
     """
     texts = docs.select("text")
     counts = sorted(map(tuple, _map(texts, lambda i, b, x: (code(votes(x)),), "pattern int").groupBy("pattern").count().collect()))
     patterns, times = _pattern_rows([c for c, _ in counts]), np.array([n for _, n in counts], np.float64)
     labels = fit_labels(patterns, times)
-    share = min(1.0, fit_rows / max(1.0, times.sum()))
-    chosen = docs.select("text").where(F.abs(F.xxhash64("text") % 1_000_003) < share * 1_000_003)
-    drawn = _map(chosen, lambda i, b, x: (code(votes(x)), *hashed(x)), "pattern int, at array<int>, value array<double>").limit(4 * fit_rows).collect()
+    # copies are drawn once and texts without a word not at all, so neither takes the places of others
+    worded = docs.select("text", F.xxhash64("text").alias("h")).where(r"text RLIKE '(?U)\\S'")
+    share = min(1.0, fit_rows / max(1, worded.agg(F.approx_count_distinct("h", 0.02)).first()[0]))
+    chosen = worded.where(F.abs(F.col("h") % 1_000_003) < share * 1_000_003).groupBy("h").agg(F.min("text").alias("text"))
+    drawn = _map(chosen, lambda i, b, x: (code(votes(x)), *hashed(x)), "pattern int, at array<int>, value array<double>").collect()
     drawn = sorted(map(tuple, drawn))
     good = labels.posterior(_pattern_rows([r[0] for r in drawn])) if drawn else np.zeros(0)
     return labels, fit_scorer([(np.array(r[1], np.int64), np.array(r[2])) for r in drawn], good)

@@ -12,11 +12,21 @@ from tracequarry.llm.quality import quality_scores
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_decontam import plain as leaks  # noqa: E402
 from test_lines import plain as without_lines  # noqa: E402
-from test_simhash import plain_groups  # noqa: E402
+from test_near import grams, similar  # noqa: E402
 
 
-def key(doc_id):
-    return (doc_id is not None, doc_id or 0)
+def near_groups(rows):
+    """The least doc_id of each document's group, by all pairs of five-word sets."""
+    sets, least = {d: grams(t) for d, t in rows.items()}, {}
+    for d in sorted(sets):
+        if d not in least:
+            least[d], todo = d, [d]
+            while todo:
+                a = todo.pop()
+                new = [b for b in sets if b not in least and similar(sets[a], sets[b])]
+                least.update(dict.fromkeys(new, d))
+                todo += new
+    return least
 
 
 def test_run_against_brute_force(spark):
@@ -27,7 +37,7 @@ def test_run_against_brute_force(spark):
     rows = {r.doc_id: rows[r.doc_id] for r in quality_scores(docs).collect() if r.kept}
     cut = [eval(x) for x in without_lines([(d, t, s) for d, (t, s) in rows.items()])]  # noqa: S307
     rows = {d: t for d, n, t in cut if not n or t.strip(" ")}
-    component = {d: c for d, _, c in plain_groups(list(rows.items()))}
+    component = near_groups(rows)
     rows = {d: t for d, t in rows.items() if component[d] == d}
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     gone = {d for d, _ in leaks(list(rows.items()), items)}

@@ -5,7 +5,7 @@ import xxhash
 
 import __spark_entry__
 from tracequarry.llm.components import components
-from tracequarry.llm.simhash import fingerprint, simhash_dedup, simhash_groups
+from tracequarry.llm.simhash import fingerprint, simhash_groups
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -48,11 +48,37 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash_groups(docs).collect()), key=str)
     assert got == plain_groups(rows)
-    kept = simhash_dedup(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "4", "6", "7", "9", "None", "None"]
     assert simhash_groups(docs.limit(0)).count() == 0
-    assert simhash_dedup(docs.limit(0)).count() == 0
+
+
+def near_texts(n=4000):
+    """A chain of texts whose neighbours' fingerprints are one or two bits apart, and two far texts."""
+    base = [f"w{k}" for k in range(n)]
+    made, prints = [" ".join(base)], [plain_print(" ".join(base))]
+    for k in range(n):
+        words = made[-1].split()
+        words[k] = "other"
+        text = " ".join(words)
+        if 0 < (plain_print(text) ^ prints[-1]).bit_count() <= 2 and all((plain_print(text) ^ p).bit_count() > 2 for p in prints[:-1]):
+            made.append(text)
+            prints.append(plain_print(text))
+            if len(made) == 4:
+                return made
+    raise AssertionError("no chain")
+
+
+def test_missing_and_repeated_ids_lose_no_link(spark):
+    a, b, c, d = near_texts()
+    for rows in (
+        [(5, a), (None, b)],  # linked to a row without id
+        [(9, a), (None, b), (7, c)],  # linked through it only
+        [(1, a), (3, b), (3, "quite another text that stands alone")],  # one id, two texts
+        [(3, "this text is alone"), (3, "that text is too"), (4, d), (3, c), (None, "nothing here at all")],
+        [(2, a), (2, a), (2, a), (8, b), (8, b)],
+    ):
+        docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+        got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash_groups(docs).collect()), key=str)
+        assert got == plain_groups(rows)
 
 
 def test_chunks_make_no_difference():

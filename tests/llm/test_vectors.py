@@ -10,7 +10,7 @@ def brute(rows, threshold=0.93):
     """rows: (vec_id, embedding, label); n_links and component by all pairs."""
     units = []
     for v, e, label in rows:
-        fit = v is not None and label is not None and e and all(c is not None and math.isfinite(c) for c in e) and any(e)
+        fit = label is not None and e and all(c is not None and math.isfinite(c) for c in e) and any(e)
         units.append((np.array(e) / np.linalg.norm(np.array(e))) if fit else None)
     links = [[] for _ in rows]
     for i in range(len(rows)):
@@ -27,7 +27,7 @@ def brute(rows, threshold=0.93):
                     seen.add(j)
                     todo.append(j)
         least = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
-        out.append((r[0], len(links[i]), least, True if least is None else r[0] == least))
+        out.append((r[0], len(links[i]), least, least is None or r[0] == least))
     return sorted(out, key=str)
 
 
@@ -59,3 +59,16 @@ def test_bounds_lose_no_pair():
     got = {(a, b) for i, j in tile_links(x, None, 0.93) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == {(i, j) for i in range(900) for j in range(i + 1, 900) if x[i] @ x[j] >= 0.93}
     assert len(got) > 100
+
+
+def test_missing_and_repeated_ids_lose_no_link(spark):
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    for rows in (
+        [(1, at(0), 0), (9, at(2), 0), (9, at(90), 0), (4, at(91), 0)],  # one id, two vectors
+        [(5, at(0), 0), (None, at(15), 0), (3, at(30), 0)],  # linked through a row without id only
+        [(None, at(0), 0), (None, at(0), 0), (None, at(10), 0), (None, at(170), 0), (None, at(0), None)],
+        [(2, at(0), 0), (2, at(0), 0), (2, at(0), 1), (1, at(0), 1), (7, at(1), 0)],
+    ):
+        frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, node int")
+        for tile in (4096, 1):
+            assert sorted(map(tuple, embedding_links(frame, tile=tile).collect()), key=str) == brute(rows)

@@ -1,9 +1,10 @@
-"""Helpers that the operators of this subpackage share: tables, the shared folder, saved intermediates."""
+"""Helpers that the operators of this subpackage share: tables, the shared folder, saved intermediates, free names."""
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: what spark.checkpoint.dir or setCheckpointDir() name.
+
+    Where both are unset it is a folder under /tmp for a local master, whose tasks are all on this machine; on a cluster
+    there is none that every executor is known to see, and that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="tracequarry-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file:///tmp/tracequarry-{uuid.uuid4().hex}")
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
@@ -30,3 +37,11 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of the taken ones equals in either case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name

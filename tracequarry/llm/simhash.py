@@ -57,9 +57,11 @@ def ball_pairs(prints: DataFrame) -> DataFrame:
 
     Every fingerprint is dealt to all variants within half the radius: itself and 64 one-bit flips. Two fingerprints at
     distance two or less share a variant, and all that share one are within two bits of each other. A variant is reached
-    by 65 fingerprints at most, so a bit mask holds a whole bucket and no bucket grows with the data.
+    by 65 fingerprints at most, so a bit mask holds a whole bucket and no bucket grows with the data. The fingerprints are
+    few bytes, so adaptive execution would merge them into a task or two; they are dealt out again before they multiply.
     """
-    flips = prints.select("fp").distinct().select("fp", F.explode(F.expr("sequence(-1, 63)")).alias("bit"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flips = prints.select("fp").distinct().repartition(parts, "fp").select("fp", F.explode(F.expr("sequence(-1, 63)")).alias("bit"))
     flips = flips.select(
         F.expr("IF(bit < 0, fp, fp ^ shiftleft(1L, bit))").alias("variant"), F.expr("IF(bit < 0, 0L, shiftleft(1L, bit))").alias("flip"), F.expr("bit < 0").alias("itself")
     )
@@ -71,33 +73,28 @@ def ball_pairs(prints: DataFrame) -> DataFrame:
     return pairs.where("bit_count(a ^ b) <= 2").distinct()
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """Groups the rows of docs(doc_id, text) whose fingerprints are linked, directly or through others.
+def _grouped(found: DataFrame) -> DataFrame:
+    """fp and component_id (the least doc_id among all rows of linked fingerprints) of the fingerprints of found(doc_id, fp).
 
-    Returns doc_id, fp (long), fingerprint (16 hex digits) and component_id (the least doc_id of the group), one row for
-    each row of docs. Equal fingerprints fall together before any pairing, so a group of copies costs one row. Empty and
-    null texts have fingerprint zero and are linked like any other; rows without doc_id belong to the group of their
-    fingerprint but never name it; other columns of docs are ignored. An empty table gives an empty one.
+    The fingerprints are the nodes of the graph, so rows without doc_id link like any other, and texts that share a doc_id
+    stay apart. A group is named last.
     """
-    found = saved(fingerprints(docs), "simhash-prints")
     first = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    pairs = ball_pairs(first.where("first IS NOT NULL"))
-    edges = pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    linked = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), "simhash-links")
-    groups = first.join(linked.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.join(groups, "fp").select("doc_id", "fp", hexed, "component_id")
+    linked = components(ball_pairs(first), "simhash-links").withColumnRenamed("node", "fp")
+    named = linked.join(first, "fp").groupBy("component").agg(F.min("first").alias("least"))
+    return first.join(linked.join(named, "component").select("fp", "least", F.lit(True).alias("is_linked")), "fp", "left").select("fp", F.expr("IF(is_linked, least, first)").alias("component_id"))
 
 
-def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """Keeps the row with the least doc_id of each group, all columns; of rows that repeat its doc_id any one.
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """Groups the rows of docs(doc_id, text) whose fingerprints are linked, directly or through others.
 
-    Rows without doc_id can't be named as copies and stay as they are.
+    Returns doc_id, fp (long), fingerprint (16 hex digits) and component_id (the least doc_id of the group), one row for
+    each row of docs, repeated rows included. Equal fingerprints fall together before any pairing, so a group of copies
+    costs one row. Empty and null texts have fingerprint zero and are linked like any other. Rows without doc_id belong to
+    the group of their fingerprint and link others, but never name it; a group without any doc_id has a null
+    component_id. A very long text is hashed in portions. Other columns of docs are ignored; an empty table gives an
+    empty one.
     """
-    groups = simhash_groups(docs.where("doc_id IS NOT NULL"))
-    told = saved(groups.groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("firsts")).where("firsts <> 1"), "simhash-told")
-    # what goes is less than what stays, and often so little that the texts need no shuffle
-    kept = docs.where("doc_id IS NOT NULL").join(told.where("firsts = 0"), "doc_id", "left_anti").select(*docs.columns)
-    if not told.where("firsts > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    found = saved(fingerprints(docs), "simhash-prints")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.join(_grouped(found), "fp").select("doc_id", "fp", hexed, "component_id")

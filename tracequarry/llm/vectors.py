@@ -72,7 +72,7 @@ def _tile_pair(threshold: float):
         x = flat.reshape(len(side), -1)[order]
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        node, rep, size = (group[c].to_numpy()[order] for c in ("node", "rep", "size"))
+        node, size = (group[c].to_numpy()[order] for c in ("node", "size"))
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         for i, j in tile_links(x[:n_left], None if own else x[n_left:], threshold):
             j = j if own else j + n_left
@@ -80,7 +80,7 @@ def _tile_pair(threshold: float):
             np.add.at(links, j, size[i])
             label = _joined(label, i, j)
         hit = links > 0
-        return pa.table({"node": node[hit], "links": links[hit], "rep": rep[hit], "root": rep[label[hit]]})
+        return pa.table({"node": node[hit], "links": links[hit], "root": node[label[hit]]})
 
     return run
 
@@ -90,27 +90,36 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
 
     vectors: vec_id, embedding (array of float or double), label; other columns are ignored. Returns vec_id, n_links
     (other rows linked directly), component_id (least vec_id reachable) and kept (vec_id = component_id), one row for
-    each row. A row without label or vec_id, or with a null, empty, zero, null-holding or non-finite vector links with
-    nothing; vectors of different lengths don't link. Without vec_id, component_id is null and kept is true.
-
-    Equal vectors fall together first. The rest of a label is dealt to tiles by hash; each pair of tiles is one group,
-    which returns its vectors' link counts and a spanning forest of its links, never the pairs.
+    each row; an empty table gives an empty one. A row without label, or with a null, empty, zero, null-holding or
+    non-finite vector links with nothing; vectors of different lengths don't link. Rows that share a vec_id are rows of
+    their own. Rows without vec_id link like any other but never name a component; one that reaches no vec_id has a null
+    component_id and is kept.
+
+    Equal vectors fall together first: each distinct one is a node. The rest of a label is dealt to tiles by hash; each
+    pair of tiles is one group, which returns its nodes' link counts and a spanning forest of its links, never the pairs.
+    The contract compares all vectors of a label, so the work is a label's square; memory is two tiles.
     """
     base = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    keyed = base.where(fit).withColumns({"dim": F.size("embedding"), "node": F.xxhash64("label", "embedding"), "twin": F.xxhash64(F.reverse("embedding"), "label", F.lit("twin"))})
-    classes = saved(keyed.groupBy("node", "twin").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "vector-classes")
-    firsts = keyed.withColumnRenamed("vec_id", "rep").join(classes, ["node", "twin", "rep"]).dropDuplicates(["node", "twin"])
-    tiles = keyed.groupBy("node", "twin", "label", "dim").count().groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = firsts.join(tiles, ["label", "dim"]).withColumn("mine", F.expr("CAST(pmod(twin, tiles) AS INT)"))
+    fit = F.coalesce(F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    keyed = base.where(fit).withColumns({"dim": F.size("embedding"), "key": F.xxhash64("label", "embedding"), "twin": F.xxhash64(F.reverse("embedding"), "label", F.lit("twin"))})
+    classes = keyed.groupBy("key", "twin", "label", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = saved(classes, "vector-classes")
+    # a class is the node of its least vec_id, or of its hash where another class has that vec_id or none is known
+    shared = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.lit(True).alias("shared"))
+    nodes = classes.drop("embedding").join(shared, "rep", "left").withColumn("node", F.expr("IF(rep IS NULL OR shared, key, rep)")).drop("shared")
+    nodes = saved(nodes, "vector-nodes")
+    tiles = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = classes.select("key", "twin", "embedding").join(nodes, ["key", "twin"]).join(tiles, ["label", "dim"]).withColumn("mine", F.expr("CAST(pmod(twin, tiles) AS INT)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    dealt = dealt.select("label", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("int(mine > other)").alias("side"), "node", "rep", "size", "embedding")
-    found = saved(dealt.groupBy("label", "dim", "i", "j").applyInArrow(_tile_pair(threshold), "node long, links long, rep long, root long"), "vector-links")
+    dealt = dealt.select("label", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.expr("int(mine > other)").alias("side"), "node", "size", "embedding")
+    found = saved(dealt.groupBy("label", "dim", "i", "j").applyInArrow(_tile_pair(threshold), "node long, links long, root long"), "vector-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components").withColumnRenamed("node", "rep")
-    named = classes.join(counts, "node", "left").join(linked, "rep", "left")
-    named = named.select("node", "twin", F.expr("size - 1 + coalesce(links, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    inside = keyed.select("vec_id", "node", "twin").join(named, ["node", "twin"]).select("vec_id", "n_links", "component_id")
+    linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-components")
+    least = linked.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    names = linked.join(least, "component").select("node", "least", F.lit(True).alias("is_linked"))
+    named = nodes.join(counts, "node", "left").join(names, "node", "left")
+    named = named.select("key", "twin", F.expr("size - 1 + coalesce(links, 0)").alias("n_links"), F.expr("IF(is_linked, least, rep)").alias("component_id"))
+    inside = keyed.select("vec_id", "key", "twin").join(named, ["key", "twin"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return inside.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return inside.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -21,6 +21,9 @@ def test_flags(spark, tmp_path, capsys):
     assert len(json.loads(shown("--query-event", "sched_switch", "--time-range", "7541.835", "7542", "--format", "json"))) == 2
     assert shown("--scenario", "1").splitlines()[0].split() == ["cpu", "cpu_time_seconds", "cpu_usage_percent"]
     assert shown("--sql", "SELECT count(*) AS n FROM sched", "--format", "csv") == "n\n3\n\n"
+    (tmp_path / "q.sql").write_text("-- two\nINCLUDE PERFETTO MODULE x;\nSELECT count(*) AS n\nFROM sched;\nSELECT 'a' AS b;\n")
+    assert shown("--sql-file", str(tmp_path / "q.sql"), "--format", "csv") == "n\n3\n\nb\na\n\n"
+    assert json.loads(shown("--stats", "kube-apiserver"))["run_time"] == 0.001
     assert shown("--query-pid", "3711", "--export-csv", str(tmp_path / "out")) == "" and (tmp_path / "out" / "_SUCCESS").exists()
     report = tmp_path / "r.md"
     shown("--report", str(report), "--index", str(tmp_path / "stored"))

@@ -82,6 +82,30 @@ def test_difference(spark):
     assert crash.commands_for("memory") == ["kmem -i", "kmem -s"] and crash.commands_for("other") == []
 
 
+def test_locks_interrupts_and_modules(spark):
+    text = """>>> Command: waitq ffff880000000010
+PID: 7   TASK: ffff880000000007  CPU: 1   COMMAND: "a"
+>>> Command: struct mutex ffff880000000010
+  owner = 0xffff880000000008,
+>>> Command: waitq ffff880000000020
+PID: 8   TASK: ffff880000000008  CPU: 1   COMMAND: "b"
+>>> Command: struct mutex ffff880000000020
+  owner = (struct task_struct *) 0xffff880000000007,
+>>> Command: irq
+ 17:  100  20   IO-APIC-fasteoi  eth0
+>>> Command: timer
+  4295000000  ffff880000000099  ffffffff81075abc  <delayed_work_timer_fn>
+>>> Command: mod
+ffffffffa0001040  ext4  371265  (not loaded)  [CONFIG_KALLSYMS]"""
+    lines = source.sections(spark.createDataFrame([("r", k, t) for k, t in enumerate(text.split("\n"))], "report string, line_no long, text string"))
+    edges = source.wait_edges(lines)
+    assert {(r.lock[-2:], r.task[-1], r.owner[-1]) for r in edges.collect()} == {("10", "7", "8"), ("20", "8", "7")}
+    assert {(r.task[-1], r.length) for r in crash.wait_rings(edges.select("task", "owner")).collect()} == {("7", 2), ("8", 2)}
+    assert [(r.irq, r["count"], r.handler, r.device) for r in source.interrupts(lines.where("section = 'irq'")).collect()] == [(17, 120, "IO-APIC-fasteoi", "eth0")]
+    assert [(r.expires, r.func) for r in source.timers(lines).collect()] == [(4295000000, "delayed_work_timer_fn")]
+    assert [(r.name, r["size"]) for r in source.modules(lines).collect()] == [("ext4", 371265)]
+
+
 def test_borders_of_rules(spark):
     frame = spark.createDataFrame([(10_000,), (10_001,), (100_001,), (1_000_000,), (1_000_001,), (10_000_001,), (None,)], "v long")
     assert [r[0] for r in frame.select(stall_level("v")).collect()] == ["normal", "short", "noticeable", "noticeable", "system", "system", None]

@@ -1,19 +1,21 @@
 """Text parsing, derived tables, the trace API and streaming on small traces with known answers."""
 
 import json
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracequarry.functions.ordered import last_known, neighbour, running_height
+from tracequarry.functions.ordered import last_known, neighbour, running_height, running_sums
 from tracequarry.functions.text import glob, process_type, size_value
-from tracequarry.operators import derive, frequency
-from tracequarry.plans.report import as_csv, as_json, as_table, markdown, register, run_pack
+from tracequarry.operators import analyzer, derive, frequency
+from tracequarry.plans.report import as_csv, as_json, as_table, markdown, register, run_pack, run_statements, statements
 from tracequarry.schemas import TABLES, columns
-from tracequarry.sources.ftrace import kernel_log, kernel_log_header, parse_events, parse_switches, read_lines
+from tracequarry.sources.ftrace import counters, kernel_log, kernel_log_header, parse_events, parse_switches, read_events, read_lines, write_counted
 from tracequarry.streaming.live import active_spells, counts, runs, stream_lines, timed
-from tracequarry.trace import Analyzer, TraceFile
+from tracequarry.trace import Analyzer, QueryResult, TraceFile
 
 ALIGNMENT = [
     "  kworker/u16:0-1234  [000] .... 7541.834000: sched_switch: prev_comm=kworker/u16:0 prev_pid=1234 prev_prio=120 prev_state=S ==> next_comm=swapper/0 next_pid=0 next_prio=120",
@@ -74,6 +76,8 @@ def test_three_lines_through_the_api(trace):
     found = a.classify_contexts()
     assert sorted(found) == ["idle", "irq", "kernel_thread", "softirq", "user_process"]
     assert found["user_process"]["time_percent"] == found["idle"]["time_percent"] == 50.0 and found["user_process"]["processes"] == ["kube-apiserver"]
+    assert t.info()["time_range"] == {"start": 7541.834, "end": 7541.836, "duration": pytest.approx(0.002)} and t.info()["line_count"] == 3 and t.info()["file_size"].endswith(" B")
+    assert {r.comm for r in t.get_processes()} >= {"kube-apiserver", "swapper/0"} and a.check_process_running("kube-apiserver")["run_time"] == 0.001 and not a.check_process_running("nobody")["is_running"]
     run = a.check_process_running(3711)
     assert (run["is_running"], run["run_time"], run["run_percent"], run["sched_count"], run["avg_timeslice_ms"]) == (True, 0.001, 50.0, 1, 1.0)
     assert a.check_process_running(0)["is_running"] and not a.check_process_running(5)["is_running"]
@@ -94,7 +98,8 @@ def test_three_lines_through_the_api(trace):
     assert [tuple(r) for r in q.group_by("cpu").frame.collect()] == [(0, 3)] and q.order_by("ts", False).limit(1).frame.first().pid == 3711
     assert result.filter(F.col("pid") == 0).frame.count() == result.filter(lambda r: r.pid == 0).frame.count() == 1
     assert [r["count"] for r in result.timeline(0.001).orderBy("bin").collect()] == [1, 1, 1]
-    assert result.by_cpu().first()["count"] == 3 and result.by_state().count() == 2 and result.by_process().count() == 3
+    assert [len(v) for v in result.by_cpu().values()] == [3] and {k: len(v) for k, v in result.by_state().items()} == {"S": 2, "R": 1} and sorted(result.by_process()) == [0, 1234, 3711]
+    assert result.by("cpu").first()["count"] == 3 and result[-1].pid == 3711 and len(list(result.events)) == 3
     assert len(json.loads(result.to_json())) == 3 and "next_comm=swapper/0" in result.to_text("raw") and "Total rows: 3" in result.to_text()
     assert result.to_csv().count("\n") == 4 and "count: 3" in result.describe()
 
@@ -132,7 +137,8 @@ def test_kernel_log(spark):
 
 def test_lines_that_are_no_events(spark, trace):
     odd = ["# comment", "", "  cpu 0 buffer started ...", "  bash-12  (  12) [000] d..2. 1.5: x: y", " a-1 [000] d... 1.2.3: x: y", " a-1 [000] d... 1.5: x: y", " b\x01c-2 [001] d... 2.5: x: y\x01z"]
-    assert [(r.task, r.ts, r.event) for r in parse_events(lines_of(spark, odd)).orderBy("ts").collect()] == [("a", 1_500_000_000, "x"), ("b c", 2_500_000_000, "x")]
+    assert [(r.task, r.ts, r.event) for r in parse_events(lines_of(spark, odd)).orderBy("ts").collect()] == [("a", 1_500_000_000, "x"), ("b\x01c", 2_500_000_000, "x")]
+    assert parse_events(lines_of(spark, odd)).where("task = 'b\x01c'").first().message == "x: y\x01z"
     for lines in ([], ["# only a comment"]):
         t = trace(lines)
         assert t.info()["event_count"] == 0 and t.get_duration() == 0.0 and t.get_cpus() == [] and t.summary()
@@ -147,10 +153,18 @@ def test_stored_events_are_pruned(spark, trace, tmp_path):
     t.build_index()
     t.build_index()
     assert t.has_index() and t.info() == before | {"indexed": True}
-    from tracequarry.sources.ftrace import read_events
+
+    def filters(frame):
+        return re.findall(r"PartitionFilters: \[([^\]]*)\]", frame._jdf.queryExecution().executedPlan().toString())
 
     part = read_events(spark, t.index, 100 * 10**9, 200 * 10**9)
-    assert part.count() == 3 and "ts_part" in part._jdf.queryExecution().executedPlan().toString()
+    assert part.count() == 3 and "ts_part" in filters(part)[0]
+    for query in (t.query().time_range(100, 200), t.query().cpu(0, 1, 2).around_time(150, 50), t.query().time_slice(100, 99.999999)):
+        assert query.count() == 3 and "ts_part" in filters(query.frame)[0]
+    assert "ts_part" not in t.query().to_dataframe().columns
+    later = os.path.getmtime(t.path) + 10
+    os.utime(t.path, (later, later))
+    assert not t.has_index()
 
 
 def test_tables_have_their_columns(trace):
@@ -234,6 +248,94 @@ def test_ordered_helpers_against_plain_windows(spark, width):
             height = max(0, height + (1 if r[0] % 2 == 0 else -1))
 
 
+@pytest.mark.parametrize("width", [3, 10**6])
+def test_running_sums_and_gap_activity_against_loops(spark, width):
+    rng = random.Random(width)
+    rows = [(k, rng.choice("ab") if rng.random() < 0.9 else None, rng.randrange(90), rng.randrange(5), rng.choice([None, k])) for k in range(200)]
+    want = {}
+    for key in {r[1] for r in rows}:
+        total, last = 0, None
+        for r in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            want[r[0]] = (total, last)
+            total, last = total + r[3], last if r[4] is None else r[4]
+    got = running_sums(spark.createDataFrame(rows, "id long, key string, at long, v long, w long"), ["key"], "at", ["id"], ["v"], width, F.col("w"))
+    assert {r.id: (r.v, r.last) for r in got.collect()} == want and set(got.columns) == {"id", "key", "at", "v", "w", "last"}
+    names = ["swapper/0", "bash", "kworker/1:0", "irq/3-x", "ksoftirqd/0", "vi"]
+    runs, at = [], [0, 0]
+    for k in range(120):
+        cpu, step = rng.randrange(2), rng.randrange(1, 6)
+        runs.append((k, at[cpu], None if k > 117 else step, cpu, rng.randrange(6)))
+        at[cpu] += step
+    sched = spark.createDataFrame(runs, "id long, ts long, dur long, cpu long, utid long")
+    thread = spark.createDataFrame([(k, k + 1 if k else 0, n) for k, n in enumerate(names)], "utid long, tid long, name string")
+    gaps = analyzer.thread_gaps(sched, thread, None, 3, width)
+    found = {(r.utid, r.gap_start, r.gap_end): (r.dominant_context, r.runs) for r in analyzer.gap_activity(gaps, sched, thread, width).collect()}
+    kinds, want = ["idle", "user", "kernel_thread", "irq", "softirq", "user"], {}
+    for g in gaps.collect():
+        inside = [(min(g.gap_end, t + d) - max(g.gap_start, t), kinds[u]) for _, t, d, c, u in runs if d and c == g.cpu and t < g.gap_end and t + d > g.gap_start]
+        if inside:
+            most = max((sum(x for x, k in inside if k == kind), kind) for kind in set(kinds))[1]
+            want[g.utid, g.gap_start, g.gap_end] = (analyzer.CONTEXTS[most], len(inside))
+    assert found == want and len(want) > 20
+    own = analyzer.thread_gaps(sched, thread, 2, 3, width)
+    listed = {(r.gap_start, r.gap_end): r.processes for r in analyzer.gap_processes(own, sched, thread, 7).collect()}
+    assert listed == {(g.gap_start, g.gap_end): sorted({names[u] for _, t, d, c, u in runs if d and c == g.cpu and t < g.gap_end and t + d > g.gap_start}) for g in own.collect() if (g.utid, g.gap_start, g.gap_end) in want}
+
+
+def test_no_row_is_left_out(spark, trace):
+    """2,500 rows in each format and analysis."""
+    n = 2500
+    frame = spark.range(n).selectExpr("id", "concat('t', id) name")
+    assert as_table(frame).endswith(f"Total rows: {n}") and as_csv(frame).count("\n") == n + 1 and len(json.loads(as_json(frame))) == n
+    assert as_table(frame, 3).splitlines()[-2:] == [f"{n - 3} more rows are not shown.", f"Total rows: {n}"]
+    line = lambda k, a, b: f" a-{a} [000] d... {k}.000000: sched_switch: prev_comm=c{a} prev_pid={a} prev_prio=1 prev_state=S ==> next_comm=c{b} next_pid={b} next_prio=1"
+    t = trace([line(k, k % 2 + 1, (k + 1) % 2 + 1) for k in range(n + 1)])
+    result, a = t.query().execute(), Analyzer(t)
+    assert len(result) == n + 1 and result.to_text("raw").count("\n") == n and result.to_text("fields").count("\n") == n and len(json.loads(result.to_json())) == n + 1 and result.to_csv().count("\n") == n + 2
+    assert len(a.detect_time_anomalies()["gaps"]) == n and len(a.get_context_timeline(0)) == n + 1
+    assert len(a.detect_time_gaps()) == n - 1 and len(a.check_process_running(1, gap_ms=1)["gaps"]) == n // 2 - 1
+    assert len(a.detect_time_gaps(n=4)) == 4 and a.detect_time_gaps(2)[0]["cpu_activity"] == {"dominant_context": "user_process", "runs": 1, "processes": ["c1"]}
+
+
+def test_order_and_groups(trace):
+    t = trace(ALIGNMENT)
+    last = t.query().order_by("timestamp", False)
+    assert last.first()[0].pid == 3711 and [r.pid for r in last.execute()] == [3711, 0, 1234] and last.execute()[0].pid == 3711 and last.limit(1).first()[0].pid == 3711
+    grouped = t.query().group_by("comm").execute()
+    assert [(r["comm"], r["count"]) for r in grouped] == [("kube-apiserver", 1), ("kworker/u16:0", 1), ("swapper", 1)] and grouped[1]["count"] == 1 and t.query().group_by("cpu").first()[0]["count"] == 3
+    assert t.query().group_by("timestamp").count() == 3 and t.query().limit(2).count() == 2
+    with pytest.raises(IndexError):
+        last.execute()[-4]
+
+
+def test_statements_counters_and_errors(spark, trace, tmp_path):
+    t = trace([*ALIGNMENT, "# comment"])
+    assert statements("INCLUDE x.y;\n-- note;\nSELECT ';' AS a;\n\nSELECT 2\n") == ["SELECT ';' AS a", "SELECT 2"]
+    assert [f.first()[0] for f in run_statements(t.tables, "SELECT count(*) FROM sched;\nSELECT max(tid) FROM thread")] == [3, 3711]
+    assert tuple(counters(read_lines(spark, t.path)).first()) == (4, 3, 3, 1)
+    told = write_counted(kernel_log(read_lines(spark, t.path)).select("value"), str(tmp_path / "out"))
+    assert told["rows"] == 3 and told["seconds"] > 0 and told["rows_per_second"] > 0 and spark.read.text(str(tmp_path / "out")).count() == 3
+
+    class Odd(dict):
+        def __getitem__(self, name):
+            raise ValueError("an odd one\nwith lines")
+
+    broken = run_pack(Odd(), (1, 2))
+    assert [r.error for r in broken] == ["ValueError: an odd one"] * 2 and "- Failed: 2" in markdown(broken, "x")
+
+
+def test_plans_stay_small(spark, sf):
+    """Each chain reads its source once: no plan has more than a few exchanges, and no gap meets all runs."""
+    from tracequarry.sources import samples
+
+    def nodes(frame, kind):
+        return len(re.findall(kind, frame._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]))
+
+    stack = samples.stack_events(spark, sf)
+    for frame in (derive.flattened(stack, samples.DAY), derive.slices(stack, samples.DAY)):
+        assert nodes(frame, "Exchange ") <= 7 and nodes(frame, "FileScan") <= 3
+
+
 def test_column_functions(spark):
     names = spark.createDataFrame([("spin_lock",), ("Lock",), ("a*b",), ("a.b",), ("x[1]",)], "n string")
     hits = lambda p: [r.n for r in names.where(glob("n", p)).collect()]

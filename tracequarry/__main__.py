@@ -8,7 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from .plans.report import as_csv, as_json, as_table, markdown, register, run_pack
+from .plans.report import as_csv, as_json, as_table, markdown, run_pack, run_statements
 from .plans.scenarios import SCENARIOS
 from .trace import Analyzer, TraceFile
 
@@ -21,13 +21,14 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--info", action="store_true")
     parser.add_argument("--classify", action="store_true", help="share of CPU time by context")
     parser.add_argument("--analyze-gaps", type=float, metavar="MS", help="times off the CPU above so many milliseconds")
-    parser.add_argument("--stats", type=int, metavar="PID", help="CPU time of a pid")
+    parser.add_argument("--stats", metavar="NAME", help="CPU time of a thread by its name or pid")
     parser.add_argument("--query-pid", type=int, metavar="PID")
     parser.add_argument("--query-event", metavar="EVENT")
     parser.add_argument("--time-range", type=float, nargs=2, metavar=("START", "END"))
     parser.add_argument("--export-csv", metavar="FOLDER", help="writes the events of the query instead of showing them")
     parser.add_argument("--scenario", type=int, choices=sorted(SCENARIOS), metavar="NUMBER")
-    parser.add_argument("--sql", help="a query over the trace's tables")
+    parser.add_argument("--sql", help="statements over the trace's tables, parted by semicolons")
+    parser.add_argument("--sql-file", metavar="FILE", help="the same from a file")
     parser.add_argument("--format", choices=("table", "csv", "json"), default="table")
     parser.add_argument("--report", metavar="FILE", help="all scenarios as Markdown; a file newer than a local trace stays unless --force")
     parser.add_argument("--jobs", type=int, default=4)
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.analyze_gaps is not None:
         print(json.dumps(analyzer.detect_time_gaps(args.query_pid, args.analyze_gaps), ensure_ascii=False))
     if args.stats is not None:
-        print(json.dumps(analyzer.check_process_running(args.stats, args.time_range)))
+        print(json.dumps(analyzer.check_process_running(int(args.stats) if args.stats.isdecimal() else args.stats, args.time_range)))
     query = trace.query()
     query = query if args.query_pid is None else query.pid(args.query_pid)
     query = query if args.query_event is None else query.event_type(args.query_event)
@@ -65,12 +66,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.export_csv:
         query.execute().to_csv(args.export_csv)
     elif args.analyze_gaps is None and args.stats is None and (args.query_pid is not None or args.query_event or args.time_range):
-        print(show(query.frame.drop("place")))
+        print(show(query.execute().shown()))
     if args.scenario:
         print(show(SCENARIOS[args.scenario].plan(trace.tables)))
-    if args.sql:
-        register(trace.tables)
-        print(show(spark.sql(args.sql)))
+    for text in (args.sql, args.sql_file and "\n".join(r.value for r in spark.read.text(args.sql_file).collect())):
+        for frame in run_statements(trace.tables, text or ""):
+            print(show(frame))
     if args.report and (args.force or not fresh(args.report, args.trace)):
         results = run_pack(trace.tables, jobs=args.jobs)
         with open(args.report, "w", encoding="utf-8") as f:

@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 #: Width of the windows' buckets for these tables, whose events are minutes apart, and bins of their load.
-DAY, HOUR = 86_400 * 10**9, 3_600 * 10**9
+DAY, HOUR = samples.DAY, 3_600 * 10**9
 
 ST = samples.STATE_OF
 _VIEWS = f"""
@@ -304,9 +304,9 @@ def a6_cpu_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OFF = f"o AS (SELECT utid, ts + dur AS gap_start, lead(ts) OVER (PARTITION BY utid ORDER BY ts, id) AS gap_end, cpu FROM schd), gp AS (SELECT o.*, gap_end - gap_start AS duration_ns, tid AS pid, name AS comm FROM o JOIN thr USING (utid) WHERE gap_end - gap_start > {24 * HOUR})"
 
 
-@_text("a7_thread_gaps", f""", {_OFF}, c AS (SELECT gp.utid, gp.pid, gp.comm, gap_start, gap_end, duration_ns, gp.cpu, k.kind, count(DISTINCT r.utid) AS n, sum(least(gap_end, r.ts + r.dur) - greatest(gap_start, r.ts)) AS shared
-  FROM gp JOIN schd r ON r.cpu = gp.cpu AND r.ts < gap_end AND r.ts + r.dur > gap_start JOIN knd k ON k.utid = r.utid GROUP BY ALL)
-SELECT utid, pid, comm, gap_start, gap_end, duration_ns, cpu, arg_max({_CONTEXT}, (shared, kind)) AS dominant_context, CAST(sum(n) AS BIGINT) AS processes FROM c GROUP BY ALL""")
+@_text("a7_thread_gaps", f""", {_OFF}, c AS (SELECT gp.utid, gp.pid, gp.comm, gap_start, gap_end, duration_ns, gp.cpu, k.kind, count(*) AS n, sum(least(gap_end, r.ts + r.dur) - greatest(gap_start, r.ts)) AS shared
+  FROM gp JOIN schd r ON r.cpu = gp.cpu AND r.ts < gap_end AND r.ts + r.dur > gap_start AND r.dur > 0 JOIN knd k ON k.utid = r.utid GROUP BY ALL)
+SELECT utid, pid, comm, gap_start, gap_end, duration_ns, cpu, arg_max({_CONTEXT}, (shared, kind)) AS dominant_context, CAST(sum(n) AS BIGINT) AS runs FROM c GROUP BY ALL""")
 def a7_thread_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     sched, thread = _runs(spark, sf_dir)
     return analyzer.gap_activity(analyzer.thread_gaps(sched, thread, None, 24 * HOUR, DAY), sched, thread, DAY)
@@ -371,11 +371,6 @@ def c01_last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUICK = " UNION ALL ".join(f"SELECT report, '{n}' AS pattern, text FROM l WHERE regexp_matches(text, '(?i){p}')" for n, p in crash.QUICK.items())
 
 
-@_text("c06_quick_patterns", f"{_LINES} SELECT report, pattern, count(*) AS lines FROM ({_QUICK}) GROUP BY report, pattern")
-def c06_quick_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crash.quick_patterns(_lines(spark, sf_dir))
-
-
 @_text("c11_wait_rings", """WITH RECURSIVE w AS (SELECT DISTINCT user_id AS task, (user_id * user_id + 1) % 150 AS owner FROM events),
 r AS (SELECT task AS src, owner AS cur, 1 AS n, least(task, owner) AS low FROM w UNION ALL SELECT r.src, w.owner, n + 1, least(low, w.owner) FROM r JOIN w ON r.cur = w.task WHERE r.cur <> r.src AND n < 151)
 SELECT src AS task, low AS ring, CAST(n AS BIGINT) AS length FROM r WHERE cur = src""")

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder (spark.checkpoint.dir, else one of our own) and reads it again."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir or setCheckpointDir() name; where both are unset and the master is local, one under /tmp.
+
+    On a cluster there is no folder that every executor is known to see, so there an unset one is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="tracequarry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file:///tmp/tracequarry-{uuid.uuid4().hex}")
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it again."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

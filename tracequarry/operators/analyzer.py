@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import last_known, neighbour
+from ..functions.ordered import last_known, neighbour, running_sums
 from ..functions.text import process_type
 from .derive import WIDTH
 
@@ -120,23 +120,40 @@ def thread_gaps(sched: DataFrame, thread: DataFrame, pid: int | None = None, thr
     return gaps.where(F.col("duration_ns") > threshold_ns).join(names, "utid").select("utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu")
 
 
-def gap_activity(gaps: DataFrame, sched: DataFrame, thread: DataFrame, bin_ns: int = WIDTH) -> DataFrame:
-    """What the CPU of each gap did meanwhile: adds dominant_context and processes (different threads).
+def gap_activity(gaps: DataFrame, sched: DataFrame, thread: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What the CPU of each gap did meanwhile: adds dominant_context (the one with most time) and runs (how many fell into it).
 
-    Gaps and runs meet by CPU and bin of time, so no pair is made that doesn't share a bin.
+    Gaps of threads that sleep overlap with nearly all runs, so gaps and runs never meet as pairs. Each end of a gap takes
+    the CPU's busy time and runs so far, by context, from running sums over the CPU's runs, and the gap has what lies
+    between: the work is in proportion to runs and gaps.
     """
-    kinds = F.create_map(*[F.lit(x) for p in CONTEXTS.items() for x in p])
-    runs = in_bins(sched.select("ts", "dur", "cpu", "utid"), bin_ns).join(thread.select("utid", process_type("name", "tid").alias("kind")), "utid")
-    runs = runs.select("cpu", "bin", F.col("utid").alias("other"), "kind", F.col("ts").alias("run_start"), (F.col("ts") + F.col("dur")).alias("run_end"))
-    cut = in_bins(gaps.withColumns({"ts": F.col("gap_start"), "dur": F.col("duration_ns")}), bin_ns)
-    low = F.greatest(F.col("gap_start"), F.col("run_start"), F.col("bin") * bin_ns)
-    high = F.least(F.col("gap_end"), F.col("run_end"), (F.col("bin") + 1) * bin_ns)
-    key = ["utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu"]
-    both = cut.join(runs, ["cpu", "bin"]).withColumn("shared", high - low).where("shared > 0")
-    each = both.groupBy(*key, "other", "kind").agg(F.sum("shared").alias("shared"))
-    by_kind = each.groupBy(*key, "kind").agg(F.sum("shared").alias("shared"), F.count("*").alias("n"))
-    found = by_kind.groupBy(*key).agg(F.max_by("kind", F.struct("shared", "kind")).alias("kind"), F.sum("n").alias("processes"))
-    return found.select(*key, kinds[F.col("kind")].alias("dominant_context"), "processes")
+    kinds, key = list(CONTEXTS), ["utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu"]
+    named = sched.where("dur > 0").join(thread.select("utid", process_type("name", "tid").alias("kind")), "utid")
+    busy = [F.when(F.col("kind") == k, F.col("dur")).otherwise(0).alias(f"busy_{k}") for k in kinds]
+    run = F.struct("ts", "dur", "kind").alias("run")
+    runs = named.select("cpu", "ts", F.lit(1).alias("after"), F.lit(1).alias("n"), *busy, run, F.lit(None).alias("gap"), F.lit(None).cast("boolean").alias("is_end"))
+    ends = gaps.select("cpu", F.struct(*key).alias("gap"), F.explode(F.array(F.struct(F.col("gap_start").alias("ts"), F.lit(False).alias("is_end")), F.struct(F.col("gap_end").alias("ts"), F.lit(True).alias("is_end")))).alias("x"))
+    ends = ends.select("cpu", "x.ts", F.lit(0).alias("after"), F.lit(0).alias("n"), *[F.lit(0).cast("long").alias(f"busy_{k}") for k in kinds], F.lit(None).alias("run"), "gap", "x.is_end")
+    # of rows at one time, the ends come first: a run that begins there has done nothing yet
+    summed = running_sums(runs.union(ends), ["cpu"], "ts", ["after", "run.ts", "gap", "is_end"], ["n", *[f"busy_{k}" for k in kinds]], width, F.col("run"))
+    over = F.greatest(F.coalesce(F.col("last.ts") + F.col("last.dur") - F.col("ts"), F.lit(0)), F.lit(0))
+    at = summed.where("gap IS NOT NULL").select("gap", "is_end", "n", (over > 0).alias("runs_on"), *[(F.col(f"busy_{k}") - F.when(F.col("last.kind") == k, over).otherwise(0)).alias(f"busy_{k}") for k in kinds])
+    sign = F.when(F.col("is_end"), 1).otherwise(-1)
+    running = F.when(~F.col("is_end") & F.col("runs_on"), 1).otherwise(0)
+    sums = at.groupBy("gap").agg(F.sum(sign * F.col("n") + running).alias("runs"), *[F.sum(sign * F.col(f"busy_{k}")).alias(f"busy_{k}") for k in kinds])
+    most = F.array_max(F.array(*[F.struct(F.col(f"busy_{k}").alias("busy"), F.lit(k).alias("kind"), F.lit(c).alias("context")) for k, c in CONTEXTS.items()]))
+    return sums.where("runs > 0").select("gap.*", most["context"].alias("dominant_context"), "runs")
+
+
+def gap_processes(gaps: DataFrame, sched: DataFrame, thread: DataFrame, bin_ns: int = WIDTH) -> DataFrame:
+    """Names of the threads that ran in the gaps of one thread: gap_start, gap_end, cpu, processes (sorted, each once).
+
+    The gaps of one thread don't overlap, so a run meets few of them; they find each other by CPU and bin of time.
+    """
+    runs = in_bins(sched.select("ts", "dur", "cpu", "utid"), bin_ns).join(thread.select("utid", F.col("name").alias("comm")), "utid").select("cpu", "bin", "comm", F.col("ts").alias("run_start"), (F.col("ts") + F.col("dur")).alias("run_end"))
+    cut = in_bins(gaps.select("gap_start", "gap_end", "cpu").withColumns({"ts": F.col("gap_start"), "dur": F.col("gap_end") - F.col("gap_start")}), bin_ns)
+    met = cut.join(runs, ["cpu", "bin"]).where("run_start < gap_end AND run_end > gap_start")
+    return met.groupBy("gap_start", "gap_end", "cpu").agg(F.array_sort(F.collect_set("comm")).alias("processes"))
 
 
 def qos_gaps(events: DataFrame, width: int = WIDTH) -> DataFrame:

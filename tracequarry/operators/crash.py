@@ -38,7 +38,11 @@ COMMANDS = (("hang", "ps | grep UN"), ("hang", "foreach UN bt"), ("slow", "runq"
 
 
 def last_lines(lines: DataFrame, n: int, key: str = "report", order: str = "line_no") -> DataFrame:
-    """The last n lines of each report."""
+    """The last n lines of each report.
+
+    Spark keeps n lines of each report for each task before it shuffles them (a window with a rank limit), so a report of
+    any length comes to one task as n lines a task.
+    """
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return lines.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
@@ -130,6 +134,23 @@ def leaks(slab: DataFrame, memory_bytes: int, share: float = 0.1) -> DataFrame:
     return used.select("report", "cache", "total", "size", "bytes", part).withColumn("suspect", F.col("memory_share") >= share)
 
 
+def non_empty(slab: DataFrame) -> DataFrame:
+    """Slab caches with objects."""
+    return slab.where("objs > 0")
+
+
+def in_state(tasks: DataFrame, *states: str) -> DataFrame:
+    """Tasks of a process list in one of these states (UN: blocked)."""
+    return tasks.where(F.col("st").isin(*states))
+
+
+def leak_time(slab: DataFrame, objects_per_second: float) -> DataFrame:
+    """How long the suspects' objects took to leak at a rate: report, cache, total, bytes, seconds and bytes_per_day."""
+    seconds = (F.col("total") / F.lit(float(objects_per_second))).alias("seconds")
+    per_day = (F.col("size") * F.lit(86_400.0 * objects_per_second)).alias("bytes_per_day")
+    return slab.where("active = total AND total > 0").select("report", "cache", "total", (F.col("total") * F.col("size")).alias("bytes"), seconds, per_day)
+
+
 def cause_of_dump(column: str = "text") -> Column:
     """manual for a dump that was asked for, fault for an oops, else null."""
     return F.when(F.col(column).rlike(r"(?i)sysrq|kdump"), "manual").when(F.col(column).rlike(r"Oops|NULL pointer|general protection"), "fault")
@@ -150,6 +171,13 @@ def commands_for(symptom: str) -> list[str]:
     return [c for s, c in COMMANDS if s == symptom]
 
 
+def commands(phases: DataFrame) -> DataFrame:
+    """The commands for each report by its phase: report, phase, command; locks hang, all but memory else are slow."""
+    symptom = F.when(F.col("phase") == "memory", "memory").when(F.col("phase") == "lock", "hang").otherwise("slow")
+    known = phases.sparkSession.createDataFrame(list(COMMANDS), "symptom string, command string")
+    return phases.withColumn("symptom", symptom).join(F.broadcast(known), "symptom").select("report", "phase", "command")
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, repeats counted: side (< or >) and the columns."""
     return left.exceptAll(right).select(F.lit("<").alias("side"), "*").union(right.exceptAll(left).select(F.lit(">").alias("side"), "*"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,13 +176,33 @@ def counters(events: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Data
     return shaped(found, "counter"), shaped(track, "counter_track")
 
 
-def trace_tables(events: DataFrame, counter_events: tuple[str, ...] = (), width: int = WIDTH) -> dict[str, DataFrame]:
-    """All tables of a trace by name, each planned when it is used."""
+class Tables(Mapping[str, DataFrame]):
+    """Tables by name; each is made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[Tables], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name](self)
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def trace_tables(events: DataFrame, counter_events: tuple[str, ...] = (), width: int = WIDTH) -> Tables:
+    """All tables of a trace by name, each made when it is used, from others that were made for it only once."""
     stack = begins_and_ends(events)
-    state, thread, slice_, track = thread_states(events, width), threads(events), slices(stack, width), tracks(stack)
-    counter, counter_track = counters(events, counter_events)
-    return {
-        "sched": sched(events, width), "thread_state": state, "thread": thread, "process": processes(thread), "slice": slice_, "track": track,
-        "counter": counter, "counter_track": counter_track, "sched_latency_for_running_interval": sched_latency(state, width),
-        "linux_hard_irqs": hard_irqs(slice_, track), "linux_soft_irqs": soft_irqs(slice_, track), "_slice_flattened": flattened(stack, width),
-    }
+    return Tables(
+        {
+            "sched": lambda t: sched(events, width), "thread_state": lambda t: thread_states(events, width), "thread": lambda t: threads(events),
+            "process": lambda t: processes(t["thread"]), "slice": lambda t: slices(stack, width), "track": lambda t: tracks(stack),
+            "counter": lambda t: counters(events, counter_events)[0], "counter_track": lambda t: counters(events, counter_events)[1],
+            "sched_latency_for_running_interval": lambda t: sched_latency(t["thread_state"], width), "linux_hard_irqs": lambda t: hard_irqs(t["slice"], t["track"]),
+            "linux_soft_irqs": lambda t: soft_irqs(t["slice"], t["track"]), "_slice_flattened": lambda t: flattened(stack, width),
+        }
+    )

@@ -5,11 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row
 
 from .scenarios import SCENARIOS, Scenario, Tables
@@ -20,21 +20,23 @@ SHOWN = 20
 
 @dataclass
 class Result:
-    """What a scenario gave: rows shown, how many there are (SHOWN + 1: more than shown), or why it failed."""
+    """What a scenario gave: the rows that a report shows, how many there are in all, or why it failed."""
 
     scenario: Scenario
     columns: list[str] = field(default_factory=list)
     rows: list[Row] = field(default_factory=list)
+    total: int = 0
     error: str = ""
 
 
 def run_scenario(scenario: Scenario, tables: Tables) -> Result:
-    """Runs one scenario; it brings one row more than is shown to the driver, and an error of Spark's stays its own."""
+    """Runs one scenario; only the rows that are shown come to the driver, and an error, whatever it is, stays its own."""
     try:
         frame = scenario.plan(tables)
-        return Result(scenario, frame.columns, frame.limit(SHOWN + 1).collect())
-    except (PySparkException, KeyError) as e:
-        return Result(scenario, error=f"{type(e).__name__}: {str(e).splitlines()[0]}")
+        rows = frame.limit(SHOWN + 1).collect()
+        return Result(scenario, frame.columns, rows[:SHOWN], len(rows) if len(rows) <= SHOWN else frame.count())
+    except Exception as e:
+        return Result(scenario, error=f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}")
 
 
 def run_pack(tables: Tables, numbers: Iterable[int] = tuple(range(1, 31)), jobs: int = 4) -> list[Result]:
@@ -48,7 +50,7 @@ def _cell(value: object) -> str:
 
 
 def markdown(results: list[Result], trace: str) -> str:
-    """A report with a table for each scenario."""
+    """A report with a table for each scenario, and how many rows it found and doesn't show."""
     failed = [r for r in results if r.error]
     lines = ["# Trace analysis", "", f"- Trace: {trace}", f"- Scenarios: {len(results)}", f"- Failed: {len(failed)}", ""]
     for r in results:
@@ -58,34 +60,55 @@ def markdown(results: list[Result], trace: str) -> str:
         elif not r.rows:
             lines += ["No data.", ""]
         else:
-            lines += [f"| {' | '.join(r.columns)} |", f"|{'---|' * len(r.columns)}", *(f"| {' | '.join(map(_cell, row))} |" for row in r.rows[:SHOWN]), ""]
-            lines += ["More rows are not shown.", ""] if len(r.rows) > SHOWN else []
+            lines += [f"Found {r.total} rows.", "", f"| {' | '.join(r.columns)} |", f"|{'---|' * len(r.columns)}", *(f"| {' | '.join(map(_cell, row))} |" for row in r.rows), ""]
+            lines += [f"{r.total - len(r.rows)} more rows are not shown.", ""] if r.total > len(r.rows) else []
     return "\n".join(lines)
 
 
-def as_table(frame: DataFrame, n: int = 1000) -> str:
-    """Up to n rows in columns as wide as their values."""
-    rows = [tuple("NULL" if v is None else str(v) for v in r) for r in frame.limit(n).collect()]
+def _rows(frame: DataFrame, n: int | None) -> tuple[Iterator[Row], int]:
+    """The rows, or the first n, a partition at a time; and how many that leaves out."""
+    if n is None:
+        return frame.toLocalIterator(), 0
+    return iter(frame.limit(n).collect()), max(0, frame.count() - n)
+
+
+def as_table(frame: DataFrame, n: int | None = None) -> str:
+    """All rows, or the first n, in columns as wide as their values; then how many there are, and how many are left out."""
+    found, more = _rows(frame, n)
+    rows = [tuple("NULL" if v is None else str(v) for v in r) for r in found]
     widths = [max(map(len, column)) for column in zip(frame.columns, *rows, strict=True)]
     lines = ["  ".join(v.ljust(w) for v, w in zip(row, widths, strict=True)).rstrip() for row in (frame.columns, ["-" * w for w in widths], *rows)]
-    return "\n".join([*lines, f"Total rows: {len(rows)}"])
+    return "\n".join([*lines, *[f"{more} more rows are not shown."] * bool(more), f"Total rows: {len(rows) + more}"])
 
 
-def as_csv(frame: DataFrame, n: int = 1000) -> str:
-    """Up to n rows as CSV, quoted where needed; null is empty. Larger results: frame.write.csv."""
+def as_csv(frame: DataFrame, n: int | None = None) -> str:
+    """All rows, or the first n, as CSV, quoted where needed; null is empty. Results beyond a driver: frame.write.csv."""
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(frame.columns)
-    writer.writerows(frame.limit(n).collect())
+    writer.writerows(_rows(frame, n)[0])
     return out.getvalue()
 
 
-def as_json(frame: DataFrame, n: int = 1000) -> str:
-    """Up to n rows as a JSON list. Larger results: frame.write.json."""
-    return json.dumps([r.asDict(recursive=True) for r in frame.limit(n).collect()], indent=2, default=str, ensure_ascii=False)
+def as_json(frame: DataFrame, n: int | None = None) -> str:
+    """All rows, or the first n, as a JSON list. Results beyond a driver: frame.write.json."""
+    return json.dumps([r.asDict(recursive=True) for r in _rows(frame, n)[0]], indent=2, default=str, ensure_ascii=False)
 
 
 def register(tables: Tables) -> None:
     """Makes tables temporary views, for SQL of one's own by spark.sql()."""
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
+
+
+def statements(text: str) -> list[str]:
+    """The statements of an SQL text: parted by semicolons at line ends, without comment lines and module includes."""
+    kept = [line for line in text.splitlines() if not line.lstrip().startswith("--") and not re.match(r"\s*INCLUDE\s", line, re.IGNORECASE)]
+    return [s.strip() for s in re.split(r";[ \t]*(?:\n|$)", "\n".join(kept)) if s.strip()]
+
+
+def run_statements(tables: Tables, text: str) -> list[DataFrame]:
+    """A frame for each statement of an SQL text, over the tables as views."""
+    register(tables)
+    spark = next(iter(tables.values())).sparkSession
+    return [spark.sql(s) for s in statements(text)]

@@ -20,6 +20,8 @@ THRESHOLDS = (
     ("syscall_dur", ">", 100_000_000.0),
     ("function_share", ">", 0.3),
 )
+#: Utilisation of a CPU beside which others count as idle, and share of interrupts on one CPU that counts as concentrated.
+BUSY_CPU, IDLE_CPU, ONE_CPU = 90.0, 10.0, 0.5
 STALLS = ((1_000_000, "system"), (100_000, "noticeable"), (10_000, "short"))
 
 
@@ -54,3 +56,21 @@ def backward_times(events: DataFrame, order: str = "place", key: str = "cpu", wi
     """Events whose time is before that of the line above of the same CPU; order is a whole number."""
     found = neighbour(events.select(key, "ts", order), [key], order, [], ["ts"], "before", width, -1)
     return found.where(F.col("before.ts") > F.col("ts")).select(key, order, "ts", F.col("before.ts").alias("ts_before"))
+
+
+def jumping_times(events: DataFrame, least_ns: int, order: str = "place", key: str = "cpu", width: int = 10**6) -> DataFrame:
+    """Events whose time is least_ns or more after that of the line above of the same CPU."""
+    found = neighbour(events.select(key, "ts", order), [key], order, [], ["ts"], "before", width, -1)
+    return found.where(F.col("ts") - F.col("before.ts") >= least_ns).select(key, order, "ts", F.col("before.ts").alias("ts_before"))
+
+
+def unbalanced(busy: DataFrame) -> DataFrame:
+    """One row on CPUs (cpu, cpu_usage_percent of each): busy and idle ones, and whether one works while others are idle."""
+    found = busy.agg(F.count_if(F.col("cpu_usage_percent") > BUSY_CPU).alias("busy_cpus"), F.count_if(F.col("cpu_usage_percent") < IDLE_CPU).alias("idle_cpus"))
+    return found.withColumn("unbalanced", (F.col("busy_cpus") > 0) & (F.col("idle_cpus") > 0))
+
+
+def concentrated(counts: DataFrame) -> DataFrame:
+    """counts(track_name, irq_count) with the share of all interrupts, and whether one CPU has more than ONE_CPU of them."""
+    total = counts.agg(F.sum("irq_count").alias("total"))
+    return counts.join(F.broadcast(total)).select("track_name", "irq_count", (F.col("irq_count") / F.col("total")).alias("share"), (F.col("irq_count") / F.col("total") > ONE_CPU).alias("concentrated"))

@@ -6,7 +6,7 @@ addition. Where a pack of literals fits one kind of trace (names, categories, th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import neighbour
 from ..functions.text import glob
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 @dataclass(frozen=True)

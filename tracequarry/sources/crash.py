@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import last_known
 from ..functions.text import size_value
 
+#: Lines of a window's bucket.
+LINES = 100_000
+
 # The marks of a section and the forms of the lines in it.
 COMMAND = r"^>>> Command: (.*)$"
 PS = r"^>?\s*(\d+)\s+(\d+)\s+(\d+)\s+([0-9a-f]+)\s+([A-Z]{2})\s+([0-9.]+)\s+(\d+)\s+(\d+)\s+(.*)$"
@@ -16,6 +20,13 @@ FRAME = r"^\s*#(\d+)\s+(?:\[[0-9a-f]+\]\s+)?([A-Za-z_][\w.]*)(?:\(\))?(?:\+(0x[0
 TASK = r"^PID:\s+(\d+)"
 MEMORY = r"^\s*([A-Z][A-Z ]*?):?\s{1,}([0-9.]+)\s*([KMG]?B?)"
 SYSTEM = r"^\s*([A-Z]+): (.*)$"
+IRQ = r"^\s*(\d+):\s+((?:\d+\s+)+)(\S+)\s+(.+)$"
+TIMER = r"^\s*(\d+)\s+([0-9a-f]{8,16})\s+([0-9a-f]{8,16})\s+<(\S+)>"
+MODULE = r"^([0-9a-f]{16})\s+(\S+)\s+(\d+)\s+(.*)$"
+WAITER = r"^PID:\s+(\d+)\s+TASK:\s+([0-9a-f]+)"
+WAITED = r"^waitq\s+([0-9a-f]+)"
+LOCKED = r"^struct\s+mutex\s+([0-9a-f]+)"
+OWNER = r"^\s*owner\s*=\s*(?:\(struct task_struct \*\)\s*)?0x([0-9a-f]+)"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -25,13 +36,16 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("report", F.col("line_no").cast("long"), "text")
 
 
+def _last(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the last value that isn't null up to each line of its report; reports of any length, in buckets of lines."""
+    return last_known(lines, ["report"], "line_no", [], value, name, LINES)
+
+
 def sections(lines: DataFrame) -> DataFrame:
-    """Lines of reports with the section they stand in (null before the first) and its number."""
-    w = Window.partitionBy("report").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    """Lines of reports with the section they stand in (null before the first) and the line at which it begins."""
     command = F.nullif(F.regexp_extract("text", COMMAND, 1), F.lit(""))
-    marked = lines.withColumn("command", command)
-    found = marked.withColumns({"section": F.last("command", ignorenulls=True).over(w), "section_no": F.count("command").over(w)})
-    return found.select("report", "section", "section_no", "line_no", "text")
+    found = _last(lines, F.when(command.isNotNull(), F.struct(command.alias("section"), F.col("line_no").alias("section_line"))), "of")
+    return found.select("report", "of.section", "of.section_line", "line_no", "text")
 
 
 def _parts(pattern: str, names: dict[str, tuple[int, str]]) -> list[Column]:
@@ -57,8 +71,7 @@ def log(lines: DataFrame) -> DataFrame:
 
 def frames(lines: DataFrame) -> DataFrame:
     """Stack frames with the pid that stands above them in the report."""
-    w = Window.partitionBy("report").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = lines.withColumn("pid", F.last(F.nullif(F.regexp_extract("text", TASK, 1), F.lit("")), ignorenulls=True).over(w).try_cast("long"))
+    owned = _last(lines, F.nullif(F.regexp_extract("text", TASK, 1), F.lit("")), "owner").withColumn("pid", F.col("owner").try_cast("long"))
     return owned.where(F.col("text").rlike(FRAME)).select("report", "line_no", "pid", *_parts(FRAME, {"idx": (1, "int"), "func": (2, "string"), "off": (3, "string")}))
 
 
@@ -71,3 +84,29 @@ def memory(lines: DataFrame) -> DataFrame:
 def system(lines: DataFrame) -> DataFrame:
     """Keys and values of system summaries."""
     return lines.where(F.col("text").rlike(SYSTEM)).select("report", "line_no", *_parts(SYSTEM, {"key": (1, "string"), "value": (2, "string")}))
+
+
+def interrupts(lines: DataFrame) -> DataFrame:
+    """Interrupts: number, count (over all CPUs), handler and device."""
+    total = F.expr(f"aggregate(transform(split(trim(regexp_extract(text, r'{IRQ}', 2)), ' +'), x -> try_cast(x AS BIGINT)), 0L, (a, x) -> a + coalesce(x, 0L))").alias("count")
+    return lines.where(F.col("text").rlike(IRQ)).select("report", "line_no", *_parts(IRQ, {"irq": (1, "int")}), total, *_parts(IRQ, {"handler": (3, "string"), "device": (4, "string")}))
+
+
+def timers(lines: DataFrame) -> DataFrame:
+    """Kernel timers: when they expire, their address and function."""
+    return lines.where(F.col("text").rlike(TIMER)).select("report", "line_no", *_parts(TIMER, {"expires": (1, "long"), "timer": (2, "string"), "func": (4, "string")}))
+
+
+def modules(lines: DataFrame) -> DataFrame:
+    """Loaded modules: address, name, size and object file."""
+    return lines.where(F.col("text").rlike(MODULE)).select("report", "line_no", *_parts(MODULE, {"module": (1, "string"), "name": (2, "string"), "size": (3, "long"), "file": (4, "string")}))
+
+
+def wait_edges(sectioned: DataFrame) -> DataFrame:
+    """Who waits for whom, from the sections of wait queues and mutexes: report, lock, task and owner (addresses).
+
+    sectioned is what sections() returns. A lock without an owner's section has a null owner.
+    """
+    waits = sectioned.where(F.col("section").rlike(WAITED) & F.col("text").rlike(WAITER)).select("report", F.regexp_extract("section", WAITED, 1).alias("lock"), F.regexp_extract("text", WAITER, 2).alias("task"))
+    owners = sectioned.where(F.col("section").rlike(LOCKED) & F.col("text").rlike(OWNER)).select("report", F.regexp_extract("section", LOCKED, 1).alias("lock"), F.regexp_extract("text", OWNER, 1).alias("owner"))
+    return waits.join(owners.dropDuplicates(["report", "lock"]), ["report", "lock"], "left").select("report", "lock", "task", "owner")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # The forms of a trace line and of the fields of its message.
@@ -40,10 +41,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     Empty lines, those that begin with # and those with 'buffer started' are skipped, as are lines of another form and
     those whose time isn't a number. One replacement takes a line apart, so the pattern runs once for all its groups.
     """
-    value = F.translate("value", "\x01", " ")
+    # a line holds no line break, so that parts the pieces; the message comes last and is taken as it is
+    value = F.col("value")
     usable = lines.where(~F.col("value").startswith("#") & (F.col("value") != "") & ~F.contains("value", F.lit("buffer started")))
     # as the output of a generator the parts are made once: filters on them don't move below it
-    parts = usable.select("place", F.explode_outer(F.array(F.split(F.regexp_replace(value, LINE, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01"))).alias("p")).where("size(p) = 6")
+    parts = usable.select("place", F.explode_outer(F.array(F.split(F.regexp_replace(value, LINE, "$1\n$2\n$3\n$4\n$5\n$6"), "\n", 6))).alias("p")).where("size(p) = 6")
     found = parts.select(
         F.col("p")[0].alias("task"), F.col("p")[1].try_cast("long").alias("pid"), F.col("p")[2].try_cast("int").alias("cpu"), F.col("p")[2].alias("cpu_text"), F.col("p")[3].alias("flags"),
         F.col("p")[4].try_cast("decimal(20,9)").alias("ts_sec"), F.col("p")[5].alias("message"), "place",
@@ -69,17 +71,44 @@ def write_events(events: DataFrame, path: str, partition_ns: int = PARTITION_NS)
     by_time.repartitionByRange("ts_part", "cpu", "ts").sortWithinPartitions("ts_part", "cpu", "ts").write.mode("overwrite").partitionBy("ts_part").parquet(path)
 
 
-def read_events(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
-    """Stored events, those with start <= ts <= end if given; whole partitions outside are not read."""
-    found = spark.read.parquet(path)
+def within(events: DataFrame, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
+    """Events with start <= ts <= end; where they have ts_part, as stored ones do, whole partitions outside are not read."""
+    stored = "ts_part" in events.columns
     if start is not None:
-        found = found.where((F.col("ts_part") >= start // partition_ns) & (F.col("ts") >= start))
+        events = events.where((F.col("ts_part") >= start // partition_ns) & (F.col("ts") >= start) if stored else F.col("ts") >= start)
     if end is not None:
-        found = found.where((F.col("ts_part") <= end // partition_ns) & (F.col("ts") <= end))
-    return found.drop("ts_part")
+        events = events.where((F.col("ts_part") <= end // partition_ns) & (F.col("ts") <= end) if stored else F.col("ts") <= end)
+    return events
+
+
+def read_events(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
+    """Stored events with their partition ts_part, those with start <= ts <= end if given."""
+    return within(spark.read.parquet(path), start, end, partition_ns)
+
+
+def counters(lines: DataFrame) -> DataFrame:
+    """One row on a trace text: lines, events, switches and skipped (lines that are no events), in one pass over the text."""
+    parsed = parse_events(lines).agg(F.count("*").alias("events"), F.count_if(F.col("event") == "sched_switch").alias("switches"))
+    return lines.agg(F.count("*").alias("lines")).join(parsed).select("lines", "events", "switches", (F.col("lines") - F.col("events")).alias("skipped"))
+
+
+def write_counted(frame: DataFrame, path: str, name: str = "rows") -> dict[str, float]:
+    """Writes a frame as text lines (column value) or else as Parquet, and says rows, seconds and rows_per_second.
+
+    The rows are counted while they are written.
+    """
+    seen, begun = Observation(name), time.perf_counter()
+    writer = frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    (writer.text if frame.columns == ["value"] else writer.parquet)(path)
+    rows, seconds = seen.get["rows"], time.perf_counter() - begun
+    return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else 0.0}
+
+
+# Fixed value: the base time of a kernel log.
+BASE = "2026-01-09T10:38:15Z"
 
 
-def kernel_log(lines: DataFrame, base: str = "2026-01-09T10:38:15Z") -> DataFrame:
+def kernel_log(lines: DataFrame, base: str = BASE) -> DataFrame:
     """Rows of a kernel log (value, place): each event's time on top of a base time, its CPU as written, task and message."""
     micros = F.unix_micros(F.to_timestamp(F.lit(base))) + F.round(F.col("ts_sec") * 1_000_000).cast("long")
     at = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -87,7 +116,7 @@ def kernel_log(lines: DataFrame, base: str = "2026-01-09T10:38:15Z") -> DataFram
     return parse_events(lines).select(text.alias("value"), "place")
 
 
-def kernel_log_header(base: str = "2026-01-09T10:38:15Z") -> str:
+def kernel_log_header(base: str = BASE) -> str:
     """The first line of a kernel log: its window of half an hour."""
     end = (datetime.fromisoformat(base.replace("Z", "+00:00")) + timedelta(minutes=30)).strftime("%Y-%m-%dT%H:%M:%SZ")
     return f"window={base}-{end} start_utc={base} end_utc={end} tag=ftrace_transform"

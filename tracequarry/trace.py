@@ -12,24 +12,32 @@ from pyspark.sql import functions as F
 from .functions.text import process_type
 from .operators import analyzer, derive
 from .plans.report import as_csv, as_json, as_table
-from .sources.ftrace import parse_events, read_events, read_lines, write_events
+from .sources.ftrace import parse_events, read_events, read_lines, within, write_events
 
 NS = 10**9
+#: First lines from whose length the number of all lines is estimated, and other names of fields of events.
+SAMPLED = 1000
+FIELDS = {"timestamp": "ts", "time": "ts", "comm": "task", "event_type": "event"}
 
 
 class TraceFile:
     """Events of a trace text or of stored events; nothing is read until an answer is asked for."""
 
     def __init__(self, spark: SparkSession, path: str, index: str | None = None):
-        """index: a folder of events stored by build_index(); it is used if it is there."""
+        """index: a folder of events stored by build_index(); it is used if it is there and not older than the text."""
         self.spark, self.path, self.index = spark, path, index
 
+    def _status(self, path: str) -> list:
+        """What the store says of the files of a path."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return list(place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or [])
+
     def has_index(self) -> bool:
-        """Whether stored events are there."""
+        """Whether stored events are there that are as new as the trace."""
         if self.index is None:
             return False
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.index}/_SUCCESS")
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        stored, texts = self._status(f"{self.index}/_SUCCESS"), self._status(self.path)
+        return bool(stored) and all(t.getModificationTime() <= stored[0].getModificationTime() for t in texts)
 
     def build_index(self, force: bool = False) -> None:
         """Stores the events by time and CPU, unless they are stored already."""
@@ -37,15 +45,16 @@ class TraceFile:
             raise ValueError("no folder for the index was given")
         if force or not self.has_index():
             write_events(parse_events(read_lines(self.spark, self.path)), self.index)
-            self.__dict__.pop("events", None)
+            for made in ("events", "tables"):
+                self.__dict__.pop(made, None)
 
     @cached_property
     def events(self) -> DataFrame:
-        """All events."""
+        """All events; stored ones have their partition of time, ts_part, too."""
         return read_events(self.spark, self.index) if self.has_index() else parse_events(read_lines(self.spark, self.path))
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
+    def tables(self) -> derive.Tables:
         """The relational tables of the trace."""
         return derive.trace_tables(self.events)
 
@@ -53,13 +62,28 @@ class TraceFile:
         """pid, comm and type of each thread; pid 0 once for each CPU."""
         return self.tables["thread"].select(F.col("tid").alias("pid"), F.col("name").alias("comm"), process_type("name", "tid").alias("type"))
 
+    def get_processes(self) -> list[Row]:
+        """processes() as a list, by pid."""
+        return self.processes().orderBy("pid", "comm").collect()
+
+    def file_info(self) -> dict[str, Any]:
+        """filepath, file_size (as text), line_count (estimated from the length of the first lines) and indexed."""
+        size = sum(self.spark._jvm.org.apache.hadoop.fs.FileSystem.get(x.getPath().toUri(), self.spark._jsc.hadoopConfiguration()).getContentSummary(x.getPath()).getLength() for x in self._status(self.path))
+        first = [len(r.value.encode()) + 1 for r in self.spark.read.text(self.path).limit(SAMPLED).collect()]
+        lines = len(first) if len(first) < SAMPLED else round(size * len(first) / sum(first))
+        return {"filepath": self.path, "file_size": size_text(size), "line_count": lines, "indexed": self.has_index()}
+
     def info(self) -> dict[str, Any]:
-        """filepath, event_count, time_range (s), event_types, cpu_count and process_count, in one pass over the events."""
+        """file_info(), event_count, time_range (start, end, duration in s), event_types, cpu_count and process_count.
+
+        With an index this reads four stored columns and parses nothing; without one it is a pass over the text.
+        """
         found = self.events.agg(
             F.count("*").alias("event_count"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.collect_set("event").alias("event_types"),
             F.count_distinct("cpu").alias("cpu_count"), F.count_distinct("pid").alias("process_count"),
         ).first()
-        return {"filepath": self.path, "event_count": found["event_count"], "time_range": ((found["first"] or 0) / NS, (found["last"] or 0) / NS), "event_types": sorted(found["event_types"]), "cpu_count": found["cpu_count"], "process_count": found["process_count"], "indexed": self.has_index()}
+        start, end = (found["first"] or 0) / NS, (found["last"] or 0) / NS
+        return self.file_info() | {"event_count": found["event_count"], "time_range": {"start": start, "end": end, "duration": end - start}, "event_types": sorted(found["event_types"]), "cpu_count": found["cpu_count"], "process_count": found["process_count"]}
 
     def summary(self) -> str:
         """info() as text."""
@@ -67,7 +91,8 @@ class TraceFile:
 
     def get_time_range(self) -> tuple[float, float]:
         """First and last time in seconds; zeros for an empty trace."""
-        return self.info()["time_range"]
+        first, last = self.events.agg(F.min("ts"), F.max("ts")).first()
+        return (first or 0) / NS, (last or 0) / NS
 
     def get_duration(self) -> float:
         """Seconds from the first to the last event."""
@@ -83,35 +108,51 @@ class TraceFile:
         return sorted(r[0] for r in self.events.select("cpu").distinct().collect())
 
     def get_process_types(self) -> dict[str, list[Row]]:
-        """Threads by type, all five always; for a report, so up to what a driver holds."""
-        found: dict[str, list[Row]] = {k: [] for k in ("user", "kernel_thread", "idle", "irq", "softirq")}
+        """Threads by type, all five always, as a report lists them; process_types() is the same as a frame."""
+        found: dict[str, list[Row]] = {k: [] for k in analyzer.CONTEXTS}
         for row in self.processes().orderBy("pid", "comm").toLocalIterator():
             found[row["type"]].append(row)
         return found
 
+    def process_types(self) -> DataFrame:
+        """type, threads and names (distinct) of the types that occur."""
+        return self.processes().groupBy("type").agg(F.count("*").alias("threads"), F.count_distinct("comm").alias("names"))
+
     def query(self) -> QueryBuilder:
         """A query over all events."""
         return QueryBuilder(self.events)
 
 
+def size_text(size: float) -> str:
+    """Bytes as a short text."""
+    for unit in ("B", "KB", "MB", "GB"):
+        if size < 1024:
+            return f"{size:.1f} {unit}"
+        size /= 1024
+    return f"{size:.1f} TB"
+
+
 class QueryBuilder:
-    """Filters that add up (and); each call returns a new query."""
+    """Filters that add up (and); each call returns a new query. ordered: the order is one that was asked for."""
+
+    def __init__(self, frame: DataFrame, ordered: bool = False):
+        self.frame, self.ordered = frame, ordered
 
-    def __init__(self, frame: DataFrame):
-        self.frame = frame
+    def _with(self, frame: DataFrame) -> QueryBuilder:
+        return QueryBuilder(frame, self.ordered)
 
     def where(self, condition: Column) -> QueryBuilder:
-        return QueryBuilder(self.frame.where(condition))
+        return self._with(self.frame.where(condition))
 
     def time_range(self, start: float, end: float) -> QueryBuilder:
-        """Events from start to end, both included, in seconds."""
-        return self.where(F.col("ts").between(round(start * NS), round(end * NS)))
+        """Events from start to end, both included, in seconds; stored events outside are not read."""
+        return self._with(within(self.frame, round(start * NS), round(end * NS)))
 
     def time_slice(self, duration: float, offset: float = 0.0) -> QueryBuilder:
         """Events from offset on for a duration, in seconds from the trace's first event."""
-        first = self.frame.agg((F.min("ts") + round(offset * NS)).alias("__first"))
-        cut = self.frame.join(F.broadcast(first), F.col("ts").between(F.col("__first"), F.col("__first") + round(duration * NS)), "inner")
-        return QueryBuilder(cut.drop("__first"))
+        first = self.frame.agg(F.min("ts")).first()[0]
+        start = (first or 0) + round(offset * NS)
+        return self._with(within(self.frame, start, start + round(duration * NS)))
 
     def around_time(self, time: float, window: float = 0.1) -> QueryBuilder:
         """Events up to window seconds before and after a time."""
@@ -143,78 +184,105 @@ class QueryBuilder:
     def event_type(self, *types: str) -> QueryBuilder:
         return self.where(F.col("event").isin(*types))
 
+    def _column(self, field: str) -> str:
+        """The column of a field, by its own name or the one that the events of other tools have."""
+        return field if field in self.frame.columns else FIELDS.get(field, field)
+
     def group_by(self, *fields: str) -> QueryBuilder:
         """Counts by fields; comm is the task that the line names."""
-        renamed = self.frame.withColumn("comm", F.col("task")) if "comm" in fields else self.frame
-        return QueryBuilder(renamed.groupBy(*fields).agg(F.count("*").alias("count")))
+        return QueryBuilder(self.frame.groupBy(*[F.col(self._column(f)).alias(f) for f in fields]).agg(F.count("*").alias("count")))
 
     def order_by(self, field: str, ascending: bool = True) -> QueryBuilder:
         ties = [c for c in ("place",) if c in self.frame.columns]
-        return QueryBuilder(self.frame.orderBy(F.col(field).asc() if ascending else F.col(field).desc(), *ties))
+        column = F.col(self._column(field))
+        return QueryBuilder(self.frame.orderBy(column.asc() if ascending else column.desc(), *ties), True)
 
     def limit(self, n: int) -> QueryBuilder:
-        return QueryBuilder(self.frame.limit(n))
+        """The first n rows: in the order that was asked for, else in that of time."""
+        return QueryBuilder(self.execute().sorted().limit(n), True)
 
     def execute(self) -> QueryResult:
-        return QueryResult(self.frame)
+        return QueryResult(self.frame, self.ordered)
 
     def count(self) -> int:
         return self.frame.count()
 
     def first(self, n: int = 1) -> list[Row]:
-        """The first n events by time."""
-        return self.frame.orderBy("ts", "place").limit(n).collect()
+        """The first n rows, in the order that was asked for, else in that of time."""
+        return self.execute().sorted().limit(n).collect()
 
     def to_dataframe(self):
-        """The events as a pandas frame; for results that fit the driver."""
-        return self.frame.drop("place").toPandas()
+        """The rows as a pandas frame; for results that fit the driver."""
+        return self.execute().to_dataframe()
 
 
 class QueryResult:
-    """Rows of a query, still a plan: frame."""
+    """Rows of a query, still a plan: frame. ordered: they have an order that was asked for."""
+
+    def __init__(self, frame: DataFrame, ordered: bool = False):
+        self.frame, self.ordered = frame, ordered
 
-    def __init__(self, frame: DataFrame):
-        self.frame = frame
+    def sorted(self) -> DataFrame:
+        """The rows in the order that was asked for, else by time, else (grouped ones) by their columns."""
+        if self.ordered:
+            return self.frame
+        return self.frame.orderBy(*(["ts", "place"] if {"ts", "place"} <= set(self.frame.columns) else self.frame.columns))
+
+    def shown(self) -> DataFrame:
+        """sorted() without the columns that only tell where rows lie."""
+        return self.sorted().drop("place", "ts_part")
+
+    @property
+    def events(self) -> Iterator[Row]:
+        return iter(self)
 
     def __len__(self) -> int:
         return self.frame.count()
 
     def __iter__(self) -> Iterator[Row]:
-        return self.frame.orderBy("ts", "place").toLocalIterator()
+        return self.sorted().toLocalIterator()
 
     def __getitem__(self, n: int) -> Row:
-        found = self.frame.orderBy("ts", "place").limit(n + 1).tail(1) if n >= 0 else []
-        if n < 0 or len(self) <= n:
+        found = self.sorted().offset(n).limit(1).collect() if n >= 0 else self.sorted().tail(-n)[: len(self) + n >= 0]
+        if not found:
             raise IndexError(n)
         return found[0]
 
     def filter(self, condition: Column | Callable[[Row], bool]) -> QueryResult:
         """Rows that meet a column condition, or a Python one (slow: each row goes to Python)."""
         if isinstance(condition, Column):
-            return QueryResult(self.frame.where(condition))
+            return QueryResult(self.frame.where(condition), self.ordered)
         keep = F.udf(lambda row: bool(condition(row)), "boolean")
-        return QueryResult(self.frame.where(keep(F.struct(*self.frame.columns))))
+        return QueryResult(self.frame.where(keep(F.struct(*self.frame.columns))), self.ordered)
 
     def by(self, *fields: str) -> DataFrame:
         """Count, first and last time of each value of the fields (cpu, pid, prev_state)."""
         return self.frame.groupBy(*fields).agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
-    def by_cpu(self) -> DataFrame:
-        return self.by("cpu")
+    def groups(self, field: str) -> dict[Any, list[Row]]:
+        """Rows by the value of a field, each group in order; for results that fit the driver. by() has sums of any size."""
+        found: dict[Any, list[Row]] = {}
+        for row in self:
+            found.setdefault(row[field], []).append(row)
+        return found
 
-    def by_process(self) -> DataFrame:
-        return self.by("pid")
+    def by_cpu(self) -> dict[int, list[Row]]:
+        return self.groups("cpu")
 
-    def by_state(self) -> DataFrame:
-        return self.by("prev_state")
+    def by_process(self) -> dict[int, list[Row]]:
+        return self.groups("pid")
+
+    def by_state(self) -> dict[str, list[Row]]:
+        return self.groups("prev_state")
 
     def timeline(self, bin_size: float = 0.001) -> DataFrame:
         """bin, bin_start and count of each bin of bin_size seconds from the first event to the last, empty ones too."""
-        width = round(bin_size * NS)
-        span = self.frame.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-        counts = self.frame.join(F.broadcast(span)).groupBy(((F.col("ts") - F.col("t0")) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-        bins = span.where("t0 IS NOT NULL").select("t0", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t1") - F.col("t0")) / width))).alias("bin"))
-        return bins.join(counts, "bin", "left").select("bin", (F.col("t0") + F.col("bin") * width).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("count"))
+        width, spark = round(bin_size * NS), self.frame.sparkSession
+        t0, t1 = self.frame.agg(F.min("ts"), F.max("ts")).first()
+        n = 0 if t0 is None else (t1 - t0) // width + 1
+        counts = self.frame.groupBy(F.expr(f"(ts - {t0 or 0}) div {width}").alias("bin")).agg(F.count("*").alias("n"))
+        bins = spark.range(0, n).toDF("bin")  # in as many partitions as there are cores, whatever the number of bins
+        return bins.join(counts, "bin", "left").select("bin", (F.lit(t0 or 0) + F.col("bin") * width).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("count"))
 
     def summary(self) -> dict[str, Any]:
         """count, time_range, cpus, processes and state_distribution."""
@@ -226,26 +294,33 @@ class QueryResult:
         """summary() as text."""
         return "\n".join(f"{k}: {v}" for k, v in self.summary().items())
 
-    def to_text(self, kind: str = "table", n: int = 1000) -> str:
-        """Up to n rows as a table, a list of fields, or the raw messages."""
+    def to_text(self, kind: str = "table", n: int | None = None) -> str:
+        """All rows, or the first n, as a table, a list of fields, or the raw messages."""
+        rows = self.sorted() if n is None else self.sorted().limit(n)
         if kind == "table":
-            return as_table(self.frame.drop("place"), n)
+            return as_table(self.shown(), n)
         if kind == "raw":
-            return "\n".join(r["message"] for r in self.frame.orderBy("ts", "place").limit(n).collect())
-        return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in self.frame.drop("place").limit(n).collect())
+            return "\n".join(r["message"] for r in rows.toLocalIterator())
+        return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows.drop("place", "ts_part").toLocalIterator())
 
-    def to_json(self, n: int = 1000) -> str:
-        return as_json(self.frame.drop("place"), n)
+    def to_json(self, n: int | None = None) -> str:
+        return as_json(self.shown(), n)
 
-    def to_csv(self, path: str | None = None, n: int = 1000) -> str | None:
-        """Writes all rows as CSV to a folder, or returns up to n of them."""
+    def to_csv(self, path: str | None = None, n: int | None = None) -> str | None:
+        """Writes all rows as CSV to a folder, or returns them, or the first n."""
         if path is None:
-            return as_csv(self.frame.drop("place"), n)
-        self.frame.drop("place").write.mode("overwrite").csv(path, header=True)
+            return as_csv(self.shown(), n)
+        self.shown().write.mode("overwrite").csv(path, header=True)
         return None
 
     def to_dataframe(self):
-        return self.frame.drop("place").toPandas()
+        """The rows as a pandas frame; for results that fit the driver."""
+        return self.shown().toPandas()
+
+
+def _first(frame: DataFrame, n: int | None) -> Iterator[Row]:
+    """All rows, a partition at a time, or the first n."""
+    return (frame if n is None else frame.limit(n)).toLocalIterator()
 
 
 class Analyzer:
@@ -254,58 +329,73 @@ class Analyzer:
     def __init__(self, trace: TraceFile):
         self.trace = trace
 
-    def detect_time_anomalies(self, threshold_us: float = 100, by: str | None = None, n: int = 1000) -> dict[str, Any]:
-        """Gaps of all events above a threshold (the first n by length) and their summary."""
+    def detect_time_anomalies(self, threshold_us: float = 100, by: str | None = None, n: int | None = None) -> dict[str, Any]:
+        """Gaps of all events above a threshold, the longest first (n: only so many), and their summary."""
         gaps = analyzer.time_gaps(self.trace.events, round(threshold_us * 1000), by)
         total = analyzer.time_gap_summary(gaps).first()
-        rows = gaps.orderBy(F.desc("gap_ns"), "gap_start").limit(n).collect()
         us = lambda v: None if v is None else v / 1000
         return {
-            "gaps": [{"start": r["gap_start"] / NS, "end": r["gap_end"] / NS, "duration_us": us(r["gap_ns"]), "prev_event": r["prev_event"], "next_event": r["next_event"]} for r in rows],
+            "gaps": [{"start": r["gap_start"] / NS, "end": r["gap_end"] / NS, "duration_us": us(r["gap_ns"]), "prev_event": r["prev_event"], "next_event": r["next_event"]} for r in _first(gaps.orderBy(F.desc("gap_ns"), "gap_start"), n)],
             "summary": {"total_gaps": total["total_gaps"], "max_gap_us": us(total["max_gap_ns"]), "p95_gap_us": us(total["p95_gap_ns"])},
         }
 
     def get_time_distribution(self, bin_size: float = 0.001) -> dict[str, Any]:
-        """Bins with events or load, and stretches of high load."""
+        """Bins with events or load, and stretches of high load, as lists; analyzer.time_distribution() is the frame."""
         width, t = round(bin_size * NS), self.trace.tables
         found = analyzer.time_distribution(t["sched"], t["thread"], width)
-        rows = found.orderBy("bin").collect()
-        hot = analyzer.hotspots(found, width).orderBy("start").collect()
-        return {"bins": [r["bin_start"] / NS for r in rows], "event_counts": [r["event_count"] for r in rows], "cpu_util": [r["cpu_util"] for r in rows], "hotspots": [{"start": r["start"] / NS, "end": r["end"] / NS, "util": r["util"]} for r in hot]}
+        rows = [(r["bin_start"] / NS, r["event_count"], r["cpu_util"]) for r in found.orderBy("bin").toLocalIterator()]
+        hot = analyzer.hotspots(found, width).orderBy("start").toLocalIterator()
+        return {"bins": [r[0] for r in rows], "event_counts": [r[1] for r in rows], "cpu_util": [r[2] for r in rows], "hotspots": [{"start": r["start"] / NS, "end": r["end"] / NS, "util": r["util"]} for r in hot]}
 
     def classify_contexts(self) -> dict[str, dict[str, Any]]:
-        """Share of CPU time of each context, with its thread names."""
+        """Share of CPU time of each context, and the distinct thread names of user processes and kernel threads."""
         t = self.trace.tables
-        names = self.trace.get_process_types()
-        kind_of = {v: k for k, v in analyzer.CONTEXTS.items()}
-        found = {}
-        for r in analyzer.contexts(t["sched"], t["thread"]).collect():
-            found[r["context"]] = {"count": r["count"], "time_percent": r["time_percent"]}
-            if r["context"] in ("user_process", "kernel_thread"):
-                found[r["context"]]["processes" if r["context"] == "user_process" else "threads"] = [x["comm"] for x in names[kind_of[r["context"]]]]
+        names: dict[str, list[str]] = {}
+        for r in self.trace.processes().where("type IN ('user', 'kernel_thread')").select("type", "comm").distinct().orderBy("comm").toLocalIterator():
+            names.setdefault(analyzer.CONTEXTS[r["type"]], []).append(r["comm"])
+        found = {r["context"]: {"count": r["count"], "time_percent": r["time_percent"]} for r in analyzer.contexts(t["sched"], t["thread"]).collect()}
+        found["user_process"]["processes"] = names.get("user_process", [])
+        found["kernel_thread"]["threads"] = names.get("kernel_thread", [])
         return found
 
-    def get_context_timeline(self, cpu: int, n: int = 1000) -> list[dict[str, Any]]:
-        t = self.trace.tables
-        return [r.asDict() for r in analyzer.context_timeline(t["sched"], t["thread"], cpu).orderBy("start").limit(n).collect()]
-
-    def check_process_running(self, pid: int, time_range: tuple[float, float] | None = None, gap_ms: float = 5000.0) -> dict[str, Any]:
-        """Whether and how long a pid ran, and its times off the CPU above gap_ms."""
+    def get_context_timeline(self, cpu: int, n: int | None = None) -> list[dict[str, Any]]:
+        """The runs of a CPU in the order of time, or the first n."""
         t = self.trace.tables
+        return [r.asDict() for r in _first(analyzer.context_timeline(t["sched"], t["thread"], cpu).orderBy("start"), n)]
+
+    def _thread(self, who: int | str) -> int:
+        """The pid of a thread by its name; of several the least. A pid stays."""
+        if isinstance(who, int):
+            return who
+        found = self.trace.processes().where(F.col("comm") == who).agg(F.min("pid")).first()[0]
+        return -1 if found is None else found
+
+    def check_process_running(self, pid: int | str, time_range: tuple[float, float] | None = None, gap_ms: float = 5000.0, n: int | None = None) -> dict[str, Any]:
+        """Whether and how long a pid, or the thread of a name, ran, and its times off the CPU above gap_ms (or the first n)."""
+        t, pid = self.trace.tables, self._thread(pid)
         start, end = (round(x * NS) for x in time_range) if time_range else (None, None)
         r = analyzer.thread_running(t["sched"], t["thread"], pid, start, end).first()
-        gaps = analyzer.thread_gaps(t["sched"], t["thread"], pid, round(gap_ms * 1e6)).orderBy("gap_start").limit(1000).collect()
+        gaps = _first(analyzer.thread_gaps(t["sched"], t["thread"], pid, round(gap_ms * 1e6)).orderBy("gap_start"), n)
         return {"is_running": r["is_running"], "run_time": r["run_time_ns"] / NS, "run_percent": r["run_percent"], "sched_count": r["sched_count"], "avg_timeslice_ms": r["avg_timeslice_ns"] / 1e6, "gaps": [(g["gap_start"] / NS, g["gap_end"] / NS) for g in gaps]}
 
     def compare_cpu_time(self, *pids: int) -> dict[int, dict[str, float]]:
         t = self.trace.tables
         return {r["pid"]: {"time": r["time_ns"] / NS, "percent": r["percent"]} for r in analyzer.cpu_time(t["sched"], t["thread"], list(pids)).collect()}
 
-    def detect_time_gaps(self, pid: int | None = None, threshold_ms: float = 1.0, n: int = 1000) -> list[dict[str, Any]]:
+    def detect_time_gaps(self, pid: int | None = None, threshold_ms: float = 1.0, n: int | None = None) -> list[dict[str, Any]]:
+        """Times off the CPU, the longest first, and what the CPU did meanwhile: its main context and how many runs.
+
+        For one pid also the names of the processes that ran; for all of them together that list would be every thread's
+        for nearly every gap.
+        """
         t = self.trace.tables
         gaps = analyzer.thread_gaps(t["sched"], t["thread"], pid, round(threshold_ms * 1e6))
-        found = analyzer.gap_activity(gaps, t["sched"], t["thread"]).orderBy(F.desc("duration_ns"), "gap_start").limit(n).collect()
-        return [{"pid": r["pid"], "comm": r["comm"], "gap_start": r["gap_start"] / NS, "gap_end": r["gap_end"] / NS, "duration_ms": r["duration_ns"] / 1e6, "cpu_activity": {"dominant_context": r["dominant_context"], "processes": r["processes"]}} for r in found]
+        found = analyzer.gap_activity(gaps, t["sched"], t["thread"])
+        if pid is not None:
+            found = found.join(analyzer.gap_processes(gaps, t["sched"], t["thread"]), ["gap_start", "gap_end", "cpu"], "left")
+        names = lambda r: {} if pid is None else {"processes": r["processes"] or []}
+        rows = _first(found.orderBy(F.desc("duration_ns"), "gap_start", "utid"), n)
+        return [{"pid": r["pid"], "comm": r["comm"], "gap_start": r["gap_start"] / NS, "gap_end": r["gap_end"] / NS, "duration_ms": r["duration_ns"] / 1e6, "cpu_activity": {"dominant_context": r["dominant_context"], "runs": r["runs"]} | names(r)} for r in rows]
 
     def detect_qos_patterns(self) -> dict[str, Any]:
         """CPUs whose gaps look like throttling by a quota."""

@@ -72,3 +72,33 @@ def test_items_cut_at_the_end(spark):
     want = plain(docs, items)
     assert {0, 1, 10, 11, 20, 21} <= {d for d, _ in want}
     assert got(contaminated(frame, bench)) == want
+
+
+def test_recall_of_edited_items(spark):
+    """Random items, also repetitive ones, edited and cut by the start or end of a text, near the least similarity."""
+    rng = random.Random(12)
+    say = lambda n, v: [f"w{rng.randrange(v)}" for _ in range(n)]
+    items = [(k, say(rng.randrange(5, 80), rng.choice((12, 5000)))) for k in range(60)]
+    docs = []
+    for k in range(1600):
+        item, words = rng.choice(items)
+        words = list(words)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = "changed"
+        cut = rng.randrange(max(1, len(words) // 6))
+        words = words[cut:] if rng.random() < 0.5 else words[: len(words) - cut]
+        docs.append((k, " ".join(say(rng.choice((0, 7)), 9999) + words + say(rng.choice((0, 0, 9)), 9999))))
+    items = [(k, " ".join(words)) for k, words in items]
+    want = plain(docs, items)
+    found = got(contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")))
+    print(f"recall {len(want.keys() & found.keys())} of {len(want)}")
+    assert len(want) > 600 and found == want
+
+
+def test_clashing_columns_and_null_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, item, 77, 5, "x"), (1, "another text of some few words", 78, 6, "y"), (None, item, 79, 7, "z"), (2, None, 80, 8, "z"), (2, None, 80, 8, "z"), (3, f"{item} " * 900, 81, 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 long, K2 int, item_id string")
+    kept = decontaminate(docs, spark.createDataFrame([(9, item, 1)], "item_id long, text string, k1 int"))
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)

@@ -1,7 +1,10 @@
 from collections import defaultdict
 
+import duckdb
+import pandas as pd
+
 import __spark_entry__
-from tracequarry.llm.lines import SHORT_SITES, SHORT_WORDS, SITES, line_dedup, line_dedup_filter
+from tracequarry.llm.lines import SHORT_SITES, SHORT_WORDS, SITES, line_dedup, line_dedup_filter, line_dedup_sql
 
 
 def plain(rows):
@@ -47,3 +50,15 @@ def test_odd_rows(spark):
     assert all(r.n_chars == len(r.text or "") for r in left.collect())
     assert left.where("doc_id = 71").count() == 1
     assert line_dedup(frame.limit(0)).count() == 0
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows], "source": [r[2] for r in rows]})  # noqa: F841
+    assert sorted(map(str, duckdb.sql(f"SELECT doc_id, n_removed, text FROM ({line_dedup_sql()})").fetchall())) == plain(rows)
+
+
+def test_clashing_columns(spark):
+    long = "one two three four five six seven eight nine"
+    rows = [(k, f"own {k}\n{long}", f"s{k}", k, -k, [k], "x") for k in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int, k1 long, gone array<long>, lines string")
+    left = line_dedup_filter(frame)
+    assert left.schema == frame.schema
+    assert sorted(map(tuple, left.collect())) == sorted((d, t if d == 0 else f"own {d}", *r) for d, t, *r in rows)
+    assert {(r.doc_id, r.n_removed, r.k1, r.lines) for r in line_dedup(frame).collect()} == {(k, int(k > 0), -k, "x") for k in range(8)}

@@ -321,7 +321,7 @@ def format_parts(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
     Returns conv_id, part, text and generated: the formatted text of a conversation is the text of its parts, in order,
     and generated says whether a part is under a generation marker. Turns go by turn, then role and text where turns tie;
     repeated rows count as often as they come. Null roles and texts count as empty; rows without conv_id are one
-    conversation. A conversation is streamed from its sorted rows in one task, holding a turn or two, so its length is
+    conversation; an empty table gives no parts. A conversation is streamed from its sorted rows in one task, holding a turn or two, so its length is
     not bounded by memory; conversations are never in one task for lack of a key.
     """
     write = compiled(template)
@@ -377,13 +377,17 @@ def _read_back(parts: Iterator[tuple[str, bool]]) -> Iterator[tuple[str, str, st
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digests(parts: DataFrame) -> DataFrame:
+def digests(parts: DataFrame, gathered: bool = False) -> DataFrame:
     """What can be read back from the parts of format_parts() with the standard template, one row per conversation.
 
-    parts must come straight from format_parts(): those of a conversation lie together and in order. Returns conv_id,
-    n_turns, turns_sha256 (over role, newline, text, newline of each turn), loss_chars and loss_sha256 (over all text
-    under the mask), formatted_chars. Lengths are in code points and texts are unescaped, but for formatted_chars.
+    Returns conv_id, n_turns, turns_sha256 (over role, newline, text, newline of each turn), loss_chars and loss_sha256
+    (over all text under the mask), formatted_chars. Lengths are in code points and texts are unescaped, but for
+    formatted_chars. Parts without conv_id are one conversation; no parts give no rows. gathered says that parts come
+    straight from format_parts(), where those of a conversation lie together and in order; else, as when they were stored,
+    they are gathered and sorted first. A conversation is streamed, so memory is bounded by its longest turn.
     """
+    if not gathered:
+        parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((r[0], r[2], r[3]) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 
-#: Words of a shingle, least weighted Jaccard similarity, and differing bits up to which fingerprints are compared.
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
+#: Words of a shingle, least weighted Jaccard similarity, and differing bits up to which fingerprints are compared. Bags at
+#: SIMILAR differ in a bit with a probability of 0.15, or 0.19 where they hold four or five shingles; more than RADIUS of
+#: 64 bits then differ about once in a million times.
+SHINGLE, SIMILAR, RADIUS = 5, 0.8, 28
 #: Shingles of all items up to which they are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -36,14 +38,23 @@ def _simhash(of: str) -> str:
     return f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | IF(2 * size(filter({of}, x -> getbit(x, b) = 1)) > size({of}), shiftleft(1L, b), 0L))"
 
 
+_EDGES = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+_MASKS = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
+
+
 def _blocks() -> str:
     """SQL: RADIUS + 1 blocks of the fingerprint fp; two fingerprints within the radius agree in one of them at least."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    return "array(" + ", ".join(f"{k}L * {1 << 32}L + (shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))) + ")"
+    return "array(" + ", ".join(f"{k}L * {1 << 32}L + (shiftrightunsigned(fp, {a}) & {m >> a}L)" for k, (a, m) in enumerate(zip(_EDGES, _MASKS, strict=False))) + ")"
+
+
+def _first_agreed() -> str:
+    """SQL: the number of the first block in which fp and item_fp agree, so that a pair that meets in several counts once."""
+    return "CASE " + " ".join(f"WHEN ((fp ^ item_fp) & shiftleft({m >> a}L, {a})) = 0 THEN {k}" for k, (a, m) in enumerate(zip(_EDGES, _MASKS, strict=False))) + " END"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64("text", "doc_id", F.lit("key"))})
+def _keys(doc_id: str = "doc_id", text: str = "text") -> list:
+    """128 bits for each distinct pair of doc_id and text, which nulls and repeated ids don't upset."""
+    return [F.xxhash64(doc_id, text), F.xxhash64(text, doc_id, F.lit("key"))]
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -55,46 +66,56 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of docs(doc_id, text) that repeat an item of benchmark(item_id, text): the best of each document and item.
 
-    Returns the document's key (two columns), doc_id, item_id, similarity (weighted Jaccard of the bags of five-word
-    shingles, at least SIMILAR) and start (first word of the window, from 0). Words are runs of letters and digits in
-    lower case, so case and punctuation don't matter. Texts and items with fewer than five words, empty or null, match
-    nothing. Repeated rows give one result for each doc_id and item_id.
-
-    A window has as many shingles as the item. If it is similar enough, so is the one that starts at its first shingle
-    that the item has, and that one holds s / (1 + s) of both's shingles in such places; only those windows are made. A
-    window at the end of a text has fewer shingles than the item, and needs fewer. Their
-    fingerprints meet the items' of equal size in blocks, and all pairs within the radius are compared exactly.
+    Returns the document's key (k1 and k2), doc_id, item_id, similarity (weighted Jaccard of the bags of five-word
+    shingles, at least SIMILAR) and start (first word of the window, from 0; the first one where windows tie). Words are
+    runs of letters and digits in lower case, so case and punctuation don't matter. Texts and items with fewer than five
+    words, empty or null, match nothing. Repeated rows give one result for each doc_id and item_id; rows without doc_id
+    have results too. A very long text costs a row for each of its shingles, and a window holds an item's length of it.
+    Other columns are ignored; either table may be empty, and then so is the result.
+
+    A window has as many shingles as the item, or fewer at the end of a text. If it is similar enough, so is the one that
+    starts at its first shingle that the item has, and that one holds s / (1 + s) of both's shingles in such places: only
+    those windows are made, so the search reads the shingles of all texts once. A window's fingerprint meets those of the
+    items that it was made for in blocks, and each pair within the radius is compared exactly, once.
     """
     items = saved(_items(benchmark), "benchmark-items")
     known = items.select("item_id", "m", F.explode(F.array_distinct("sh")).alias("h"))
     few = known.count() <= BROADCAST
-    texts = _keyed(docs.select("doc_id", "text"))
-    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("__k1", "__k2", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("at", "h"))
+    k1, k2 = _keys()
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
+    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("k1", "k2", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("at", "h"))
     met = each.join(F.broadcast(known) if few else known, "h")
     # the window at ats[k] has least(m, n - ats[k]) shingles, and the item m
     need = f"CAST(ceil({SIMILAR / (1 + SIMILAR)} * (least(m, n - ats[k]) + m) - 1e-6) AS INT)"
-    met = met.groupBy("__k1", "__k2", "n", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {SIMILAR} * m - 1e-6")
+    met = met.groupBy("k1", "k2", "n", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {SIMILAR} * m - 1e-6")
     enough = f"k + {need} <= size(ats) AND ats[least(k + {need}, size(ats)) - 1] < ats[k] + m"
     starts = F.expr(f"transform(filter(sequence(0, size(ats) - 1), k -> {enough}), k -> ats[k])")
-    windows = met.select("__k1", "__k2", "m", F.explode(starts).alias("start")).distinct()
-    windows = saved(windows.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("m", "start")).alias("windows")), "benchmark-windows")
-    hit = _shingled(texts.join(windows, ["__k1", "__k2"])).select("__k1", "__k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))
-    cut = hit.select("__k1", "__k2", "doc_id", "w.m", "w.start", F.expr("array_sort(slice(sh, w.start + 1, w.m))").alias("cut"))
+    windows = met.select("k1", "k2", "item_id", "m", F.explode(starts).alias("start")).groupBy("k1", "k2", "m", "start").agg(F.collect_set("item_id").alias("item_ids"))
+    windows = saved(windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "start", "item_ids")).alias("windows")), "benchmark-windows")
+    hit = _shingled(texts.join(windows, ["k1", "k2"])).select("k1", "k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))
+    cut = hit.select("k1", "k2", "doc_id", "w.start", "w.item_ids", F.expr("array_sort(slice(sh, w.start + 1, w.m))").alias("cut"))
     both = f"transform(array(cut), cut -> named_struct('bag', {_numbered('cut')}, 'fp', {_simhash('cut')}))[0]"
-    cut = cut.select("__k1", "__k2", "doc_id", "m", "start", F.expr(both).alias("made")).select("__k1", "__k2", "doc_id", "m", "start", "made.bag", "made.fp")
+    cut = cut.select("k1", "k2", "doc_id", "start", "item_ids", F.expr(both).alias("made")).select("k1", "k2", "doc_id", "start", F.explode("item_ids").alias("item_id"), "made.bag", "made.fp")
     left = cut.withColumn("block", F.explode(F.expr(_blocks())))
-    right = items.select("item_id", "m", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks())).alias("block"))
-    pairs = left.join(F.broadcast(right) if few else right, ["m", "block"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")
+    right = items.select("item_id", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks())).alias("block"))
+    pairs = left.join(F.broadcast(right) if few else right, ["item_id", "block"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS} AND block div {1 << 32}L = {_first_agreed()}")
     both = F.expr("size(array_intersect(bag, item_bag))")
-    scored = pairs.select("__k1", "__k2", "doc_id", "item_id", "start", (both / (F.size("bag") + F.size("item_bag") - both)).alias("similarity"))
-    best = scored.where(F.col("similarity") >= SIMILAR - 1e-9).groupBy("__k1", "__k2", "doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("__k1", "__k2", "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
+    scored = pairs.select("k1", "k2", "doc_id", "item_id", "start", (both / (F.size("bag") + F.size("item_bag") - both)).alias("similarity"))
+    best = scored.where(F.col("similarity") >= SIMILAR - 1e-9).groupBy("k1", "k2", "doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    return best.select("k1", "k2", "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that repeat no item, all columns."""
-    gone = saved(contaminated(docs, benchmark).select("__k1", "__k2").distinct(), "benchmark-hits")
-    return _keyed(docs).join(gone, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    """The rows of docs(doc_id, text) that repeat no item of benchmark(item_id, text), all columns, whatever their names.
+
+    A row goes if contaminated() finds an item in its text; rows are told by doc_id and text together, so rows that share
+    a doc_id are judged by themselves, repeated rows alike, and rows without doc_id as any other. Null, empty and very short
+    texts stay. An empty benchmark leaves all rows, an empty docs none.
+    """
+    a, b = fresh("k1", docs.columns), fresh("k2", docs.columns)
+    gone = saved(contaminated(docs, benchmark).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct(), "benchmark-hits")
+    k1, k2 = _keys()
+    return docs.withColumns({a: k1, b: k2}).join(gone, [a, b], "left_anti").select(*docs.columns)
 
 
 def contaminated_sql() -> str:

@@ -44,7 +44,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", sure), (-7, 1, "assistant", sure)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digests(format_parts(turns.union(added)))
+    return digests(format_parts(turns.union(added)), gathered=True)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,11 +319,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     layout = saved(texts.mapInArrow(_blocks, LAYOUT), "lm-blocks")
     words = layout.agg(F.sum(F.col("n_tokens") + 2 * F.size("ids"))).first()[0] or 0
     shards = words // SHARD + 1
-    asked = layout.mapInArrow(partial(_ask, shards=shards), ASKED)
+    # groups are large and known in number, so they are dealt out by that and not by the session's number of partitions
+    blocks = layout.count()
+    asked = layout.mapInArrow(partial(_ask, shards=shards), ASKED).repartition(4 * shards, "grams", "shard")
     answers = saved(asked.groupBy("grams", "shard").applyInArrow(_answer, ANSWERED), "lm-counts")
     distinct, tokens, deleted = answers.where("block = -1 AND grams = 1").agg(F.sum("seen"), F.sum("total"), F.sum("total_deleted")).first()
     tokens, distinct, deleted = tokens or 0, distinct or 0, deleted or 0
-    to_blocks = answers.where("block >= 0").select("block", "grams", "shard", "counts", "deleted")
+    layout = layout.repartition(max(1, 2 * blocks), "block")
+    to_blocks = answers.where("block >= 0").select("block", "grams", "shard", "counts", "deleted").repartition(max(1, 2 * blocks), "block")
     held = layout.where("deleted").groupBy("block").cogroup(to_blocks.where("block % 2 = 1").groupBy("block")).applyInArrow(partial(_cells, shards=shards), CELLS)
     cells = held.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
     model = Mixture(tokens, distinct, fit_weights(map(tuple, cells), tokens - deleted, distinct))

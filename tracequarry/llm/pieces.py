@@ -25,8 +25,9 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 MARK = "▁"
 #: Vocabulary file of the queries, as /opt/tokenizers/README.md describes it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a portion of texts, words and pairs that a task remembers, ids of a batch that goes out.
-PORTION, WORDS, PAIRS, IDS = 2 << 20, 1 << 18, 1 << 19, 1 << 20
+#: Characters of a portion of texts, characters of words (each WORD more than it has) and pairs that a process remembers,
+#: ids of a batch that goes out.
+PORTION, HELD, WORD, PAIRS, IDS = 2 << 20, 6 << 20, 16, 1 << 19, 1 << 20
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -52,6 +53,8 @@ class Vocabulary:
         self.ids = {name: i for i, name in enumerate(self.names) if name and i not in spelling}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word")
+        if len(self.names) > 1 << 20:
+            raise ValueError("a vocabulary has 1,048,576 pieces at most")
         self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
 
@@ -115,14 +118,16 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
 
 
 class Encoder:
-    """Finds the pieces of marked words; it remembers words and pairs of pieces, up to WORDS and PAIRS of them.
+    """Finds the pieces of marked words; it remembers words of HELD characters together, and up to PAIRS pairs of pieces.
 
-    Within the search a piece is its id, and a character without a piece is ~ of its code point.
+    A text without spaces is one word, so what is remembered is bounded by characters. Within the search a piece is its
+    id, and a character without a piece is ~ of its code point.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -147,7 +152,11 @@ class Encoder:
         return self.merged(first + names[piece]) == [first, names[piece]]
 
     def merge_step(self, word: str, end: int, lasts: list[int], starts: list[int]) -> None:
-        """Appends the last piece of word[:end] and its start: the longest one that fits what ends where it starts."""
+        """Appends the last piece of word[:end] and its start: the longest one that fits what ends where it starts.
+
+        A file of merges has an order and no scores to add: what the prefixes share is the one path that merging takes, and
+        no sum is carried on. score_step() is the same for a file of scores.
+        """
         ends, found, start = self.vocab.ends, [], end - 1
         while start >= 0 and (piece := ends.get(word[start:end])) is not None:
             if piece >= 0:
@@ -220,9 +229,12 @@ class Encoder:
         """For each text its ids, as 32-bit numbers."""
         cut = [self.marked(t) for t in texts]
         every = set().union(*cut)
-        if len(self.words) + len(every) > WORDS:
+        new = every.difference(self.words)
+        self.held += sum(map(len, new)) + WORD * len(new)
+        if self.held > HELD:
             self.words = {w: ids for w, ids in self.words.items() if w in every}
-        self.learn(every.difference(self.words))
+            self.held = sum(map(len, every)) + WORD * len(every)
+        self.learn(new)
         for words in cut:
             yield b"".join(map(self.words.__getitem__, words))
 
@@ -274,8 +286,9 @@ def encode_texts(docs: DataFrame, model: bytes, column: str = "ids") -> DataFram
     """Adds the ids (array of int) of each whole text of docs(text) and keeps all rows and other columns.
 
     model is a SentencePiece file. A column that has the name already is replaced. A null or empty text has no ids; a
-    character without a piece is spelled in bytes, or is the unknown id where the vocabulary has no bytes. There is no
-    shuffle: each task encodes what it reads, in portions, so memory is bounded by the longest text and the caches.
+    character without a piece is spelled in bytes, or is the unknown id where the vocabulary has no bytes. Repeated rows
+    have the same ids each, and an empty table gives an empty one. There is no shuffle: each task encodes what it reads, in
+    portions, so memory is bounded by the longest text and the caches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +326,9 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, lossless and ids of each row of docs(doc_id, text), by encoding and decoding.
 
     lossless says whether decoding the ids gives the text again; it does but for texts with the mark itself (it comes
-    back as a space) or with what the vocabulary can't spell. A null text counts as empty. Both ways are gone in one pass,
-    so that a task has one Python process.
+    back as a space) or with what the vocabulary can't spell. A null text counts as empty; rows without doc_id and repeated
+    rows have a row each; other columns are ignored, and an empty table gives an empty one. Very long texts are encoded
+    whole. Both ways are gone in one pass, so that a task has one Python process.
     """
     byte_ids = np.array(vocabulary(model).byte_ids, np.int32)
 

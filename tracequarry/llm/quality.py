@@ -222,7 +222,10 @@ def quality_scores(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float =
 
     Returns doc_id, votes (of the labellers, in base three), posterior (probability of good by the label model), score
     (by the scorer) and kept (score at least threshold). An empty or null text gets no vote but abstentions and no
-    features, and is kept: there is nothing against it.
+    features, and is kept: there is nothing against it. Repeated rows and rows without doc_id have a row each, and copies
+    have the same scores. Votes of all rows count in the label model, copies as often as they come; the scorer is fitted
+    on distinct texts. A very long text is counted in portions. A score equal to the threshold is kept. An empty table
+    gives an empty one.
     """
     if docs.select("text").isEmpty():
         return docs.selectExpr("CAST(doc_id AS long) doc_id", "0 votes", "0D posterior", "0D score", "true kept")
@@ -237,7 +240,11 @@ def quality_scores(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float =
 
 
 def quality_filter(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns; the same decisions as quality_scores()."""
+    """The rows of docs(text) that the classifier keeps, all columns, whatever their names.
+
+    The decisions, also on null, empty, very long and repeated texts, are those of quality_scores(); an empty table gives
+    an empty one.
+    """
     if docs.select("text").isEmpty():
         return docs
     _, scorer = fit(docs, fit_rows)

@@ -104,6 +104,20 @@ aggregate(sequence(1, length({x}) - 1), 0D, (acc, i) -> acc + {w}[
 """
 
 
+#: Sorted {spans} without those of the last kind that lie in one of another kind: such a one ends after it, and begins
+#: before it or with it, so the furthest end so far tells. Ends of blocks come first, so the time is in proportion.
+_FREE = """
+transform(array({spans}), a -> transform(array(transform(sequence(0, greatest(size(a) - 1, 0), {block}), b -> slice(a, b + 1, {block}))), parts ->
+  flatten(zip_with(parts,
+    aggregate(parts, named_struct('top', 0, 'got', CAST(array() AS array<int>)),
+      (acc, p) -> named_struct('top', greatest(acc.top, coalesce(array_max(transform(p, x -> IF(x.k < 3, x.e, 0))), 0)), 'got', concat(acc.got, array(acc.top))),
+      acc -> acc.got),
+    (p, top) -> aggregate(p, named_struct('top', top, 'got', slice(p, 1, 0)),
+      (acc, x) -> named_struct('top', IF(x.k < 3, greatest(acc.top, x.e), acc.top), 'got', IF(x.k = 3 AND acc.top >= x.e, acc.got, concat(acc.got, array(x)))),
+      acc -> acc.got))))[0])[0]
+"""
+
+
 def secret_spans(docs: DataFrame, threshold: float = THRESHOLD, ordinary: list[str] = ORDINARY, secret: list[str] | None = None) -> DataFrame:
     """Finds secrets in every whole text of docs(doc_id, text); one row for each row, other columns are ignored.
 
@@ -114,6 +128,8 @@ def secret_spans(docs: DataFrame, threshold: float = THRESHOLD, ordinary: list[s
 
     Within a kind, matches are leftmost and don't overlap, and those too short are dropped afterwards. The patterns of
     one character class ask for the length at once, which gives the same spans: the run that a match takes is maximal.
+    Rows without doc_id and repeated rows have a row each, and an empty table gives an empty one. A text of any length is
+    scanned whole; the work is in proportion to it and to its spans.
     """
     table = ",".join(map(str, ratios(ordinary, random_samples() if secret is None else secret)))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -137,8 +153,7 @@ def secret_spans(docs: DataFrame, threshold: float = THRESHOLD, ordinary: list[s
     named = "transform({k}, x -> named_struct('s', x.s, 'k', {rank}, 'e', x.e, 'name', concat('{k}:', x.s, ':', x.e)))"
     base = F.expr(f"array_sort(concat({', '.join(named.format(k=k, rank=i) for i, k in enumerate(('assign', 'access', 'hex')))}))")
     found = found.select("doc_id", "markov", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base"))
-    free = "filter(markov, x -> NOT exists(base, y -> y.s <= x.s AND x.e <= y.e))"
-    every = F.expr(f"array_sort(concat(base, {named.format(k='markov', rank=3).replace('transform(markov', f'transform({free}')}))")
+    every = F.expr(_FREE.format(spans=f"array_sort(concat(base, {named.format(k='markov', rank=3)}))", block=BLOCK))
     joined = "array_join(transform({a}, x -> x.name), ',')"
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.expr(joined.format(a="base")), 256).alias("base_sha256"), F.array_join(F.transform(every, lambda x: x["name"]), ",").alias("spans")

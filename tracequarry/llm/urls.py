@@ -97,7 +97,9 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, m
 
     Returns page_id, host (ASCII lower case), path, rule (the longest that fits the host or a domain above it and begins
     the path, else null), score (log odds of being bad, null if the URL has no host and path) and verdict: the rule's, else
-    block for a positive score. A null url, or one without ://, has an empty host and path and is allowed.
+    block for a positive score. A null url, or one without ://, has an empty host and path and is allowed. Rows without
+    page_id and repeated rows have a row each; a url of any length is judged whole, in one row's memory; an empty table
+    gives an empty one.
     """
     bias, weights = model or fitted()
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

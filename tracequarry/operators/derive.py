@@ -68,7 +68,8 @@ def switches(events: DataFrame) -> DataFrame:
 
 def sched(events: DataFrame, width: int = WIDTH) -> DataFrame:
     """sched: from each switch to the next one of its CPU; the last of a CPU has no end."""
-    found = neighbour(switches(events), ["cpu"], "ts", ["place"], ["ts", "prev_state"], "next", width)
+    found = switches(events).select("ts", "cpu", "place", "prev_state", "next_pid", "next_prio")
+    found = neighbour(found, ["cpu"], "ts", ["place"], ["ts", "prev_state"], "next", width)
     found = found.withColumns(
         {
             "id": line_id(events), "utid": utid_of("next_pid", "cpu"), "dur": F.col("next.ts") - F.col("ts"), "ts_end": F.col("next.ts"),
@@ -104,7 +105,7 @@ def thread_states(events: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def sched_latency(thread_state: DataFrame, width: int = WIDTH) -> DataFrame:
     """sched_latency_for_running_interval: how long a thread that runs was runnable just before."""
-    found = neighbour(thread_state, ["utid"], "ts", ["id"], ["id", "state", "dur"], "before", width, -1).where("state = 'Running' AND before.state IN ('R', 'R+')")
+    found = neighbour(thread_state.select("id", "ts", "dur", "utid", "state"), ["utid"], "ts", ["id"], ["id", "state", "dur"], "before", width, -1).where("state = 'Running' AND before.state IN ('R', 'R+')")
     return shaped(found.selectExpr("id thread_state_id", "(id - 2) div 4 sched_id", "utid", "before.id runnable_latency_id", "before.dur latency_dur"), "sched_latency_for_running_interval")
 
 

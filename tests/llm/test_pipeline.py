@@ -54,7 +54,8 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n)) + "."
     rows = [(k, f"{say(60)}\n{say(20)}", "en", f"src{k % 9}", 0) for k in range(40)]
     rows += [(50, None, None, None, None), (51, "", "en", "src1", 0), (None, say(70), None, "src2", 1), (3, rows[3][1], "en", "src3", 0), (52, rows[4][1], "fr", None, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows += [(60, say(120_000), "en", "src1", 0), (61, "w " * 300_000, "en", "src2", 0), (62, say(90), "en", "src3", 0)]
+    docs = spark.createDataFrame([(*r, 5, "x", 7, b"y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_removed int, k1 string, K2 long, whole binary").repartition(3)
     sf = "/root/testdata/sf0.001"
     for frame in (docs, docs.limit(0)):
         before = Counter(r.doc_id for r in frame.collect())

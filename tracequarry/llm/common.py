@@ -1,42 +1,55 @@
-"""Helpers that the operators of this subpackage share: tables, the shared folder, saved intermediates, free names."""
+"""Helpers that the operators of this subpackage share: tables, saved intermediates, free names."""
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.store import kept
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Reads one input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir or setCheckpointDir() name.
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """Writes a frame as Parquet to the shared folder and reads it again.
 
-    Where both are unset it is a folder under /tmp for a local master, whose tasks are all on this machine; on a cluster
-    there is none that every executor is known to see, and that is an error.
+    This computes it once, cuts its lineage, and leaves nothing that is lost with an executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/tracequarry-{uuid.uuid4().hex}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    return kept(frame, name)
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as Parquet to the shared folder and reads it again.
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which freed memory goes back to the system.
 
-    This computes it once, cuts its lineage, and leaves nothing that is lost with an executor.
+    Python processes outlive their tasks, and what one stage's have freed but hold would be missing for the next.
     """
-    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside exchanges batches of so many rows with Python at most, which bounds both sides' buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:

@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
+from .common import given_back
+
 #: The mark that stands for a space.
 MARK = "▁"
 #: Vocabulary file of the queries, as /opt/tokenizers/README.md describes it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a portion of texts, characters of words (each WORD more than it has) and pairs that a process remembers,
 #: ids of a batch that goes out.
-PORTION, HELD, WORD, PAIRS, IDS = 2 << 20, 6 << 20, 16, 1 << 19, 1 << 20
+PORTION, HELD, WORD, PAIRS, IDS = 1 << 20, 3 << 20, 16, 1 << 18, 1 << 19
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -279,7 +281,7 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def _with(docs: DataFrame, column: str, kind: DataType, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """docs with another column, which make adds last; one of that name is replaced."""
     kept = docs.select(*[c for c in docs.columns if c != column])
-    return kept.mapInArrow(make, StructType([*kept.schema.fields, StructField(column, kind)]))
+    return kept.mapInArrow(given_back(make), StructType([*kept.schema.fields, StructField(column, kind)]))
 
 
 def encode_texts(docs: DataFrame, model: bytes, column: str = "ids") -> DataFrame:
@@ -346,4 +348,4 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                 columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(spelled, pa.int64()), pa.array(lossless), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_byte_tokens", "lossless", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, lossless boolean, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(given_back(run), "doc_id long, n_tokens long, n_byte_tokens long, lossless boolean, ids array<int>")

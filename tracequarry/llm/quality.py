@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back, small_batches
+
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Buckets of the scorer's features, characters handled at a time, and rows that the scorer is fitted on, about.
@@ -191,7 +193,7 @@ def _map(docs: DataFrame, of, schema: str) -> DataFrame:
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(given_back(run), schema)
 
 
 def _pattern_rows(codes: list[int]) -> np.ndarray:
@@ -229,7 +231,8 @@ def quality_scores(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float =
     """
     if docs.select("text").isEmpty():
         return docs.selectExpr("CAST(doc_id AS long) doc_id", "0 votes", "0D posterior", "0D score", "true kept")
-    labels, scorer = fit(docs, fit_rows)
+    with small_batches(docs.sparkSession):
+        labels, scorer = fit(docs, fit_rows)
 
     def judged(i: int, batch: pa.RecordBatch, x: Counts) -> tuple:
         found = votes(x)
@@ -247,11 +250,12 @@ def quality_filter(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float =
     """
     if docs.select("text").isEmpty():
         return docs
-    _, scorer = fit(docs, fit_rows)
+    with small_batches(docs.sparkSession):
+        _, scorer = fit(docs, fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (counted(t.as_py() or "") for t in batch.column("text"))
             yield batch.filter(pa.array([not x.n_words or scorer(*hashed(x)) >= threshold for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)

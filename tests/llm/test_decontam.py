@@ -102,3 +102,33 @@ def test_clashing_columns_and_null_ids(spark):
     kept = decontaminate(docs, spark.createDataFrame([(9, item, 1)], "item_id long, text string, k1 int"))
     assert kept.schema == docs.schema
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_a_common_phrase_brings_nobody_together(spark, monkeypatch):
+    """500 texts and 300 items that share a phrase and nothing else; one text repeats an item."""
+    from tracequarry.llm import decontam
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase = "which of the following is true about"
+    items = [(k, f"{phrase} {say(30)}") for k in range(300)]
+    docs = [(k, f"{say(20)} {phrase} {say(40)}") for k in range(500)] + [(999, f"{say(9)} {items[7][1]}")]
+    met = []
+    original = decontam.saved
+    monkeypatch.setattr(decontam, "saved", lambda frame, name: met.append((name, original(frame, name))) or met[-1][1])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = got(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench))
+    assert set(found) == {(999, 7)}
+    stored = dict(met)
+    # the phrase is no item's probe, so the one text that repeats an item is the only one that meets any
+    assert stored["benchmark-met"].selectExpr("sum(size(of))").first()[0] == 1
+    probes = stored["benchmark-probes"]
+    assert probes.groupBy("h").count().where("count > 1").count() == 0 and probes.groupBy("item_id").count().count() == 300
+
+
+def test_probes_of_repetitive_items(spark):
+    """Every similar window holds as many probes as are asked for: items of few shingles, that all items have, are found."""
+    items = [(1, "a b c d e " * 8), (2, "a b c d e " * 7 + "f g"), (3, "a b c d e f g h i j k l"), (4, "a b c d e")]
+    docs = [(10 + k, f"x y z {t} z y x") for k, t in items] + [(20, "a b c d e " * 40), (21, "b c d e f g h i j k l m"), (22, "a b c d x")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(contaminated(frame, bench)) == plain(docs, items)

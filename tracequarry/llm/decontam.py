@@ -11,7 +11,9 @@ from .common import fresh, saved
 #: SIMILAR differ in a bit with a probability of 0.15, or 0.19 where they hold four or five shingles; more than RADIUS of
 #: 64 bits then differ about once in a million times.
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 28
-#: Shingles of all items up to which they are broadcast; more are joined by a shuffle.
+#: The part of an item's shingles that is looked for in all texts, the rarest of the benchmark first.
+PROBED = 0.5
+#: Rows of the items' shingles, and of their blocks, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
 #: Words are runs of letters and digits, in lower case.
@@ -58,11 +60,29 @@ def _keys(doc_id: str = "doc_id", text: str = "text") -> list:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, m (shingles), bag and fp of the items that have a shingle."""
+    """item_id, m (shingles), sh (sorted), bag and fp of the items that have a shingle."""
     found = _shingled(benchmark.select("item_id", "text")).where("size(sh) > 0").select("item_id", F.array_sort("sh").alias("sh"))
     return found.select("item_id", F.size("sh").alias("m"), "sh", F.expr(_numbered("sh")).alias("bag"), F.expr(_simhash("sh")).alias("fp"))
 
 
+def _probes(items: DataFrame) -> DataFrame:
+    """item_id, m, h, times and least: the shingles of each item that are looked for, and how many of them a window holds.
+
+    A similar window lacks m - ceil(s * m) of an item's shingles at most, so of any choice that holds more it has the rest.
+    Those are chosen that the fewest items have: what all items begin with is chosen last, and brings no text and item
+    together that have nothing else in common.
+    """
+    known = items.select("item_id", "m", F.explode(F.expr("transform(array_distinct(sh), x -> named_struct('h', x, 'times', size(filter(sh, y -> y = x))))")).alias("x")).select("item_id", "m", "x.*")
+    often = known.groupBy("h").agg(F.count("*").alias("items"))
+    rare = known.join(often, "h").groupBy("item_id", "m").agg(F.array_sort(F.collect_list(F.struct("items", "h", "times"))).alias("all"))
+    missing = f"(m - CAST(ceil({SIMILAR} * m - 1e-6) AS INT))"
+    # as many as make up PROBED of the item, and one more than may be missing
+    wanted = f"greatest(CAST(ceil({PROBED} * m) AS INT), {missing} + 1)"
+    chosen = f"aggregate(all, named_struct('n', 0, 'x', CAST(array() AS array<struct<items:bigint,h:bigint,times:int>>)), (a, x) -> IF(a.n >= {wanted}, a, named_struct('n', a.n + x.times, 'x', array_append(a.x, x))))"
+    found = rare.select("item_id", "m", F.expr(chosen).alias("c"))
+    return found.select("item_id", "m", F.expr(f"c.n - {missing}").alias("least"), F.explode("c.x").alias("x")).select("item_id", "m", "least", "x.h", "x.times")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of docs(doc_id, text) that repeat an item of benchmark(item_id, text): the best of each document and item.
 
@@ -75,16 +95,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window has as many shingles as the item, or fewer at the end of a text. If it is similar enough, so is the one that
     starts at its first shingle that the item has, and that one holds s / (1 + s) of both's shingles in such places: only
-    those windows are made, so the search reads the shingles of all texts once. A window's fingerprint meets those of the
-    items that it was made for in blocks, and each pair within the radius is compared exactly, once.
+    those windows are made. Texts are first met by a part of each item's shingles (_probes()), all of them by those of the
+    pieces around what was found. A window's fingerprint meets those of the items that it was made for in blocks, and each
+    pair within the radius is compared exactly, once.
     """
     items = saved(_items(benchmark), "benchmark-items")
-    known = items.select("item_id", "m", F.explode(F.array_distinct("sh")).alias("h"))
-    few = known.count() <= BROADCAST
+    probes = saved(_probes(items), "benchmark-probes")
+    few = probes.count() <= BROADCAST
     k1, k2 = _keys()
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
-    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("k1", "k2", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("at", "h"))
-    met = each.join(F.broadcast(known) if few else known, "h")
+    each = _shingled(texts.where(f"length(text) >= {2 * SHINGLE - 1}")).select("k1", "k2", F.posexplode_outer("sh").alias("at", "h"))
+    found = each.join(F.broadcast(probes) if few else probes, "h").groupBy("k1", "k2", "item_id", "m", "least").agg(F.collect_set(F.struct("h", "times")).alias("has"), F.collect_set(F.expr("at div m")).alias("pieces"))
+    found = found.where("aggregate(has, 0, (a, x) -> a + x.times) >= least")
+    # a window that holds a probe lies in its piece of m shingles and those beside it
+    pieces = F.expr("array_distinct(flatten(transform(pieces, p -> array(p - 1, p, p + 1))))")
+    found = saved(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "m", pieces.alias("pieces"))).alias("of")), "benchmark-met")
+    near = _shingled(texts.dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"])).select("k1", "k2", F.size("sh").alias("n"), "sh", F.explode_outer("of").alias("x")).select("k1", "k2", "n", "sh", "x.*")
+    near = near.select("k1", "k2", "n", "item_id", "m", "sh", F.explode("pieces").alias("piece")).where("piece >= 0 AND piece * m < n")
+    near = near.select("k1", "k2", "n", "item_id", "m", "piece", F.posexplode(F.expr("slice(sh, CAST(piece * m AS INT) + 1, m)")).alias("of", "h")).withColumn("at", F.expr("CAST(piece * m AS INT) + of"))
+    known = items.select("item_id", F.explode(F.array_distinct("sh")).alias("h"))
+    met = near.join(known, ["item_id", "h"])
     # the window at ats[k] has least(m, n - ats[k]) shingles, and the item m
     need = f"CAST(ceil({SIMILAR / (1 + SIMILAR)} * (least(m, n - ats[k]) + m) - 1e-6) AS INT)"
     met = met.groupBy("k1", "k2", "n", "item_id", "m").agg(F.array_sort(F.collect_set("at")).alias("ats")).where(f"size(ats) >= {SIMILAR} * m - 1e-6")
@@ -97,8 +127,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = f"transform(array(cut), cut -> named_struct('bag', {_numbered('cut')}, 'fp', {_simhash('cut')}))[0]"
     cut = cut.select("k1", "k2", "doc_id", "start", "item_ids", F.expr(both).alias("made")).select("k1", "k2", "doc_id", "start", F.explode("item_ids").alias("item_id"), "made.bag", "made.fp")
     left = cut.withColumn("block", F.explode(F.expr(_blocks())))
-    right = items.select("item_id", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks())).alias("block"))
-    pairs = left.join(F.broadcast(right) if few else right, ["item_id", "block"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS} AND block div {1 << 32}L = {_first_agreed()}")
+    right = items.select("item_id", F.col("fp").alias("item_fp"), F.explode(F.expr(_blocks())).alias("block"))
+    near = left.join(right, ["item_id", "block"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS} AND block div {1 << 32}L = {_first_agreed()}")
+    pairs = near.join(items.select("item_id", F.col("bag").alias("item_bag")), "item_id")
     both = F.expr("size(array_intersect(bag, item_bag))")
     scored = pairs.select("k1", "k2", "doc_id", "item_id", "start", (both / (F.size("bag") + F.size("item_bag") - both)).alias("similarity"))
     best = scored.where(F.col("similarity") >= SIMILAR - 1e-9).groupBy("k1", "k2", "doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))

@@ -78,6 +78,24 @@ def test_odd_rows_in_small_blocks(spark, monkeypatch):
     assert all(r.held_out and r.n_known == r.train_tokens == 0 and r.base_score == r.score == 0 for r in alone)
 
 
+def test_blocks_are_summed_in_levels(spark, monkeypatch):
+    """One word in every block: no group of a shard has more rows than FAN, and the scores stay as they are."""
+    rows = [(k, f"the cat {k % 7} sat on the {'x ' * (k % 5)}") for k in range(120)] + [(900, "the")] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)  # two blocks from each
+    want = sorted(map(tuple, lm_scores(frame).collect()))
+    seen = []
+    original = ngrams.saved
+    monkeypatch.setattr(ngrams, "saved", lambda f, name: seen.append((name, original(f, name))) or seen[-1][1])
+    monkeypatch.setattr(ngrams, "FAN", 8)
+    got = sorted(map(tuple, lm_scores(frame).collect()))
+    assert len(got) == len(want) and all(g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9) for g, w in zip(got, want, strict=True))
+    same(lm_scores(frame).collect(), plain(rows)[0])
+    levels = [f for name, f in seen if name == "lm-asked"]
+    assert len(levels) > 1 and max(levels[0].groupBy("grams", "shard").count().agg({"count": "max"}).first()) > 16
+    for f in levels:
+        assert f.groupBy("grams", "shard", "part").count().agg({"count": "max"}).first()[0] <= 16
+
+
 def test_shards_and_blocks_do_not_matter():
     keys = np.array([5, 3, 2**63 + 9, 8, 12], np.uint64)
     order, found, first = ngrams._dealt(keys, 3)

@@ -26,6 +26,8 @@ from .common import saved
 FOLDS, HELD_OUT, DELETED = 5, 1, 2
 #: Words of a block, and words of the corpus for each shard of the counts, about.
 BLOCK, SHARD = 1 << 20, 1 << 21
+#: Blocks, or sums of blocks, that a shard adds up at once.
+FAN = 1024
 #: Steps in which probabilities and counts are told apart for the weights, per factor of two.
 STEPS = 4
 #: Keys of the start and the end of a text; words are not empty and have no space.
@@ -191,6 +193,47 @@ def _answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(found, _schema(ANSWERED))])
 
 
+def _merged(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+    """What a part of the blocks asks a shard for, as one row that asks like a block."""
+    grams, shard, part, deleted = (k.as_py() for k in key)
+    keys = [np.frombuffer(k.as_buffer(), "<u8") for k in asked["keys"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    for part_of, counts in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), asked["counts"], strict=True):
+        total[part_of] += _unpacked(counts.as_py(), len(part_of))
+    return pa.Table.from_batches([_batch([(grams, shard, 2 * part + deleted, deleted, distinct.tobytes(), _packed(total))], _schema(ASKED))])
+
+
+def _passed_on(key: tuple[pa.Scalar, ...], asked: pa.Table, answered: pa.Table) -> pa.Table:
+    """The answer to a part of the blocks, for each of them."""
+    grams, shard = key[0].as_py(), key[1].as_py()
+    keys = [np.frombuffer(k.as_buffer(), "<u8") for k in asked["keys"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    answer = answered.to_pylist()[0]
+    total, gone = (_unpacked(answer[c], len(distinct)) for c in ("counts", "deleted"))
+    parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+    rows = [(block, grams, shard, _packed(total[part]), _packed(gone[part]), None, None, None) for block, part in zip(asked["block"].to_pylist(), parts, strict=True)]
+    return pa.Table.from_batches([_batch(rows, _schema(ANSWERED))])
+
+
+def _answers(asked: DataFrame, blocks: int, groups: int) -> DataFrame:
+    """The sums of each shard for each block that asked, whatever the number of blocks.
+
+    The commonest words are in every block, so a shard that has one gets a row from each. Where that is more than FAN rows,
+    parts of the blocks are summed first and ask in their stead, in as many levels as it takes, and what they learn goes
+    back down. A row of a part has no more keys than its shard.
+    """
+    if blocks <= FAN:
+        return saved(asked.repartition(groups, "grams", "shard").groupBy("grams", "shard").applyInArrow(_answer, ANSWERED), "lm-counts")
+    parts = (blocks + FAN // 2 - 1) // (FAN // 2)
+    asked = saved(asked.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))), "lm-asked")
+    by = ["grams", "shard", "part", "deleted"]
+    told = _answers(saved(asked.groupBy(*by).applyInArrow(_merged, ASKED), "lm-parts"), parts, groups)
+    down = told.where("block >= 0").selectExpr("grams", "shard", "block div 2 AS part", "block % 2 = 1 AS odd", "counts", "deleted")
+    own = asked.withColumn("odd", F.col("deleted")).groupBy("grams", "shard", "part", "odd").cogroup(down.groupBy("grams", "shard", "part", "odd")).applyInArrow(_passed_on, ANSWERED)
+    return saved(own.union(told.where("block = -1")), "lm-counts")
+
+
 # --- places with their counts ----------------------------------------------------------------------------------------
 
 
@@ -309,7 +352,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     without ASCII white space, A-Z in lower case, and each text has an end, counted as a word. Returns doc_id, held_out,
     n_tokens (words and the end), n_known (those that the training texts have), train_tokens, base_score (words alone,
     one half added to each count) and score (by the mixture), both base-ten logarithms; one row for each row, other
-    columns are ignored. A null or empty text is an end alone. Without training texts all words are alike.
+    columns are ignored. A null or empty text is an end alone. Without training texts all words are alike. Repeated rows
+    are scored alike, and those that are learned from count each time. A text is never cut, so a very long one makes a
+    block as long as itself. An empty table gives an empty one.
 
     Counts are whole sums over all training texts. The driver gets sums of shards and, for the weights, how often deleted
     texts have each combination of a bucket and two rounded logarithms, whose number is bounded and not by the corpus.
@@ -321,8 +366,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     shards = words // SHARD + 1
     # groups are large and known in number, so they are dealt out by that and not by the session's number of partitions
     blocks = layout.count()
-    asked = layout.mapInArrow(partial(_ask, shards=shards), ASKED).repartition(4 * shards, "grams", "shard")
-    answers = saved(asked.groupBy("grams", "shard").applyInArrow(_answer, ANSWERED), "lm-counts")
+    answers = _answers(layout.mapInArrow(partial(_ask, shards=shards), ASKED), blocks, 4 * shards)
     distinct, tokens, deleted = answers.where("block = -1 AND grams = 1").agg(F.sum("seen"), F.sum("total"), F.sum("total_deleted")).first()
     tokens, distinct, deleted = tokens or 0, distinct or 0, deleted or 0
     layout = layout.repartition(max(1, 2 * blocks), "block")

@@ -101,3 +101,13 @@ def test_odd_rows(spark):
     assert found.count() == len(rows) and got[1].ids == [] and got[2].ids == [] and got[1].decoded == ""
     assert all(got[k].decoded == got[k].text for k in (2, 3, 5, 6, None)) and got[4].decoded == "mark   here"
     assert encode_texts(frame.limit(0), model).count() == 0
+
+
+def test_clashing_names_in_either_case(spark, tmp_path):
+    model = read_model(spark)
+    frame = spark.createDataFrame([(1, "some text", 5, "old")], "doc_id long, text string, IDS int, Decoded string")
+    found = decode_ids(encode_texts(frame, model), model)
+    assert found.columns == ["doc_id", "text", "ids", "decoded"] and found.first().decoded == "some text"
+    found.write.parquet(str(tmp_path / "out"))
+    odd = spark.createDataFrame([(None,), ([],), ([-1, 10**6, None],)], "ids array<int>")
+    assert [r.decoded for r in decode_ids(odd, model).collect()] == [None, "", ""]

@@ -67,7 +67,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     dropped) is added; a column of that name is replaced, and other names don't matter. A line is boilerplate if it stands
     in texts of SITES different sources or more, in SHORT_SITES if it has fewer than SHORT_WORDS words. Lines are compared
     whole; blank ones never go. The first occurrence, by doc_id (nulls first) and place, stays, so what copies share is not
-    lost with them; rows that repeat are one document in this, and are treated alike. A null source is no site; a null text
+    lost with them; rows that repeat are one document in this, and are treated alike, as are rows of one doc_id with other texts
+    that have the line at the same place. A null source is no site; a null text
     stays null and has no lines. A text of any length is one row and its lines are rows of their own. An empty table gives
     an empty one.
     """

@@ -254,7 +254,7 @@ class Decoder:
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; ids outside the vocabulary and control pieces have none, broken UTF-8 is replaced."""
         n = len(self.raw)
-        text = b"".join([self.raw[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+        text = b"".join([self.raw[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
         return text[1:] if self.vocab.first_mark and text.startswith(" ") else text
 
 
@@ -279,15 +279,15 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _with(docs: DataFrame, column: str, kind: DataType, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """docs with another column, which make adds last; one of that name is replaced."""
-    kept = docs.select(*[c for c in docs.columns if c != column])
+    """docs with another column, which make adds last; one of that name in either case is replaced."""
+    kept = docs.select(*[c for c in docs.columns if c.lower() != column.lower()])
     return kept.mapInArrow(given_back(make), StructType([*kept.schema.fields, StructField(column, kind)]))
 
 
 def encode_texts(docs: DataFrame, model: bytes, column: str = "ids") -> DataFrame:
     """Adds the ids (array of int) of each whole text of docs(text) and keeps all rows and other columns.
 
-    model is a SentencePiece file. A column that has the name already is replaced. A null or empty text has no ids; a
+    model is a SentencePiece file. A column that has the name already, in either case, is replaced. A null or empty text has no ids; a
     character without a piece is spelled in bytes, or is the unknown id where the vocabulary has no bytes. Repeated rows
     have the same ids each, and an empty table gives an empty one. There is no shuffle: each task encodes what it reads, in
     portions, so memory is bounded by the longest text and the caches.
@@ -312,7 +312,12 @@ def encode_texts(docs: DataFrame, model: bytes, column: str = "ids") -> DataFram
 
 
 def decode_ids(frame: DataFrame, model: bytes, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """Adds the text that the ids of frame(ids) stand for; null ids give null. A column of that name is replaced."""
+    """Adds the text that the ids of frame(ids) stand for, and keeps all rows and other columns.
+
+    Null ids give null, empty ones an empty text; ids outside the vocabulary, null ones among them and control pieces stand
+    for nothing, and bytes that aren't UTF-8 are replaced. A column of that name, in either case, is replaced. Repeated rows
+    have the same text each, a very long list of ids is decoded whole, and an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(_encoder(model).vocab)

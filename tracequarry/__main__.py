@@ -8,8 +8,9 @@ import os
 
 from pyspark.sql import SparkSession
 
-from .plans.report import as_csv, as_json, as_table, markdown, run_pack, run_statements
+from .plans.report import as_csv, as_json, as_table, markdown, run_pack, run_pack_text, run_statements
 from .plans.scenarios import SCENARIOS
+from .sources.ftrace import BASE, read_lines, write_kernel_log
 from .trace import Analyzer, TraceFile
 
 
@@ -29,6 +30,10 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--scenario", type=int, choices=sorted(SCENARIOS), metavar="NUMBER")
     parser.add_argument("--sql", help="statements over the trace's tables, parted by semicolons")
     parser.add_argument("--sql-file", metavar="FILE", help="the same from a file")
+    parser.add_argument("--sql-pack", metavar="FILE", help="titled blocks of SQL that the report runs instead of the scenarios")
+    parser.add_argument("--kernel-log", metavar="PATH", help="writes the events as a kernel log: a file, or a folder of parts with --parts")
+    parser.add_argument("--base-time", default=BASE, metavar="TIME", help="time to which a kernel log adds the trace's")
+    parser.add_argument("--parts", action="store_true", help="a kernel log in many parts, for long traces")
     parser.add_argument("--format", choices=("table", "csv", "json"), default="table")
     parser.add_argument("--report", metavar="FILE", help="all scenarios as Markdown; a file newer than a local trace stays unless --force")
     parser.add_argument("--jobs", type=int, default=4)
@@ -69,11 +74,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(show(query.execute().shown()))
     if args.scenario:
         print(show(SCENARIOS[args.scenario].plan(trace.tables)))
-    for text in (args.sql, args.sql_file and "\n".join(r.value for r in spark.read.text(args.sql_file).collect())):
+    for text in (args.sql, args.sql_file and "\n".join(r.value for r in spark.read.text(args.sql_file, wholetext=True).collect())):
         for frame in run_statements(trace.tables, text or ""):
             print(show(frame))
+    if args.kernel_log:
+        done = write_kernel_log(read_lines(spark, args.trace), args.kernel_log, args.base_time, not args.parts)
+        print(f"{done['rows']} rows in {done['seconds']:.1f} s, {done['rows_per_second']:.0f} rows a second")
     if args.report and (args.force or not fresh(args.report, args.trace)):
-        results = run_pack(trace.tables, jobs=args.jobs)
+        if args.sql_pack:
+            text = "\n".join(r.value for r in spark.read.text(args.sql_pack, wholetext=True).collect())
+            results = run_pack_text(trace.tables, text, args.jobs)
+        else:
+            results = run_pack(trace.tables, jobs=args.jobs)
         with open(args.report, "w", encoding="utf-8") as f:
             f.write(markdown(results, args.trace))
         return int(all(r.error for r in results))

@@ -93,7 +93,7 @@ def t6_cpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_text("t7_processes", "SELECT CAST(tid AS BIGINT) AS pid, name AS comm, kind AS type FROM knd")
 def t7_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [tuple(r) for r in _trace(spark, sf_dir).get_processes()], "pid long, comm string, type string")
+    return _trace(spark, sf_dir).processes()
 
 
 @_text("t8_process_types", "SELECT kind AS type, count(*) AS threads, count(DISTINCT name) AS names FROM knd GROUP BY kind")
@@ -153,13 +153,14 @@ def q15_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_text("q16_to_dataframe", f"{_ALL} SELECT ts, event, task FROM al WHERE cpu = 3 AND ts < {6 * DAY}")
 def q16_to_dataframe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(QueryBuilder(_events(spark, sf_dir)).cpu(3).time_range(0, 6 * 86400 - 1e-6).to_dataframe()[["ts", "event", "task"]])
+    return QueryBuilder(_events(spark, sf_dir)).cpu(3).time_range(0, 6 * 86400 - 1e-6).execute().shown().select("ts", "event", "task")
 
 
 @_text("q17_container", f"{_ALL}, r AS (SELECT ts, place FROM al WHERE cpu = 1) SELECT (SELECT count(*) FROM r) AS n, (SELECT ts FROM r ORDER BY ts, place LIMIT 1 OFFSET 7) AS eighth, (SELECT ts FROM r ORDER BY ts DESC, place DESC LIMIT 1) AS last, (SELECT CAST(sum(ts // 1000000) AS BIGINT) FROM r) AS total")
 def q17_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = QueryBuilder(kept(_events(spark, sf_dir), "events")).cpu(1).execute()
-    return _rows(spark, [(len(result), result[7].ts, result[-1].ts, sum(r.ts // 1000000 for r in result))], "n long, eighth long, last long, total long")
+    picked = _rows(spark, [(len(result), result[7].ts, result[-1].ts)], "n long, eighth long, last long")
+    return picked.join(result.frame.agg(F.sum(F.expr("ts div 1000000")).alias("total")))
 
 
 _STATS = "SELECT 'events' AS kind, CAST(count(*) AS VARCHAR) AS value FROM al UNION ALL SELECT 'processes', CAST(count(DISTINCT pid) AS VARCHAR) FROM al UNION ALL SELECT 'cpus', string_agg(DISTINCT cpu::VARCHAR, ' ' ORDER BY cpu::VARCHAR) FROM al UNION ALL SELECT prev_state, CAST(count(*) AS VARCHAR) FROM al WHERE prev_state IS NOT NULL GROUP BY prev_state"
@@ -181,7 +182,7 @@ for _name, _field, _where in (("q20_by_cpu", "cpu", "TRUE"), ("q21_by_process",
     @_text(_name, f"{_ALL} SELECT CAST({_field} AS VARCHAR) AS key, count(*) AS n, min(ts) AS first, max(ts) AS last FROM al WHERE ts < {4 * DAY} GROUP BY {_field}")
     def _groups(spark: SparkSession, sf_dir: str, name: str = _name[4:]) -> DataFrame:
         found = getattr(QueryBuilder(_events(spark, sf_dir)).time_range(0, 4 * 86400 - 1e-6).execute(), name)()
-        return _rows(spark, [(None if k is None else str(k), len(v), v[0].ts, v[-1].ts) for k, v in found.items()], "key string, n long, first long, last long")
+        return found.table().select(F.col(found.field).cast("string").alias("key"), F.col("count").alias("n"), F.col("first_ts").alias("first"), F.col("last_ts").alias("last"))
 
 
 @_text("q23_filter", f"{_ALL} SELECT CAST(cpu AS INT) AS cpu, count(*) AS count FROM al WHERE pid % 2 = 1 AND event = 'sched_switch' GROUP BY cpu")
@@ -318,13 +319,23 @@ def snk6_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_text("snk7_text", f"SELECT concat('sched_switch: prev_comm=', pc, ' prev_pid=', p, ' prev_prio=120 prev_state=', st, ' ==> next_comm=', uc, ' next_pid=', u, ' next_prio=', prio) AS line FROM sw WHERE cpu = 2 AND ts < {6 * DAY}")
 def snk7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, QueryResult(within(_events(spark, sf_dir), None, 6 * DAY - 1).where("cpu = 2 AND event = 'sched_switch'")).to_text("raw"))
+    return QueryResult(within(_events(spark, sf_dir), None, 6 * DAY - 1).where("cpu = 2 AND event = 'sched_switch'")).lines("raw")
 
 
-@_text("snk9_report", f"SELECT 'cpu=' || cpu || ', count=' || count || ', percent=' || printf('%.2f', percent) || ', level=' || {_LEVEL} AS line FROM ({_CPUS.replace('GROUP BY ALL', 'GROUP BY 1')}) UNION ALL SELECT '[' || s || ']' FROM unnest(['next_comm', 'prev_comm', 'virtualisation', 'cpu', 'blocked', 'states', 'summary']) t(s)")
+_TOP_NAMES = " UNION ALL ".join(f"SELECT 'comm=' || comm || ', count=' || count || ', percent=' || printf('%.2f', percent) FROM ({ORACLE[q].replace(f'WITH {_TEXT}', '')})" for q in ("r01_next_comm", "r02_prev_comm"))
+_SUMMED = "total_events={}, blocked_names={}, virtualisation_names={}, most_active={}, most_active_count={}, busiest_cpu={}, busiest_cpu_count={}"
+
+
+@_text("snk9_report", f"""SELECT 'cpu=' || cpu || ', count=' || count || ', percent=' || printf('%.2f', percent) || ', level=' || {_LEVEL} AS line FROM ({_CPUS.replace('GROUP BY ALL', 'GROUP BY 1')})
+UNION ALL SELECT '[' || s || ']' FROM unnest(['next_comm', 'prev_comm', 'virtualisation', 'cpu', 'blocked', 'states', 'summary']) t(s)
+UNION ALL {_TOP_NAMES}
+UNION ALL SELECT 'comm=' || comm || ', count=' || count FROM ({ORACLE['r03_virtualisation'].replace(f'WITH {_TEXT}', '')})
+UNION ALL SELECT 'comm=' || comm || ', count=' || count || ', share=' || printf('%.2f', share) || ', verdict=' || verdict FROM ({ORACLE['r06_blocked'].replace(f'WITH {_TEXT}', '')})
+UNION ALL SELECT 'state=' || state || ', count=' || count || ', percent=' || printf('%.2f', percent) || ', description=' || description FROM ({ORACLE['r07_states'].replace(f'WITH {_TEXT}', '')})
+UNION ALL SELECT format('{_SUMMED}', total_events, blocked_names, virtualisation_names, most_active, most_active_count, busiest_cpu, busiest_cpu_count) FROM ({ORACLE['r08_summary'].replace(f'WITH {_TEXT}', '')})""")
 def snk9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\n".join(frequency.report_lines(kept(parse_switches(samples.trace_lines(spark, sf_dir)), "switches")))
-    return _lines(spark, text).where(r"line RLIKE '^(cpu=|\\[)'")
+    return _lines(spark, text).where("line <> ''")
 
 
 @_text("src4_catalog", "SELECT name, count(*) AS runs, CAST(sum(dur) AS BIGINT) AS used FROM schd JOIN thr USING (utid) GROUP BY name")
@@ -473,10 +484,18 @@ def c28_wait_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.wait_edges(reports.sections(_report(spark, sf_dir)))
 
 
-@_text("c29_lock_rings", f"""{_REPORT}, w AS (SELECT k AS task, k * k % 97 AS owner FROM k), r AS (SELECT task AS src, owner AS cur, 1 AS n, least(task, owner) AS low FROM w UNION ALL SELECT r.src, w.owner, n + 1, least(low, w.owner) FROM r JOIN w ON r.cur = w.task WHERE r.cur <> r.src AND n < 100)
-SELECT {_ADDRESS.format(x='src')} AS task, {_ADDRESS.format(x='low')} AS ring, CAST(n AS BIGINT) AS length FROM r WHERE cur = src""")
+@_text("c29_lock_rings", f"""{_REPORT}, w AS (SELECT report, k AS task, k * k % 97 AS owner FROM k), r AS (SELECT report, task AS src, owner AS cur, 1 AS n, least(task, owner) AS low FROM w UNION ALL SELECT r.report, r.src, w.owner, n + 1, least(low, w.owner) FROM r JOIN w ON r.cur = w.task AND r.report = w.report WHERE r.cur <> r.src AND n < 100)
+SELECT report, {_ADDRESS.format(x='src')} AS task, {_ADDRESS.format(x='low')} AS ring, CAST(n AS BIGINT) AS length FROM r WHERE cur = src""")
 def c29_lock_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crash.wait_rings(reports.wait_edges(reports.sections(_report(spark, sf_dir))).select("task", "owner"))
+    return crash.wait_rings(reports.wait_edges(reports.sections(_report(spark, sf_dir))).select("report", "task", "owner"))
+
+
+@_text("c30_rings_by_report", """WITH RECURSIVE w AS (SELECT DISTINCT event_type AS report, user_id AS task, (user_id * user_id + length(event_type)) % 150 AS owner FROM events),
+r AS (SELECT report, task AS src, owner AS cur, 1 AS n, least(task, owner) AS low FROM w UNION ALL SELECT r.report, r.src, w.owner, n + 1, least(low, w.owner) FROM r JOIN w ON r.cur = w.task AND r.report = w.report WHERE r.cur <> r.src AND n < 151)
+SELECT report, src AS task, low AS ring, CAST(n AS BIGINT) AS length FROM r WHERE cur = src""")
+def c30_rings_by_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_type report", "user_id task").distinct()
+    return crash.wait_rings(users.selectExpr("report", "task", "(task * task + length(report)) % 150 owner"))
 
 
 _QUICK = "SELECT report, CASE k % 6 WHEN 0 THEN 'panic' WHEN 1 THEN 'memory' WHEN 2 THEN 'deadlock' WHEN 3 THEN 'filesystem' WHEN 4 THEN 'driver' END AS pattern FROM k WHERE k % 6 < 5 UNION ALL SELECT report, 'panic' FROM n"

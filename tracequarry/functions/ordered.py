@@ -4,9 +4,10 @@ A window function over a whole key puts all its rows into one task, and a trace
 buckets of the order column (a whole number, such as a time), and what crosses a bucket's edge comes from a table with a
 row for each key and bucket that has rows. Results are those of the plain window, whatever the width.
 
-Both the windows and the edges read the rows, so each function stores what it gets first: a chain of them reads its source
-once, and its plans don't double with each link. Rows are shuffled once, by key and bucket; the edges are summed before
-their shuffle, and the join finds the rows dealt as it needs them.
+Both the windows and the edges read the rows. So a function stores what it gets first, unless that is Parquet with narrow
+steps only: the first link of a chain over stored events stores nothing, each further one its input once, and plans don't
+double with each link. Rows are shuffled once, by key and bucket; the edges are summed before their shuffle, and the join
+finds the rows dealt as it needs them.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import kept_once
 
 _BUCKET, _KEY = "__bucket", "__key"
 
 
 def _bucketed(frame: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
-    """frame, stored, with its key as one value (a struct, in which nulls are alike) and its bucket."""
+    """frame, at hand or stored, with its key as one value (a struct, in which nulls are alike) and its bucket."""
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    return kept(frame, "ordered").withColumns({_KEY: key, _BUCKET: F.floor(F.col(at) / F.lit(width))})
+    return kept_once(frame, "ordered").withColumns({_KEY: key, _BUCKET: F.floor(F.col(at) / F.lit(width))})
 
 
 def _inner(at: str, ties: list[str]):

@@ -23,11 +23,16 @@ KINDS = (
 )
 
 
-def glob(column: Column | str, pattern: str) -> Column:
-    """Whether a text matches a case-sensitive shell pattern of *, ? and [sets]."""
+def glob_pattern(pattern: str) -> str:
+    """A shell pattern of *, ? and [sets] as a regular expression for a whole text."""
     parts = re.findall(r"\*|\?|\[\^?\]?[^\]]*\]|.", pattern, re.S)
     made = "".join(".*" if p == "*" else "." if p == "?" else p.replace("\\", "\\\\") if len(p) > 1 else re.escape(p) for p in parts)
-    return F.col(column).rlike(f"(?s)^{made}$") if isinstance(column, str) else column.rlike(f"(?s)^{made}$")
+    return f"(?s)^{made}$"
+
+
+def glob(column: Column | str, pattern: str) -> Column:
+    """Whether a text matches a case-sensitive shell pattern of *, ? and [sets]."""
+    return (F.col(column) if isinstance(column, str) else column).rlike(glob_pattern(pattern))
 
 
 def process_type(comm: Column | str, pid: Column | str) -> Column:

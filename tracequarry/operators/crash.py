@@ -111,20 +111,22 @@ def callers(frames: DataFrame, pattern: str) -> DataFrame:
 def wait_rings(waits: DataFrame) -> DataFrame:
     """Rings in waits(task, owner): tasks that wait for each other in a circle; a task waits for one owner at most.
 
-    Following the owners 2^k steps at once, after at least as many steps as there are tasks only ring members are
-    reached. Each round joins the table with itself by one key; the number of rounds is the logarithm of the tasks.
-    Returns task, ring (the least task of it) and length.
+    With a column report, tasks of different reports are different, whatever their addresses. Following the owners 2^k
+    steps at once, after at least as many steps as there are tasks only ring members are reached. Each round joins the
+    table with itself by one key; the number of rounds is the logarithm of the tasks of a report. Returns task, ring (the
+    least task of it) and length, and report if there is one.
     """
-    step = kept(waits.where("task IS NOT NULL AND owner IS NOT NULL").groupBy("task").agg(F.min("owner").alias("owner")), "waits")
-    n = step.count()
-    jump, done = step.select("task", F.col("owner").alias("to"), F.least("task", "owner").alias("low")), 1
+    by = ["report"] if "report" in waits.columns else []
+    step = kept(waits.where("task IS NOT NULL AND owner IS NOT NULL").groupBy(*by, "task").agg(F.min("owner").alias("owner")), "waits")
+    n = step.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    jump, done = step.select(*by, "task", F.col("owner").alias("to"), F.least("task", "owner").alias("low")), 1
     while done < n:
-        further = jump.select(F.col("task").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low"))
-        jump = kept(jump.join(further, "to").select("task", F.col("__to").alias("to"), F.least("low", "__low").alias("low")), "waits")
+        further = jump.select(*by, F.col("task").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low"))
+        jump = kept(jump.join(further, [*by, "to"]).select(*by, "task", F.col("__to").alias("to"), F.least("low", "__low").alias("low")), "waits")
         done *= 2
-    members = jump.select(F.col("to").alias("task")).distinct()
-    rings = members.join(jump.select("task", F.col("low").alias("ring")), "task")
-    return rings.join(rings.groupBy("ring").agg(F.count("*").alias("length")), "ring").select("task", "ring", "length")
+    members = jump.select(*by, F.col("to").alias("task")).distinct()
+    rings = members.join(jump.select(*by, "task", F.col("low").alias("ring")), [*by, "task"])
+    return rings.join(rings.groupBy(*by, "ring").agg(F.count("*").alias("length")), [*by, "ring"]).select(*by, "task", "ring", "length")
 
 
 def leaks(slab: DataFrame, memory_bytes: int, share: float = 0.1) -> DataFrame:

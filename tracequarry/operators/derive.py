@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import last_known, neighbour, running_height
+from ..functions.store import kept_once
+from . import requests
 from ..schemas import columns
 
 #: Nanoseconds of a window's bucket.
@@ -21,13 +24,15 @@ STACK_EVENTS = (
     ("softirq_exit", "E", "softirq", "cpu_softirq"),
     ("sys_enter", "B", "syscall", "thread"),
     ("sys_exit", "E", "syscall", "thread"),
-    ("block_rq_issue", "B", "block_io", "block"),
-    ("block_rq_complete", "E", "block_io", "block"),
 )
 
 
 def line_id(frame: DataFrame) -> Column:
-    """A row's id from its place: the place itself if it is a number, else a hash of 60 bits."""
+    """A row's id from its place: the place itself if it is a number, else a hash of 60 bits.
+
+    A file's lines are told apart by a hash so that ids don't depend on how the file was read. Of 10^9 lines two share an id
+    about every other time; ids only name rows, so orders and pairs never rest on them.
+    """
     return F.col("place") if frame.schema["place"].dataType.simpleString() == "bigint" else F.shiftright(F.xxhash64("place"), 4)
 
 
@@ -79,12 +84,8 @@ def sched(events: DataFrame, width: int = WIDTH) -> DataFrame:
     return shaped(found, "sched")
 
 
-def thread_states(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """thread_state: Running from the switch to a thread, its state's letter from the switch away, R from a wake-up.
-
-    A wake-up of a thread that runs or may run already changes nothing and is dropped. Of changes at one time, the switch
-    away comes first, then the wake-up, then the switch to the thread.
-    """
+def state_changes(events: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of thread_state with kind and place, which put changes of a thread at one time in order, and next.ts."""
     number, switched, none = line_id(events) * 4, "event = 'sched_switch' AND next_pid IS NOT NULL", F.lit(None).cast("long")
 
     def change(kind: int, if_so: str, pid: str, state: Column, waker: Column, ucpu: Column) -> Column:
@@ -100,12 +101,27 @@ def thread_states(events: DataFrame, width: int = WIDTH) -> DataFrame:
     changes = neighbour(every, ["utid"], "ts", ["kind", "place"], ["state"], "before", width, -1)
     real = changes.where("NOT (kind = 1 AND coalesce(before.state, '') IN ('R', 'R+', 'Running'))").drop("before")
     found = neighbour(real, ["utid"], "ts", ["kind", "place"], ["ts"], "next", width)
-    return shaped(found.withColumn("dur", F.col("next.ts") - F.col("ts")), "thread_state")
+    return found.withColumn("dur", F.col("next.ts") - F.col("ts")).drop("next")
+
+
+def thread_states(events: DataFrame, width: int = WIDTH) -> DataFrame:
+    """thread_state: Running from the switch to a thread, its state's letter from the switch away, R from a wake-up.
+
+    A wake-up of a thread that runs or may run already changes nothing and is dropped. Of changes at one time, the switch
+    away comes first, then the wake-up, then the switch to the thread.
+    """
+    return shaped(state_changes(events, width), "thread_state")
+
 
+def sched_latency(states: DataFrame, width: int = WIDTH) -> DataFrame:
+    """sched_latency_for_running_interval: how long a thread that runs was runnable just before.
 
-def sched_latency(thread_state: DataFrame, width: int = WIDTH) -> DataFrame:
-    """sched_latency_for_running_interval: how long a thread that runs was runnable just before."""
-    found = neighbour(thread_state.select("id", "ts", "dur", "utid", "state"), ["utid"], "ts", ["id"], ["id", "state", "dur"], "before", width, -1).where("state = 'Running' AND before.state IN ('R', 'R+')")
+    states is what state_changes() returns, or a thread_state, whose ids hold the kind of change in their last two bits;
+    that of a text has no order among changes of one time and one kind.
+    """
+    ties = ["kind", "place"] if "place" in states.columns else ["kind", "id"]
+    each = states.withColumn("kind", F.pmod("id", F.lit(4))).select("id", "ts", "dur", "utid", "state", *ties[: 1 + (ties[1] == "place")])
+    found = neighbour(each, ["utid"], "ts", ties, ["id", "state", "dur"], "before", width, -1).where("state = 'Running' AND before.state IN ('R', 'R+')")
     return shaped(found.selectExpr("id thread_state_id", "(id - 2) div 4 sched_id", "utid", "before.id runnable_latency_id", "before.dur latency_dur"), "sched_latency_for_running_interval")
 
 
@@ -117,7 +133,7 @@ def begins_and_ends(events: DataFrame) -> DataFrame:
     category = F.create_map(*[F.lit(v) for e, _, c, _ in STACK_EVENTS for v in (e, c)])[F.col("event")]
     track_type = F.create_map(*[F.lit(v) for e, _, _, t in STACK_EVENTS for v in (e, t)])[F.col("event")]
     found = events.where(F.col("event").isin([e for e, *_ in STACK_EVENTS])).select("ts", "cpu", "pid", "place", kind.alias("kind"), category.alias("category"), track_type.alias("type"), name.alias("name"))
-    order = F.when(F.col("type") == "cpu_irq", 0).when(F.col("type") == "cpu_softirq", 1).when(F.col("type") == "block", 2).otherwise(3)
+    order = F.when(F.col("type") == "cpu_irq", 0).when(F.col("type") == "cpu_softirq", 1).otherwise(3)
     of = F.when(F.col("type") == "thread", utid_of("pid", "cpu")).otherwise(F.col("cpu").cast("long"))
     return found.select("ts", (of * 4 + order).alias("track_id"), "kind", "category", "name", "type", "place", F.when(F.col("type") == "thread", utid_of("pid", "cpu")).alias("utid"))
 
@@ -196,14 +212,38 @@ class Tables(Mapping[str, DataFrame]):
 
 
 def trace_tables(events: DataFrame, counter_events: tuple[str, ...] = (), width: int = WIDTH) -> Tables:
-    """All tables of a trace by name, each made when it is used, from others that were made for it only once."""
-    stack = begins_and_ends(events)
+    """All tables of a trace by name, each made when it is used, from others that were made for it only once.
+
+    slice and track hold nested slices, which end on top of a stack, and block requests, which end in any order. Events that
+    aren't stored are stored once, when the first table is made that reads them more than once.
+    """
+
+    @cache
+    def own() -> DataFrame:
+        return kept_once(events, "events")
+
+    @cache
+    def stack() -> DataFrame:
+        return begins_and_ends(own())
+
+    @cache
+    def changes() -> DataFrame:
+        return state_changes(own(), width)
+
+    @cache
+    def block() -> DataFrame:
+        return requests.block_requests(own())
+
+    def every_slice(t: Tables) -> DataFrame:
+        asked = requests.paired(block(), width).withColumns({"id": line_id(events), "depth": F.lit(0)})
+        return slices(stack(), width).union(shaped(asked, "slice"))
+
     return Tables(
         {
-            "sched": lambda t: sched(events, width), "thread_state": lambda t: thread_states(events, width), "thread": lambda t: threads(events),
-            "process": lambda t: processes(t["thread"]), "slice": lambda t: slices(stack, width), "track": lambda t: tracks(stack),
+            "sched": lambda t: sched(own(), width), "thread_state": lambda t: shaped(changes(), "thread_state"), "thread": lambda t: threads(events),
+            "process": lambda t: processes(t["thread"]), "slice": every_slice, "track": lambda t: tracks(stack()).union(shaped(requests.devices(block()), "track")),
             "counter": lambda t: counters(events, counter_events)[0], "counter_track": lambda t: counters(events, counter_events)[1],
-            "sched_latency_for_running_interval": lambda t: sched_latency(t["thread_state"], width), "linux_hard_irqs": lambda t: hard_irqs(t["slice"], t["track"]),
-            "linux_soft_irqs": lambda t: soft_irqs(t["slice"], t["track"]), "_slice_flattened": lambda t: flattened(stack, width),
+            "sched_latency_for_running_interval": lambda t: sched_latency(changes(), width), "linux_hard_irqs": lambda t: hard_irqs(t["slice"], t["track"]),
+            "linux_soft_irqs": lambda t: soft_irqs(t["slice"], t["track"]), "_slice_flattened": lambda t: flattened(stack(), width),
         }
     )

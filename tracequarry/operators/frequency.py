@@ -5,6 +5,8 @@ Input is what parse_switches() returns. Ties keep the order in which the lines f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +70,14 @@ def summary(switches: DataFrame) -> DataFrame:
     return whole.join(machines).join(active, always, "left").join(cpu, always, "left")
 
 
-def report_lines(switches: DataFrame) -> list[str]:
-    """The report as text; each section holds a bounded number of rows but for the CPUs, states and blocked names."""
+def report_lines(switches: DataFrame) -> Iterator[str]:
+    """The report as text, a line at a time; only the lists of most frequent names have a number of rows that is fixed."""
     sections = (
-        ("next_comm", frequent(switches, "next_comm")), ("prev_comm", frequent(switches, "prev_comm")), ("virtualisation", virtualisation(switches).limit(TOP)),
-        ("cpu", by_cpu(switches)), ("blocked", blocked(switches).limit(TOP)), ("states", states(switches)), ("summary", summary(switches)),
+        ("next_comm", frequent(switches, "next_comm")), ("prev_comm", frequent(switches, "prev_comm")), ("virtualisation", virtualisation(switches)),
+        ("cpu", by_cpu(switches)), ("blocked", blocked(switches)), ("states", states(switches)), ("summary", summary(switches)),
     )
-    lines = []
     for name, frame in sections:
-        lines += [f"[{name}]", *(", ".join(f"{c}={v:.2f}" if isinstance(v, float) else f"{c}={v}" for c, v in r.asDict().items()) for r in frame.collect()), ""]
-    return lines
+        yield f"[{name}]"
+        for r in frame.toLocalIterator():
+            yield ", ".join(f"{c}={v:.2f}" if isinstance(v, float) else f"{c}={v}" for c, v in r.asDict().items())
+        yield ""

@@ -5,14 +5,15 @@ from __future__ import annotations
 import csv
 import io
 import json
-import re
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 
 from .scenarios import SCENARIOS, Scenario, Tables
+from .statements import Catalog, pack, statements  # noqa: F401  (statements is used from here)
 
 #: Rows of a scenario that a report shows.
 SHOWN = 20
@@ -45,14 +46,22 @@ def run_pack(tables: Tables, numbers: Iterable[int] = tuple(range(1, 31)), jobs:
         return list(pool.map(lambda n: run_scenario(SCENARIOS[n], tables), sorted(numbers)))
 
 
+def run_pack_text(tables: Tables, text: str, jobs: int = 4) -> list[Result]:
+    """Results of the blocks of a pack of SQL, in their order; a block's error stays its own."""
+    catalog = Catalog(tables)
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        return list(pool.map(lambda s: run_scenario(s, catalog), pack(text)))
+
+
 def _cell(value: object) -> str:
     return "" if value is None else str(value).replace("|", "\\|")
 
 
-def markdown(results: list[Result], trace: str) -> str:
-    """A report with a table for each scenario, and how many rows it found and doesn't show."""
-    failed = [r for r in results if r.error]
-    lines = ["# Trace analysis", "", f"- Trace: {trace}", f"- Scenarios: {len(results)}", f"- Failed: {len(failed)}", ""]
+def markdown(results: list[Result], trace: str, at: datetime | None = None) -> str:
+    """A report with a table for each scenario, and how many rows it found and doesn't show; at: its date, else now."""
+    failed = sum(bool(r.error) for r in results)
+    date = f"{at or datetime.now():%Y-%m-%d %H:%M:%S}"
+    lines = ["# Trace analysis", "", f"- Trace: {trace}", f"- Date: {date}", f"- Scenarios: {len(results)}", f"- Succeeded: {len(results) - failed}", f"- Failed: {failed}", ""]
     for r in results:
         lines += [f"## {r.scenario.number}. {r.scenario.title}", "", f"{r.scenario.goal}", ""]
         if r.error:
@@ -96,19 +105,11 @@ def as_json(frame: DataFrame, n: int | None = None) -> str:
 
 
 def register(tables: Tables) -> None:
-    """Makes tables temporary views, for SQL of one's own by spark.sql()."""
+    """Makes all tables temporary views, for SQL of one's own by spark.sql(); a Catalog makes only those that are named."""
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
 
 
-def statements(text: str) -> list[str]:
-    """The statements of an SQL text: parted by semicolons at line ends, without comment lines and module includes."""
-    kept = [line for line in text.splitlines() if not line.lstrip().startswith("--") and not re.match(r"\s*INCLUDE\s", line, re.IGNORECASE)]
-    return [s.strip() for s in re.split(r";[ \t]*(?:\n|$)", "\n".join(kept)) if s.strip()]
-
-
 def run_statements(tables: Tables, text: str) -> list[DataFrame]:
-    """A frame for each statement of an SQL text, over the tables as views."""
-    register(tables)
-    spark = next(iter(tables.values())).sparkSession
-    return [spark.sql(s) for s in statements(text)]
+    """A frame for each statement of an SQL text; only tables that a statement names are made."""
+    return Catalog(tables).run(text)

@@ -105,8 +105,10 @@ def modules(lines: DataFrame) -> DataFrame:
 def wait_edges(sectioned: DataFrame) -> DataFrame:
     """Who waits for whom, from the sections of wait queues and mutexes: report, lock, task and owner (addresses).
 
-    sectioned is what sections() returns. A lock without an owner's section has a null owner.
+    sectioned is what sections() returns. A lock without an owner's section has a null owner; of several owners' lines
+    the last counts.
     """
     waits = sectioned.where(F.col("section").rlike(WAITED) & F.col("text").rlike(WAITER)).select("report", F.regexp_extract("section", WAITED, 1).alias("lock"), F.regexp_extract("text", WAITER, 2).alias("task"))
-    owners = sectioned.where(F.col("section").rlike(LOCKED) & F.col("text").rlike(OWNER)).select("report", F.regexp_extract("section", LOCKED, 1).alias("lock"), F.regexp_extract("text", OWNER, 1).alias("owner"))
-    return waits.join(owners.dropDuplicates(["report", "lock"]), ["report", "lock"], "left").select("report", "lock", "task", "owner")
+    owners = sectioned.where(F.col("section").rlike(LOCKED) & F.col("text").rlike(OWNER)).select("report", F.regexp_extract("section", LOCKED, 1).alias("lock"), F.regexp_extract("text", OWNER, 1).alias("owner"), "line_no")
+    last = owners.groupBy("report", "lock").agg(F.max_by("owner", "line_no").alias("owner"))
+    return waits.join(last, ["report", "lock"], "left").select("report", "lock", "task", "owner")

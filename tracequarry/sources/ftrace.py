@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .index import Index
+
 # The forms of a trace line and of the fields of its message.
 LINE = r"(?s)^\s*(.*?)-(\d+)\s+\[(\d+)\]\s+(\S{4,5})\s+([\d.]+):\s+(.*)$"
 FIELDS = {
@@ -25,8 +27,8 @@ WAKE_FIELDS = {"wake_comm": (r"(?:^|\s)comm=(\S+)", "string"), "wake_pid": (r"(?
 PARTITION_NS = 60 * 10**9
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and place of each line; place sorts as the lines stand in the files."""
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value and place of each line of a path or of several; place sorts as the lines stand in the files."""
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     return lines.select("value", F.struct("file_path", "file_block_start", F.monotonically_increasing_id().alias("row")).alias("place"))
 
@@ -66,9 +68,15 @@ def parse_switches(lines: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str, partition_ns: int = PARTITION_NS) -> None:
-    """Stores events as Parquet by time, sorted by cpu and ts, so that scans skip by partition and by statistics."""
+    """Stores events as Parquet by time, sorted by cpu and ts, so that scans skip by partition and by statistics.
+
+    Pids lie anywhere in a partition, so these columns have Bloom filters, by which a scan skips row groups without a pid.
+    """
     by_time = events.withColumn("ts_part", F.floor(F.col("ts") / partition_ns))
-    by_time.repartitionByRange("ts_part", "cpu", "ts").sortWithinPartitions("ts_part", "cpu", "ts").write.mode("overwrite").partitionBy("ts_part").parquet(path)
+    writer = by_time.repartitionByRange("ts_part", "cpu", "ts").sortWithinPartitions("ts_part", "cpu", "ts").write.mode("overwrite").partitionBy("ts_part")
+    for column in ("pid", "prev_pid", "next_pid"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
 
 
 def within(events: DataFrame, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
@@ -82,14 +90,22 @@ def within(events: DataFrame, start: int | None = None, end: int | None = None,
 
 
 def read_events(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
-    """Stored events with their partition ts_part, those with start <= ts <= end if given."""
-    return within(spark.read.parquet(path), start, end, partition_ns)
+    """Stored events with their partition ts_part, those with start <= ts <= end if given; of an index, what it holds."""
+    stored = Index(spark, path)
+    found = stored.events() if stored.files() is not None else spark.read.parquet(path)
+    return within(found, start, end, partition_ns)
 
 
 def counters(lines: DataFrame) -> DataFrame:
     """One row on a trace text: lines, events, switches and skipped (lines that are no events), in one pass over the text."""
-    parsed = parse_events(lines).agg(F.count("*").alias("events"), F.count_if(F.col("event") == "sched_switch").alias("switches"))
-    return lines.agg(F.count("*").alias("lines")).join(parsed).select("lines", "events", "switches", (F.col("lines") - F.col("events")).alias("skipped"))
+    # a line's parts, as parse_events() takes it apart; null where it is skipped
+    usable = ~F.col("value").startswith("#") & (F.col("value") != "") & ~F.contains("value", F.lit("buffer started"))
+    parts = F.when(usable, F.split(F.regexp_replace("value", LINE, "$1\n$2\n$3\n$4\n$5\n$6"), "\n", 6))
+    each = lines.select(F.explode_outer(F.array(parts)).alias("p"))
+    event = (F.size("p") == 6) & F.col("p")[4].try_cast("decimal(20,9)").isNotNull()
+    switch = event & F.regexp_extract(F.col("p")[5], r"^([^\s:]+):", 1).eqNullSafe("sched_switch")
+    found = each.agg(F.count("*").alias("lines"), F.count_if(event).alias("events"), F.count_if(switch).alias("switches"))
+    return found.select("lines", "events", "switches", (F.col("lines") - F.col("events")).alias("skipped"))
 
 
 def write_counted(frame: DataFrame, path: str, name: str = "rows") -> dict[str, float]:
@@ -120,3 +136,23 @@ def kernel_log_header(base: str = BASE) -> str:
     """The first line of a kernel log: its window of half an hour."""
     end = (datetime.fromisoformat(base.replace("Z", "+00:00")) + timedelta(minutes=30)).strftime("%Y-%m-%dT%H:%M:%SZ")
     return f"window={base}-{end} start_utc={base} end_utc={end} tag=ftrace_transform"
+
+
+def write_kernel_log(lines: DataFrame, path: str, base: str = BASE, single: bool = False) -> dict[str, float]:
+    """Writes a kernel log in the order of the lines: a folder of text parts, the header first, or one file.
+
+    Rows are dealt out by ranges of place and sorted within, so the parts one after another are the log, however large.
+    Rows are counted while they are written: rows (events), seconds and rows_per_second. single: one task writes one file.
+    """
+    spark, begun, seen = lines.sparkSession, time.perf_counter(), Observation("kernel log")
+    rows = kernel_log(lines, base)
+    # a place that is null comes before all others
+    header = spark.range(1).select(F.lit(kernel_log_header(base)).alias("value"), F.lit(None).cast(rows.schema["place"].dataType).alias("place"))
+    ordered = header.union(rows).repartitionByRange(F.col("place").asc_nulls_first()).sortWithinPartitions(F.col("place").asc_nulls_first()).select("value")
+    ordered = ordered.observe(seen, (F.count(F.lit(1)) - 1).alias("rows"))  # after the ranges, which take a sample of their own
+    if single:
+        Index(spark, path).write_one(ordered)
+    else:
+        ordered.write.mode("overwrite").text(path)
+    count, seconds = seen.get["rows"], time.perf_counter() - begun
+    return {"rows": count, "seconds": seconds, "rows_per_second": count / seconds if seconds else 0.0}

@@ -100,6 +100,43 @@ def interrupt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode(F.expr(f"filter({both}, x -> x.value IS NOT NULL)")).alias("x")).select("x.value", "x.place")
 
 
+def _at(us: str) -> str:
+    """SQL for a trace's seconds from microseconds."""
+    return f"concat(CAST(({us}) div 1000000 AS STRING), '.', lpad(CAST(({us}) % 1000000 AS STRING), 6, '0'))"
+
+
+def _lines_of(frame: DataFrame, *lines: str) -> DataFrame:
+    """Trace text (value, place) of the lines that aren't null of each event; place is the event's number and the line's."""
+    made = ", ".join(f"named_struct('value', {line}, 'place', event_id * {len(lines)} + {k})" for k, line in enumerate(lines))
+    return frame.select(F.explode(F.expr(f"filter(array({made}), x -> x.value IS NOT NULL)")).alias("x")).select("x.value", "x.place")
+
+
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace text of block requests from events, which overlap and end on another CPU; a few sectors of three devices.
+
+    A signup's request never ends, and an error is an end whose begin lies before the trace.
+    """
+    found = _table(spark, sf_dir, "events").selectExpr("event_id", "user_id u", "event_type", f"unix_micros(CAST(ts AS timestamp)) - {EPOCH_US} us", "event_id % 50 * 8 sector", "(1 + (user_id * 37 + event_id) % 11) * 2400000000L lag")
+    said = "concat(' p', u, '-', u, ' [', lpad(CAST(pmod({cpu}, 8) AS STRING), 3, '0'), '] d... ', {at}, ': {event}: 8,', u % 3 * 16, ' WS {size}() ', {sector}, ' + 8 [{last}]')"
+    issue = said.format(cpu="u", at=_at("us"), event="block_rq_issue", size="4096 ", sector="sector", last="app")
+    complete = said.format(cpu="u + 3", at=_at("us + lag"), event="block_rq_complete", size="", sector="IF(event_type = 'error', 1000000 + event_id, sector)", last="0")
+    return _lines_of(found, f"IF(event_type <> 'error', {issue}, NULL)", f"IF(event_type <> 'signup', {complete}, NULL)")
+
+
+def call_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace text of the ends of system calls from events; errors and signups are failures."""
+    found = _table(spark, sf_dir, "events").selectExpr("event_id", "user_id u", f"unix_micros(CAST(ts AS timestamp)) - {EPOCH_US} us", "CASE event_type WHEN 'error' THEN -11 - user_id % 2 WHEN 'signup' THEN -4 ELSE event_id % 7 END value")
+    return _lines_of(found, f"concat(' p', u, '-', u, ' [000] d... ', {_at('us')}, ': sys_exit: NR ', u % 30, ' = ', value)")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times (key, ts) from events: every 7 ms; every 10 ms with jitter of 0.3 ms and one in ten missing; spread at random;
+    as they are."""
+    found = _table(spark, sf_dir, "events").selectExpr("event_id", "event_id div 4 n", "user_id u", "unix_micros(CAST(ts AS timestamp)) * 1000 ts", "event_id % 4 kind")
+    each = f"CASE kind WHEN 0 THEN n * 7000000 WHEN 1 THEN n * 10000000 + (u * 37 + event_id * 11) % 601 * 1000 - 300000 WHEN 2 THEN (event_id * 7919 + u * 104729) * 1000003 % 20000000000 ELSE ts - {EPOCH_US} * 1000 END"
+    return found.where("kind <> 1 OR u % 10 <> 3").selectExpr("CAST(kind AS BIGINT) key", f"{each} ts")
+
+
 #: Sections of a made-up crash report: command, and the line numbers from which its lines stand.
 SECTIONS = {"sys": 0, "ps": 10**7, "kmem -s": 2 * 10**7, "log": 3 * 10**7, "foreach bt": 4 * 10**7, "irq": 5 * 10**7, "timer": 6 * 10**7, "mod": 7 * 10**7, "kmem -i": 8 * 10**7}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 from typing import Any
 
@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .functions.text import process_type
 from .operators import analyzer, derive
 from .plans.report import as_csv, as_json, as_table
-from .sources.ftrace import parse_events, read_events, read_lines, within, write_events
+from .sources.ftrace import parse_events, read_lines, within, write_events
+from .sources.index import Index
 
 NS = 10**9
-#: First lines from whose length the number of all lines is estimated, and other names of fields of events.
-SAMPLED = 1000
+#: First lines from whose length the number of all lines is estimated, bytes of a file's head and tail that are looked at, and
+#: other names of fields of events.
+SAMPLED, GLANCED = 1000, 1 << 16
 FIELDS = {"timestamp": "ts", "time": "ts", "comm": "task", "event_type": "event"}
 
 
@@ -24,34 +26,30 @@ class TraceFile:
     """Events of a trace text or of stored events; nothing is read until an answer is asked for."""
 
     def __init__(self, spark: SparkSession, path: str, index: str | None = None):
-        """index: a folder of events stored by build_index(); it is used if it is there and not older than the text."""
+        """index: a folder of events stored by build_index(); it is used if it holds the text's files as they are now."""
         self.spark, self.path, self.index = spark, path, index
 
-    def _status(self, path: str) -> list:
-        """What the store says of the files of a path."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return list(place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place) or [])
-
     def has_index(self) -> bool:
-        """Whether stored events are there that are as new as the trace."""
+        """Whether stored events are there, of the same files as the trace has now, each of the same length and time."""
         if self.index is None:
             return False
-        stored, texts = self._status(f"{self.index}/_SUCCESS"), self._status(self.path)
-        return bool(stored) and all(t.getModificationTime() <= stored[0].getModificationTime() for t in texts)
+        stored = Index(self.spark, self.index)
+        known = stored.files()
+        return known is not None and known == stored.listed(self.path)
 
-    def build_index(self, force: bool = False) -> None:
-        """Stores the events by time and CPU, unless they are stored already."""
+    def build_index(self, force: bool = False) -> int:
+        """Stores the events of files that aren't stored yet, all of them if one has changed; returns how many were read."""
         if self.index is None:
             raise ValueError("no folder for the index was given")
-        if force or not self.has_index():
-            write_events(parse_events(read_lines(self.spark, self.path)), self.index)
-            for made in ("events", "tables"):
-                self.__dict__.pop(made, None)
+        read = Index(self.spark, self.index).update(self.path, lambda files: parse_events(read_lines(self.spark, files)), write_events, force)
+        for made in ("events", "tables"):
+            self.__dict__.pop(made, None)
+        return read
 
     @cached_property
     def events(self) -> DataFrame:
         """All events; stored ones have their partition of time, ts_part, too."""
-        return read_events(self.spark, self.index) if self.has_index() else parse_events(read_lines(self.spark, self.path))
+        return Index(self.spark, self.index).events() if self.has_index() else parse_events(read_lines(self.spark, self.path))
 
     @cached_property
     def tables(self) -> derive.Tables:
@@ -68,22 +66,47 @@ class TraceFile:
 
     def file_info(self) -> dict[str, Any]:
         """filepath, file_size (as text), line_count (estimated from the length of the first lines) and indexed."""
-        size = sum(self.spark._jvm.org.apache.hadoop.fs.FileSystem.get(x.getPath().toUri(), self.spark._jsc.hadoopConfiguration()).getContentSummary(x.getPath()).getLength() for x in self._status(self.path))
+        size = sum(n for n, _ in Index(self.spark, self.path).listed(self.path).values())
         first = [len(r.value.encode()) + 1 for r in self.spark.read.text(self.path).limit(SAMPLED).collect()]
         lines = len(first) if len(first) < SAMPLED else round(size * len(first) / sum(first))
         return {"filepath": self.path, "file_size": size_text(size), "line_count": lines, "indexed": self.has_index()}
 
+    def _info(self, events: int, first: int | None, last: int | None, kinds: list, cpus: int, processes: int) -> dict[str, Any]:
+        start, end = (first or 0) / NS, (last or 0) / NS
+        return {"event_count": events, "time_range": {"start": start, "end": end, "duration": end - start}, "event_types": sorted(k for k in kinds if k is not None), "cpu_count": cpus, "process_count": processes}
+
     def info(self) -> dict[str, Any]:
         """file_info(), event_count, time_range (start, end, duration in s), event_types, cpu_count and process_count.
 
-        With an index this reads four stored columns and parses nothing; without one it is a pass over the text.
+        With an index this reads its two side tables and no event; without one it is a pass over the text, for which
+        glance() is the quick form.
         """
-        found = self.events.agg(
-            F.count("*").alias("event_count"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.collect_set("event").alias("event_types"),
-            F.count_distinct("cpu").alias("cpu_count"), F.count_distinct("pid").alias("process_count"),
-        ).first()
-        start, end = (found["first"] or 0) / NS, (found["last"] or 0) / NS
-        return self.file_info() | {"event_count": found["event_count"], "time_range": {"start": start, "end": end, "duration": end - start}, "event_types": sorted(found["event_types"]), "cpu_count": found["cpu_count"], "process_count": found["process_count"]}
+        if self.has_index():
+            stored = Index(self.spark, self.index)
+            r = stored.totals().agg(F.sum("events"), F.min("first"), F.max("last"), F.collect_set("event"), F.count_distinct("cpu")).first()
+            processes = stored.pids().where("own").agg(F.count_distinct("pid")).first()[0]
+        else:
+            r = self.events.agg(F.count("*"), F.min("ts"), F.max("ts"), F.collect_set("event"), F.count_distinct("cpu"), F.count_distinct("pid")).first()
+            processes = r[5]
+        return self.file_info() | self._info(r[0] or 0, r[1], r[2], r[3], r[4], processes)
+
+    def glance(self) -> dict[str, Any]:
+        """info() from the first and last bytes of each file, whatever their length: event_count is estimated from the
+        length of those lines, and types, CPUs and processes are those seen there."""
+        stored = Index(self.spark, self.path)
+        files, texts = stored.listed(self.path), []
+        for name, (length, _) in files.items():
+            head = stored.part(name, 0, GLANCED)
+            tail = stored.part(name, max(GLANCED, length - GLANCED), GLANCED) if length > GLANCED else b""
+            # the lines at the cut are not whole
+            texts += (head if length <= GLANCED else head[: head.rfind(b"\n") + 1]).decode(errors="replace").split("\n")
+            texts += tail[tail.find(b"\n") + 1 if length > 2 * GLANCED else 0 :].decode(errors="replace").split("\n")
+        lines = [(x, k) for k, x in enumerate(texts) if x]
+        seen = parse_events(self.spark.createDataFrame(lines, "value string, place long"))
+        r = seen.agg(F.count("*"), F.min("ts"), F.max("ts"), F.collect_set("event"), F.count_distinct("cpu"), F.count_distinct("pid")).first()
+        size, looked = sum(n for n, _ in files.values()), sum(len(x.encode()) + 1 for x, _ in lines)
+        grown = max(1.0, size / looked) if looked else 1.0
+        return {"filepath": self.path, "file_size": size_text(size), "line_count": round(len(lines) * grown), "indexed": self.has_index()} | self._info(round(r[0] * grown), r[1], r[2], r[3], r[4], r[5])
 
     def summary(self) -> str:
         """info() as text."""
@@ -119,8 +142,8 @@ class TraceFile:
         return self.processes().groupBy("type").agg(F.count("*").alias("threads"), F.count_distinct("comm").alias("names"))
 
     def query(self) -> QueryBuilder:
-        """A query over all events."""
-        return QueryBuilder(self.events)
+        """A query over all events; by pid it reads only the partitions of an index in which the pid occurs."""
+        return QueryBuilder(self.events, parts=Index(self.spark, self.index).parts_of if self.has_index() else None)
 
 
 def size_text(size: float) -> str:
@@ -133,13 +156,16 @@ def size_text(size: float) -> str:
 
 
 class QueryBuilder:
-    """Filters that add up (and); each call returns a new query. ordered: the order is one that was asked for."""
+    """Filters that add up (and); each call returns a new query.
 
-    def __init__(self, frame: DataFrame, ordered: bool = False):
-        self.frame, self.ordered = frame, ordered
+    ordered: the order is one that was asked for; parts: says in which partitions of time (ts_part) pids occur.
+    """
+
+    def __init__(self, frame: DataFrame, ordered: bool = False, parts: Callable[[tuple[int, ...]], list[int] | None] | None = None):
+        self.frame, self.ordered, self.parts = frame, ordered, parts
 
     def _with(self, frame: DataFrame) -> QueryBuilder:
-        return QueryBuilder(frame, self.ordered)
+        return QueryBuilder(frame, self.ordered, self.parts)
 
     def where(self, condition: Column) -> QueryBuilder:
         return self._with(self.frame.where(condition))
@@ -162,17 +188,19 @@ class QueryBuilder:
         return self.where(F.col("cpu").isin(*cpus))
 
     def pid(self, *pids: int) -> QueryBuilder:
-        """Events of these pids; a switch belongs to both its sides."""
-        either = F.col("prev_pid").isin(*pids) | F.col("next_pid").isin(*pids)
-        return self.where(F.coalesce(F.when(F.col("event") == "sched_switch", either), F.col("pid").isin(*pids)))
+        """Events of these pids; a switch belongs to both its sides, or where one isn't said to the thread that it names."""
+        switch, own = F.col("event") == "sched_switch", F.col("pid").isin(*pids)
+        sides = switch & (F.col("prev_pid").isin(*pids) | F.col("next_pid").isin(*pids))
+        other = own & (F.col("event").isNull() | (F.col("event") != "sched_switch") | F.col("prev_pid").isNull() | F.col("next_pid").isNull())
+        parts = self.parts(pids) if self.parts else None
+        return self.where(sides | other if parts is None else F.col("ts_part").isin(parts) & (sides | other))
 
     def comm(self, *names: str, pattern: str | None = None) -> QueryBuilder:
         """Events of threads with one of these names, or a name that holds a pattern."""
         found = F.lit(False)
         for column in ("task", "prev_comm", "next_comm"):
-            found = found | F.coalesce(F.col(column).isin(*names), F.lit(False))
-            if pattern is not None:
-                found = found | F.coalesce(F.col(column).rlike(pattern), F.lit(False))
+            found = found | F.col(column).isin(*names) if names else found
+            found = found if pattern is None else found | F.col(column).rlike(pattern)
         return self.where(found)
 
     def process_type(self, *types: str) -> QueryBuilder:
@@ -259,20 +287,17 @@ class QueryResult:
         """Count, first and last time of each value of the fields (cpu, pid, prev_state)."""
         return self.frame.groupBy(*fields).agg(F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
-    def groups(self, field: str) -> dict[Any, list[Row]]:
-        """Rows by the value of a field, each group in order; for results that fit the driver. by() has sums of any size."""
-        found: dict[Any, list[Row]] = {}
-        for row in self:
-            found.setdefault(row[field], []).append(row)
-        return found
+    def groups(self, field: str) -> Groups:
+        """Results by the value of a field."""
+        return Groups(self, field)
 
-    def by_cpu(self) -> dict[int, list[Row]]:
+    def by_cpu(self) -> Groups:
         return self.groups("cpu")
 
-    def by_process(self) -> dict[int, list[Row]]:
+    def by_process(self) -> Groups:
         return self.groups("pid")
 
-    def by_state(self) -> dict[str, list[Row]]:
+    def by_state(self) -> Groups:
         return self.groups("prev_state")
 
     def timeline(self, bin_size: float = 0.001) -> DataFrame:
@@ -296,12 +321,18 @@ class QueryResult:
 
     def to_text(self, kind: str = "table", n: int | None = None) -> str:
         """All rows, or the first n, as a table, a list of fields, or the raw messages."""
-        rows = self.sorted() if n is None else self.sorted().limit(n)
         if kind == "table":
             return as_table(self.shown(), n)
+        rows = self.lines(kind)
+        return "\n".join(r["line"] for r in (rows if n is None else rows.limit(n)).toLocalIterator())
+
+    def lines(self, kind: str = "raw") -> DataFrame:
+        """The rows in order as text lines (line): the raw messages, or lists of fields; to_text() of any size."""
         if kind == "raw":
-            return "\n".join(r["message"] for r in rows.toLocalIterator())
-        return "\n".join(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows.drop("place", "ts_part").toLocalIterator())
+            return self.sorted().select(F.col("message").alias("line"))
+        shown = self.shown()
+        said = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in shown.columns]
+        return shown.select(F.concat_ws(", ", *said).alias("line"))
 
     def to_json(self, n: int | None = None) -> str:
         return as_json(self.shown(), n)
@@ -318,6 +349,41 @@ class QueryResult:
         return self.shown().toPandas()
 
 
+class Groups(Mapping[Any, QueryResult]):
+    """The values of a field, each with the result of its rows; only the distinct values come to the driver, when asked for.
+
+    A null value is a key. A result's rows are read by a filter on its value when they are asked for.
+    """
+
+    def __init__(self, result: QueryResult, field: str):
+        self.result, self.field = result, field
+
+    @cached_property
+    def values_found(self) -> list[Any]:
+        return [r[0] for r in self.result.frame.select(self.field).distinct().orderBy(self.field).toLocalIterator()]
+
+    def __getitem__(self, key: Any) -> QueryResult:
+        if key not in self.values_found:
+            raise KeyError(key)
+        same = F.col(self.field).isNull() if key is None else F.col(self.field) == key
+        return QueryResult(self.result.frame.where(same), self.result.ordered)
+
+    def __iter__(self) -> Iterator[Any]:
+        return iter(self.values_found)
+
+    def __len__(self) -> int:
+        return len(self.values_found)
+
+    def table(self) -> DataFrame:
+        """Count, first and last time of each value."""
+        return self.result.by(self.field)
+
+    def write(self, path: str) -> None:
+        """Writes the rows as Parquet in a folder for each value, within it in order over the parts; no group is one task."""
+        order = [c for c in ("ts", "place") if c in self.result.frame.columns]
+        self.result.frame.repartitionByRange(self.field, *order).sortWithinPartitions(self.field, *order).write.mode("overwrite").partitionBy(self.field).parquet(path)
+
+
 def _first(frame: DataFrame, n: int | None) -> Iterator[Row]:
     """All rows, a partition at a time, or the first n."""
     return (frame if n is None else frame.limit(n)).toLocalIterator()

@@ -301,12 +301,12 @@ def a6_cpu_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.cpu_time(sched, thread, [1, 42, 77, 0])
 
 
-_OFF = f"o AS (SELECT utid, ts + dur AS gap_start, lead(ts) OVER (PARTITION BY utid ORDER BY ts, id) AS gap_end, cpu FROM schd), gp AS (SELECT o.*, gap_end - gap_start AS duration_ns, tid AS pid, name AS comm FROM o JOIN thr USING (utid) WHERE gap_end - gap_start > {24 * HOUR})"
+_OFF = f"o AS (SELECT utid, ts + dur AS gap_start, lead(ts) OVER n AS gap_end, cpu, end_state, lead(cpu) OVER n AS next_cpu FROM schd WINDOW n AS (PARTITION BY utid ORDER BY ts, id)), gp AS (SELECT o.*, gap_end - gap_start AS duration_ns, tid AS pid, name AS comm FROM o JOIN thr USING (utid) WHERE gap_end - gap_start > {24 * HOUR})"
 
 
-@_text("a7_thread_gaps", f""", {_OFF}, c AS (SELECT gp.utid, gp.pid, gp.comm, gap_start, gap_end, duration_ns, gp.cpu, k.kind, count(*) AS n, sum(least(gap_end, r.ts + r.dur) - greatest(gap_start, r.ts)) AS shared
+@_text("a7_thread_gaps", f""", {_OFF}, c AS (SELECT gp.utid, gp.pid, gp.comm, gap_start, gap_end, duration_ns, gp.cpu, gp.end_state, gp.next_cpu, k.kind, count(*) AS n, sum(least(gap_end, r.ts + r.dur) - greatest(gap_start, r.ts)) AS shared
   FROM gp JOIN schd r ON r.cpu = gp.cpu AND r.ts < gap_end AND r.ts + r.dur > gap_start AND r.dur > 0 JOIN knd k ON k.utid = r.utid GROUP BY ALL)
-SELECT utid, pid, comm, gap_start, gap_end, duration_ns, cpu, arg_max({_CONTEXT}, (shared, kind)) AS dominant_context, CAST(sum(n) AS BIGINT) AS runs FROM c GROUP BY ALL""")
+SELECT utid, pid, comm, gap_start, gap_end, duration_ns, cpu, end_state, next_cpu, arg_max({_CONTEXT}, (shared, kind)) AS dominant_context, CAST(sum(n) AS BIGINT) AS runs FROM c GROUP BY ALL""")
 def a7_thread_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     sched, thread = _runs(spark, sf_dir)
     return analyzer.gap_activity(analyzer.thread_gaps(sched, thread, None, 24 * HOUR, DAY), sched, thread, DAY)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .entries import _TEXT, DAY, HOUR, ORACLE, _events, _text
+from .entries import _TEXT, DAY, HOUR, _events, _text
+from .entries_api import _ADDRESS, _REPORT
 from .functions.store import kept
 from .operators import derive, periods, requests
 from .plans.scenarios import SCENARIOS
+from .plans.statements import Catalog, pack
+from .sources import crash as reports
 from .sources import samples
 from .sources.ftrace import parse_events
 
@@ -107,3 +110,56 @@ SELECT key, period_ns, events, partners, share, control_share, round(zz, 6) AS z
 def m08_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periods.periods(samples.ticks(spark, sf_dir), "key", 60 * 10**9)
     return found.withColumn("z", F.round("z", 6))
+
+
+# --- packs of SQL ----------------------------------------------------------------------------------------------------
+
+_PACK = """
+SELECT 'nothing;' AS before_the_first;
+-- Scenario 10: names by a shell pattern; case counts
+-- Analysis Goal: waits
+SELECT 1; SELECT name, sum(dur) AS total FROM slice WHERE name GLOB '*r[e]d*' GROUP BY name; -- done
+-- Scenario 21: names in either case
+INCLUDE PERFETTO MODULE linux.irqs; SELECT name, sum(dur) AS total FROM slice WHERE name LIKE 'RED%' GROUP BY name;
+-- Scenario 7: a name beside the thread's key
+SELECT t.name, sum(dur) AS total FROM sched s JOIN thread t USING (utid) GROUP BY utid;
+"""
+_SLICES = "slice AS (SELECT CAST(l_quantity * 1000000 AS BIGINT) AS dur, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@_text("src5_pack_text", f"""WITH {_SLICES}, sched AS (SELECT user_id AS utid, lead(epoch_us(ts) * 1000) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - epoch_us(ts) * 1000 AS dur FROM events)
+SELECT 10 AS number, 'waits' AS goal, name, CAST(sum(dur) AS BIGINT) AS total FROM slice WHERE name LIKE '%red%' GROUP BY name UNION ALL SELECT 21, '', name, CAST(sum(dur) AS BIGINT) FROM slice WHERE name ILIKE 'red%' GROUP BY name
+UNION ALL SELECT 7, '', c_name, CAST(sum(dur) AS BIGINT) FROM sched JOIN customer ON utid = c_custkey GROUP BY utid, c_name""")
+def src5_pack_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(samples.trace_tables(spark, sf_dir))
+    found = [s.plan(catalog).select(F.lit(s.number).alias("number"), F.lit(s.goal).alias("goal"), "name", "total") for s in pack(_PACK) if s.number >= 7]
+    return found[0].union(found[1]).union(found[2])
+
+
+# --- sections within sections ----------------------------------------------------------------------------------------
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sections(samples.nested_lines(spark, sf_dir))
+
+
+@_text("c31_open_files", f"""{_REPORT} SELECT report, k AS pid, {_ADDRESS.format(x='k')} AS task, 0 AS fd, {_ADDRESS.format(x='k + 1')} AS file, {_ADDRESS.format(x='k + 2')} AS dentry, {_ADDRESS.format(x='k + 3')} AS inode, 'CHR' AS type, '/dev/pts/' || (k % 5) AS path FROM k
+UNION ALL SELECT report, k, {_ADDRESS.format(x='k')}, 17, {_ADDRESS.format(x='k + 4')}, {_ADDRESS.format(x='k + 5')}, {_ADDRESS.format(x='k + 6')}, 'SOCK', NULL FROM k WHERE k % 3 = 0""")
+def c31_open_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.open_files(_nested(spark, sf_dir)).drop("line_no")
+
+
+@_text("c32_mounts", f"{_REPORT} SELECT report, {_ADDRESS.format(x='k')} AS mount, {_ADDRESS.format(x='k + 9')} AS superblock, CASE WHEN k % 2 = 0 THEN 'ext4' ELSE 'tmpfs' END AS type, '/dev/sd' || (k % 7) AS device, '/mnt/disk ' || k AS directory FROM k")
+def c32_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mounts(_nested(spark, sf_dir)).drop("line_no")
+
+
+@_text("c33_devices", f"{_REPORT} SELECT report, CASE WHEN k % 2 = 0 THEN 'char' ELSE 'block' END AS kind, CAST(k % 250 AS INT) AS major, 'name' || (k % 20) AS name, CASE WHEN k % 5 > 0 THEN {_ADDRESS.format(x='k')} END AS address, CASE WHEN k % 5 > 0 THEN 'some_fops' END AS operations FROM k")
+def c33_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.devices(_nested(spark, sf_dir)).drop("line_no")
+
+
+@_text("c34_run_queues", f"""{_REPORT} SELECT report, CAST(k % 8 AS INT) AS cpu, 'ffff88003fc0000' || (k % 8) AS queue, CASE WHEN k % 3 = 0 THEN 'rt' ELSE 'cfs' END AS kind, CAST(100 + k % 40 AS INT) AS prio, k AS pid, {_ADDRESS.format(x='k')} AS task, 'comm' || (k % 20) AS comm FROM k
+UNION ALL SELECT report, CAST(c AS INT), 'ffff88003fc0000' || c, 'current', NULL, 0, 'ffffffff81c10440', 'swapper' FROM n, unnest(range(8)) AS u(c)""")
+def c34_run_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.run_queues(_nested(spark, sf_dir)).drop("line_no")

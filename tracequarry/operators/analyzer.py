@@ -16,6 +16,8 @@ from .derive import WIDTH
 CONTEXTS = {"user": "user_process", "kernel_thread": "kernel_thread", "idle": "idle", "irq": "irq", "softirq": "softirq"}
 #: Band of gaps that throttling by a quota leaves, least number of them, and spread up to which they count as regular.
 QOS_BAND, QOS_GAPS, QOS_SPREAD = (4_000_000, 10_000_000), 5, 0.2
+#: Bins of a stretch in which a long run is dealt out.
+SPAN = 4096
 
 
 def time_gaps(events: DataFrame, threshold_ns: int = 100_000, by: str | None = None, width: int = WIDTH) -> DataFrame:
@@ -45,9 +47,14 @@ def time_gap_summary(gaps: DataFrame, share: float = 0.95, width: int = 10**6) -
 
 
 def in_bins(runs: DataFrame, bin_ns: int, start: int | F.Column = 0) -> DataFrame:
-    """Splits runs (ts, dur) at the borders of bins from start on: adds bin and overlap."""
+    """Splits runs (ts, dur) at the borders of bins from start on: adds bin and overlap.
+
+    A run over many bins is dealt out in stretches of SPAN bins first, so no row holds a list longer than that many.
+    """
     begin, end = F.col("ts") - start, F.col("ts") + F.col("dur") - start
-    split = runs.where("dur > 0").withColumn("bin", F.explode(F.sequence(F.floor(begin / F.lit(bin_ns)), F.floor((end - 1) / F.lit(bin_ns)))))
+    first, last = F.floor(begin / F.lit(bin_ns)), F.floor((end - 1) / F.lit(bin_ns))
+    stretches = runs.where("dur > 0").withColumn("bin", F.explode(F.sequence(F.floor(first / SPAN), F.floor(last / SPAN))))
+    split = stretches.withColumn("bin", F.explode(F.sequence(F.greatest(first, F.col("bin") * SPAN), F.least(last, F.col("bin") * SPAN + SPAN - 1))))
     return split.withColumn("overlap", F.least(end, (F.col("bin") + 1) * bin_ns) - F.greatest(begin, F.col("bin") * bin_ns))
 
 
@@ -122,12 +129,14 @@ def thread_running(sched: DataFrame, thread: DataFrame, pid: int, start: int | N
 
 
 def thread_gaps(sched: DataFrame, thread: DataFrame, pid: int | None = None, threshold_ns: int = 1_000_000, width: int = WIDTH) -> DataFrame:
-    """Times off the CPU of each thread, or of one pid, above a threshold: utid, pid, comm, gap_start, gap_end, duration_ns, cpu."""
+    """Times off the CPU of each thread, or of one pid, above a threshold: utid, pid, comm, gap_start, gap_end, duration_ns,
+    cpu, end_state (with which it was last seen) and next_cpu (on which it is seen next)."""
     names = thread.select("utid", F.col("tid").alias("pid"), F.col("name").alias("comm"))
     runs = sched if pid is None else sched.join(names.where(F.col("pid") == pid).select("utid"), "utid", "left_semi")
-    found = neighbour(runs.select("utid", "ts", "dur", "cpu", "id"), ["utid"], "ts", ["id"], ["ts"], "next", width)
-    gaps = found.select("utid", (F.col("ts") + F.col("dur")).alias("gap_start"), F.col("next.ts").alias("gap_end"), "cpu").withColumn("duration_ns", F.col("gap_end") - F.col("gap_start"))
-    return gaps.where(F.col("duration_ns") > threshold_ns).join(names, "utid").select("utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu")
+    state = F.col("end_state") if "end_state" in sched.columns else F.lit(None).cast("string").alias("end_state")
+    found = neighbour(runs.select("utid", "ts", "dur", "cpu", "id", state), ["utid"], "ts", ["id"], ["ts", "cpu"], "next", width)
+    gaps = found.select("utid", (F.col("ts") + F.col("dur")).alias("gap_start"), F.col("next.ts").alias("gap_end"), "cpu", "end_state", F.col("next.cpu").alias("next_cpu")).withColumn("duration_ns", F.col("gap_end") - F.col("gap_start"))
+    return gaps.where(F.col("duration_ns") > threshold_ns).join(names, "utid").select("utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu", "end_state", "next_cpu")
 
 
 def gap_activity(gaps: DataFrame, sched: DataFrame, thread: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -137,7 +146,7 @@ def gap_activity(gaps: DataFrame, sched: DataFrame, thread: DataFrame, width: in
     the CPU's busy time and runs so far, by context, from running sums over the CPU's runs, and the gap has what lies
     between: the work is in proportion to runs and gaps.
     """
-    kinds, key = list(CONTEXTS), ["utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu"]
+    kinds, key = list(CONTEXTS), ["utid", "pid", "comm", "gap_start", "gap_end", "duration_ns", "cpu", "end_state", "next_cpu"]
     named = sched.where("dur > 0").join(thread.select("utid", process_type("name", "tid").alias("kind")), "utid")
     busy = [F.when(F.col("kind") == k, F.col("dur")).otherwise(0).alias(f"busy_{k}") for k in kinds]
     run = F.struct("ts", "dur", "kind").alias("run")

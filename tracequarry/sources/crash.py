@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import last_known
+from ..functions.store import kept
 from ..functions.text import size_value
+from .ftrace import read_lines
 
 #: Lines of a window's bucket.
 LINES = 100_000
@@ -26,14 +28,28 @@ MODULE = r"^([0-9a-f]{16})\s+(\S+)\s+(\d+)\s+(.*)$"
 WAITER = r"^PID:\s+(\d+)\s+TASK:\s+([0-9a-f]+)"
 WAITED = r"^waitq\s+([0-9a-f]+)"
 LOCKED = r"^struct\s+mutex\s+([0-9a-f]+)"
+FILES, MOUNTS, DEVICES, QUEUES = r"^(foreach\b.*\s)?files\b", r"^mount\b", r"^dev\b", r"^runq\b"
+FILE = r"^\s*(\d+)\s+([0-9a-f]{8,16})\s+([0-9a-f]{8,16})\s+([0-9a-f]{8,16})\s+([A-Z?]+)\s*(.*?)\s*$"
+MOUNT = r"^\s*([0-9a-f]{8,16})\s+([0-9a-f]{8,16})\s+(\S+)\s+(\S+)\s+(\S.*?)\s*$"
+DEVICE = r"^\s*(\d+)\s+(\S.*?)\s+([0-9a-f]{8,16}|\(none\))(?:\s+(\S+))?\s*$"
+DEVICE_KIND = r"^(CHRDEV|BLKDEV)\s+NAME\b"
+QUEUE, QUEUE_KIND = r"^\s*CPU\s+(\d+)\s+RUNQUEUE:\s*([0-9a-f]+)", r"^\s*(CURRENT|RT|CFS)\b"
+QUEUED = r"^\s*(?:CURRENT:\s*)?(?:\[\s*(\d+)\]\s*)?PID:\s*(\d+)\s+TASK:\s*([0-9a-f]+)\s+.*COMMAND:\s*\"(.*)\"\s*$"
 OWNER = r"^\s*owner\s*=\s*(?:\(struct task_struct \*\)\s*)?0x([0-9a-f]+)"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """report, line_no and text of crash reports, one file each; a report is read whole, as its lines have an order."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("report"), "value")
-    lines = whole.select("report", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
-    return lines.select("report", F.col("line_no").cast("long"), "text")
+    """report, line_no (from 0) and text of crash reports, one file each.
+
+    A file is read in splits like any text. A line's number is its place in the split and the lines of the splits before,
+    so a report of any length is many tasks.
+    """
+    lines = kept(read_lines(spark, path), "report-lines").select("value", "place.*")
+    file, split = ["file_path"], ["file_path", "file_block_start"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*file).orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = lines.groupBy(*split).agg(F.count("*").alias("n")).select(*split, before.alias("before"))
+    numbered = lines.withColumn("nth", F.row_number().over(Window.partitionBy(*split).orderBy("row"))).join(offsets, split)
+    return numbered.select(F.element_at(F.split("file_path", "/"), -1).alias("report"), (F.col("before") + F.col("nth") - 1).cast("long").alias("line_no"), F.col("value").alias("text"))
 
 
 def _last(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -112,3 +128,53 @@ def wait_edges(sectioned: DataFrame) -> DataFrame:
     owners = sectioned.where(F.col("section").rlike(LOCKED) & F.col("text").rlike(OWNER)).select("report", F.regexp_extract("section", LOCKED, 1).alias("lock"), F.regexp_extract("text", OWNER, 1).alias("owner"), "line_no")
     last = owners.groupBy("report", "lock").agg(F.max_by("owner", "line_no").alias("owner"))
     return waits.join(last, ["report", "lock"], "left").select("report", "lock", "task", "owner")
+
+
+def of_tasks(sectioned: DataFrame, pattern: str) -> DataFrame:
+    """The lines of the sections of a pattern with the task that they stand under: pid and task (null before the first).
+
+    sectioned is what sections() returns; a section is a command over every task or one, each with a line that names it.
+    """
+    own = sectioned.where(F.col("section").rlike(pattern))
+    pid = F.nullif(F.regexp_extract("text", WAITER, 1), F.lit("")).try_cast("long")
+    named = F.when(pid.isNotNull(), F.struct(pid.alias("pid"), F.regexp_extract("text", WAITER, 2).alias("task")))
+    found = last_known(own, ["report", "section_line"], "line_no", [], named, "of", LINES)
+    return found.select("report", "section", "section_line", "line_no", "text", "of.pid", "of.task")
+
+
+def open_files(sectioned: DataFrame) -> DataFrame:
+    """Open files of tasks: report, line_no, pid, task, fd, file, dentry, inode, type and path (null where there is none)."""
+    names = {"fd": (1, "int"), "file": (2, "string"), "dentry": (3, "string"), "inode": (4, "string"), "type": (5, "string"), "path": (6, "string")}
+    found = of_tasks(sectioned, FILES).where(F.col("text").rlike(FILE))
+    return found.select("report", "line_no", "pid", "task", *_parts(FILE, names))
+
+
+def mounts(sectioned: DataFrame) -> DataFrame:
+    """Mounted file systems: report, line_no, mount, superblock, type, device and directory."""
+    names = {"mount": (1, "string"), "superblock": (2, "string"), "type": (3, "string"), "device": (4, "string"), "directory": (5, "string")}
+    found = sectioned.where(F.col("section").rlike(MOUNTS) & F.col("text").rlike(MOUNT))
+    return found.select("report", "line_no", *_parts(MOUNT, names))
+
+
+def devices(sectioned: DataFrame) -> DataFrame:
+    """Devices: report, line_no, kind (char or block, by the heading above), major, name, address (null for none) and operations."""
+    own = sectioned.where(F.col("section").rlike(DEVICES))
+    heading = F.nullif(F.regexp_extract("text", DEVICE_KIND, 1), F.lit(""))
+    headed = last_known(own, ["report", "section_line"], "line_no", [], heading, "heading", LINES).where(F.col("text").rlike(DEVICE))
+    kind = F.when(F.col("heading") == "CHRDEV", "char").when(F.col("heading") == "BLKDEV", "block").alias("kind")
+    major, name, address, operations = _parts(DEVICE, {"major": (1, "int"), "name": (2, "string"), "address": (3, "string"), "operations": (4, "string")})
+    found = headed.select("report", "line_no", kind, major, name, address, operations)
+    return found.withColumn("address", F.nullif("address", F.lit("(none)")))
+
+
+def run_queues(sectioned: DataFrame) -> DataFrame:
+    """Tasks on run queues: report, line_no, cpu, queue (address), kind (current, rt or cfs), prio, pid, task and comm.
+
+    A queue's tree is flat here: each task has the CPU and the list that it stands under.
+    """
+    own = sectioned.where(F.col("section").rlike(QUEUES))
+    cpu, kind = F.nullif(F.regexp_extract("text", QUEUE, 1), F.lit("")).try_cast("int"), F.nullif(F.regexp_extract("text", QUEUE_KIND, 1), F.lit(""))
+    under = last_known(own, ["report", "section_line"], "line_no", [], F.when(cpu.isNotNull(), F.struct(cpu.alias("cpu"), F.regexp_extract("text", QUEUE, 2).alias("queue"))), "of", LINES)
+    under = last_known(under, ["report", "section_line"], "line_no", [], F.lower(kind), "kind", LINES).where(F.col("text").rlike(QUEUED))
+    names = {"prio": (1, "int"), "pid": (2, "long"), "task": (3, "string"), "comm": (4, "string")}
+    return under.select("report", "line_no", "of.cpu", "of.queue", "kind", *_parts(QUEUED, names))

@@ -173,3 +173,30 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     heads += [f"named_struct('line_no', CAST({at} AS BIGINT), 'text', {text})" for at, text in own.items()]
     return made.union(nations.select("report", F.explode(F.expr(f"array({', '.join(heads)})")).alias("x")).select("report", "x.line_no", "x.text"))
+
+
+def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash reports (report, line_no, text) from customers, one for each nation: open files of each task, mounts, devices and
+    run queues of eight CPUs."""
+    each = _table(spark, sf_dir, "customer").selectExpr("concat('r', c_nationkey) report", "c_custkey k")
+    address = lambda of: f"lower(concat('ffff8800', lpad(hex({of}), 8, '0')))"
+    pid = f"concat('PID: ', k, '    TASK: ', {address('k')}, '  CPU: ', k % 8, '   COMMAND: \"comm', k % 20, '\"')"
+    files = (
+        pid, "'ROOT: /    CWD: /root'", "' FD       FILE            DENTRY           INODE       TYPE PATH'",
+        f"concat('  0 ', {address('k + 1')}, ' ', {address('k + 2')}, ' ', {address('k + 3')}, ' CHR  /dev/pts/', k % 5)",
+        f"IF(k % 3 = 0, concat(' 17 ', {address('k + 4')}, ' ', {address('k + 5')}, ' ', {address('k + 6')}, ' SOCK '), NULL)",
+    )
+    lines = [f"named_struct('line_no', CAST({10**6} + 8 * k + {n} AS BIGINT), 'text', {text})" for n, text in enumerate(files)]
+    lines += [
+        f"named_struct('line_no', CAST({2 * 10**8} + k AS BIGINT), 'text', concat({address('k')}, ' ', {address('k + 9')}, ' ', IF(k % 2 = 0, 'ext4', 'tmpfs'), '   /dev/sd', k % 7, '  /mnt/disk ', k))",
+        f"named_struct('line_no', CAST(IF(k % 2 = 0, {3 * 10**8}, {4 * 10**8}) + k AS BIGINT), 'text', concat('  ', k % 250, '      name', k % 20, '  ', IF(k % 5 = 0, '(none)', {address('k')}), IF(k % 5 = 0, '', '  some_fops')))",
+        f"named_struct('line_no', CAST({5 * 10**8} + (k % 8) * {10**7} + IF(k % 3 = 0, 2000000, 4000000) + k AS BIGINT), 'text', concat('     [', 100 + k % 40, '] PID: ', k, '   TASK: ', {address('k')}, '  COMMAND: \"comm', k % 20, '\"'))",
+    ]
+    made = each.select("report", F.explode(F.expr(f"filter(array({', '.join(lines)}), x -> x.text IS NOT NULL)")).alias("x")).select("report", "x.line_no", "x.text")
+    nations = _table(spark, sf_dir, "nation").selectExpr("concat('r', n_nationkey) report")
+    heads = {0: ">>> Command: foreach files", 2 * 10**8 - 2: ">>> Command: mount", 2 * 10**8 - 1: "     MOUNT           SUPERBLK     TYPE   DEVNAME   DIRNAME", 3 * 10**8 - 2: ">>> Command: dev", 3 * 10**8 - 1: "CHRDEV    NAME                 CDEV        OPERATIONS", 4 * 10**8 - 1: "BLKDEV    NAME                GENDISK      OPERATIONS", 5 * 10**8 - 1: ">>> Command: runq"}
+    for cpu in range(8):
+        at = 5 * 10**8 + cpu * 10**7
+        heads |= {at: f"CPU {cpu} RUNQUEUE: ffff88003fc{cpu:05d}", at + 1: "  CURRENT: PID: 0      TASK: ffffffff81c10440  COMMAND: \"swapper\"", at + 1_999_999: "  RT PRIO_ARRAY: ffff88003fc137d0", at + 3_999_999: "  CFS RB_ROOT: ffff88003fc13718"}
+    said = ", ".join(f"named_struct('line_no', CAST({n} AS BIGINT), 'text', '{text}')" for n, text in heads.items())
+    return made.union(nations.select("report", F.explode(F.expr(f"array({said})")).alias("x")).select("report", "x.line_no", "x.text"))

@@ -19,6 +19,8 @@ NS = 10**9
 #: First lines from whose length the number of all lines is estimated, bytes of a file's head and tail that are looked at, and
 #: other names of fields of events.
 SAMPLED, GLANCED = 1000, 1 << 16
+#: Bins that come to the driver as lists.
+BINS = 1_000_000
 FIELDS = {"timestamp": "ts", "time": "ts", "comm": "task", "event_type": "event"}
 
 
@@ -406,10 +408,15 @@ class Analyzer:
         }
 
     def get_time_distribution(self, bin_size: float = 0.001) -> dict[str, Any]:
-        """Bins with events or load, and stretches of high load, as lists; analyzer.time_distribution() is the frame."""
+        """Bins with events or load, and stretches of high load, as lists; analyzer.time_distribution() is the frame.
+
+        More than BINS bins are an error: take wider ones, or the frame.
+        """
         width, t = round(bin_size * NS), self.trace.tables
         found = analyzer.time_distribution(t["sched"], t["thread"], width)
-        rows = [(r["bin_start"] / NS, r["event_count"], r["cpu_util"]) for r in found.orderBy("bin").toLocalIterator()]
+        rows = [(r["bin_start"] / NS, r["event_count"], r["cpu_util"]) for r in found.orderBy("bin").limit(BINS + 1).collect()]
+        if len(rows) > BINS:
+            raise ValueError(f"more than {BINS} bins of {bin_size} s")
         hot = analyzer.hotspots(found, width).orderBy("start").toLocalIterator()
         return {"bins": [r[0] for r in rows], "event_counts": [r[1] for r in rows], "cpu_util": [r[2] for r in rows], "hotspots": [{"start": r["start"] / NS, "end": r["end"] / NS, "util": r["util"]} for r in hot]}
 
@@ -451,6 +458,8 @@ class Analyzer:
     def detect_time_gaps(self, pid: int | None = None, threshold_ms: float = 1.0, n: int | None = None) -> list[dict[str, Any]]:
         """Times off the CPU, the longest first, and what the CPU did meanwhile: its main context and how many runs.
 
+        last_seen and next_seen say when, on which CPU and (last) in which state the thread left and came back.
+
         For one pid also the names of the processes that ran; for all of them together that list would be every thread's
         for nearly every gap.
         """
@@ -461,7 +470,7 @@ class Analyzer:
             found = found.join(analyzer.gap_processes(gaps, t["sched"], t["thread"]), ["gap_start", "gap_end", "cpu"], "left")
         names = lambda r: {} if pid is None else {"processes": r["processes"] or []}
         rows = _first(found.orderBy(F.desc("duration_ns"), "gap_start", "utid"), n)
-        return [{"pid": r["pid"], "comm": r["comm"], "gap_start": r["gap_start"] / NS, "gap_end": r["gap_end"] / NS, "duration_ms": r["duration_ns"] / 1e6, "cpu_activity": {"dominant_context": r["dominant_context"], "runs": r["runs"]} | names(r)} for r in rows]
+        return [{"pid": r["pid"], "comm": r["comm"], "gap_start": r["gap_start"] / NS, "gap_end": r["gap_end"] / NS, "duration_ms": r["duration_ns"] / 1e6, "last_seen": {"ts": r["gap_start"] / NS, "cpu": r["cpu"], "state": r["end_state"]}, "next_seen": {"ts": r["gap_end"] / NS, "cpu": r["next_cpu"]}, "cpu_activity": {"dominant_context": r["dominant_context"], "runs": r["runs"]} | names(r)} for r in rows]
 
     def detect_qos_patterns(self) -> dict[str, Any]:
         """CPUs whose gaps look like throttling by a quota."""

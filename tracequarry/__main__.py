@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
 
 from pyspark.sql import SparkSession
 
+from .functions.progress import Progress
 from .plans.report import as_csv, as_json, as_table, markdown, run_pack, run_pack_text, run_statements
 from .plans.scenarios import SCENARIOS
 from .sources.ftrace import BASE, read_lines, write_kernel_log
@@ -78,7 +80,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for frame in run_statements(trace.tables, text or ""):
             print(show(frame))
     if args.kernel_log:
-        done = write_kernel_log(read_lines(spark, args.trace), args.kernel_log, args.base_time, not args.parts)
+        told = lambda read, written, seconds: print(f"{read} lines read, {written} rows written, {seconds:.1f} s", file=sys.stderr)
+        with Progress(spark, told):
+            done = write_kernel_log(read_lines(spark, args.trace), args.kernel_log, args.base_time, not args.parts)
         print(f"{done['rows']} rows in {done['seconds']:.1f} s, {done['rows_per_second']:.0f} rows a second")
     if args.report and (args.force or not fresh(args.report, args.trace)):
         if args.sql_pack:

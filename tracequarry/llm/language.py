@@ -11,9 +11,11 @@ own language left out, which is how a text of an unknown language looks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ ACCEPTED = 0.5
 UNKNOWN = "und"
 #: Characters of a text that are taken at once, and distinct words that a task remembers, or characters of these.
 PORTION, WORDS, CHARS = 1 << 20, 200_000, 1 << 22
+#: Words of texts that are summed at once.
+TOKENS = 1 << 17
 
 START, END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -275,54 +279,71 @@ class _Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.new: list[str] = []
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.chars = 0
         self.scores, self.lengths = np.zeros((0, len(self.models.langs))), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        """Scores the new words; a word without a letter has no length."""
-        plain = [letters(w) for w in self.new]
+        """Scores the words that are new; a word without a letter has no length."""
+        new = list(islice(self.number, len(self.lengths), None))
+        if not new:
+            return
+        plain = [letters(w) for w in new]
         found, lengths = np.zeros((len(plain), len(self.models.langs))), np.array([len(w) + 1 if w else 0 for w in plain], np.int64)
         some = np.flatnonzero(lengths)
         for at in range(0, len(some), 20_000):
             part = some[at : at + 20_000]
             found[part] = self.models.log2([plain[i] for i in part])
-        self.scores, self.lengths, self.new = np.vstack([self.scores, found]), np.append(self.lengths, lengths), []
-
-    def bits(self, text: str) -> tuple[np.ndarray, int]:
-        """Bits for each character by each language, and the number of characters, with an end for each word."""
-        total, chars = np.zeros(len(self.models.langs)), 0
-        for words in words_of(text):
+        self.scores, self.lengths = np.vstack([self.scores, found]), np.append(self.lengths, lengths)
+        self.chars += sum(map(len, new))
+
+    def bits(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits for each character by each language of each text, and its number of characters, with an end for each word."""
+        texts = list(texts)
+        total, chars = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), np.int64)
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def add() -> None:
+            if held:
+                self._learn()
+                ids, sizes = np.concatenate(held), np.array([len(x) for x in held])
+                starts = np.cumsum(sizes) - sizes
+                np.subtract.at(total, owners, np.add.reduceat(self.scores[ids], starts, axis=0))
+                np.add.at(chars, owners, np.add.reduceat(self.lengths[ids], starts))
+                held.clear()
+                owners.clear()
             if len(self.number) > WORDS or self.chars > CHARS:
                 self._forget()
-            for word in words:
-                if word not in self.number:
-                    self.number[word] = len(self.number)
-                    self.new.append(word)
-                    self.chars += len(word)
-            if self.new:
-                self._learn()
-            times = np.bincount(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), minlength=len(self.number))
-            seen = np.flatnonzero(times)
-            total -= times[seen] @ self.scores[seen]
-            chars += int(times[seen] @ self.lengths[seen])
-        return total / max(1, chars), chars
+
+        n = 0
+        for k, text in enumerate(texts):
+            for words in words_of(text):
+                if words:
+                    held.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+                    owners.append(k)
+                    n += len(words)
+                if n >= TOKENS:
+                    add()
+                    n = 0
+        add()
+        return total / np.maximum(1, chars)[:, None], chars
 
 
 def _measured(batches: Iterator[pa.RecordBatch], models: Models) -> Iterator[pa.RecordBatch]:
     scorer = _Scorer(models)
     for batch in batches:
-        rows = [scorer.bits(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "bits": [r[0].tolist() for r in rows], "chars": pa.array([r[1] for r in rows], pa.int64())}, pa.schema([("lang", pa.string()), ("bits", pa.list_(pa.float64())), ("chars", pa.int64())]))
+        bits, chars = scorer.bits(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "bits": bits.tolist(), "chars": pa.array(chars)}, pa.schema([("lang", pa.string()), ("bits", pa.list_(pa.float64())), ("chars", pa.int64())]))
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], models: Models, calibration: Calibration) -> Iterator[pa.RecordBatch]:
     scorer = _Scorer(models)
     for batch in batches:
-        rows = [scorer.bits(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
-        chars = np.array([r[1] for r in rows], np.int64)
-        best, score = calibration.scores(np.array([r[0] for r in rows]).reshape(len(rows), -1), chars)
+        texts = batch.column(batch.num_columns - 1)
+        bits, chars = scorer.bits(t.as_py() or "" for t in texts)
+        best, score = calibration.scores(bits, chars)
         langs = [models.langs[k] if n else UNKNOWN for k, n in zip(best, chars, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.where(chars > 0, score, 0.0))], [*batch.schema.names[:-1], "lang_pred", "score"])
 

@@ -8,18 +8,20 @@ pieces are places without a word, so no phrase crosses one.
 What is frequent is known only from the sums, so there are three rounds: words; pairs of frequent words; then depth-first
 all longer phrases of which each two neighbours are a frequent pair. Shards learn what was frequent from a bitmap of hashed
 keys whose size is bounded. It may let others pass but never holds one back, and sums decide in the end: results are exact
-at any size.
+at any size. Most words, pairs and triples are seldom, so before the rounds all of them are counted in hashed buckets, and only
+those in a bucket that holds enough are counted by name.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -29,9 +31,12 @@ from .common import given_back, saved
 #: Occurrences of a phrase, its words, and rows for each language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Places of a shard (a text is never cut), bytes of a text made into words at once, entries of bitmaps extended at once.
-SHARD, PORTION, BUNDLE = 1 << 22, 1 << 22, 1 << 15
+SHARD, PORTION, BUNDLE = 1 << 21, 1 << 21, 1 << 14
 #: Bits of the bitmaps of hashed keys: for each key, and at most (8 MB).
 KEY_BITS, MOST_BITS = 32, 1 << 26
+#: Words of a bucket on the average (and about as many pairs and triples), bounds of the number of buckets (16 MB as bits), buckets of a slice, and rows of
+#: a slice that are added at once.
+LOAD, LEAST_BUCKETS, MOST_BUCKETS, SLICE, FAN = 8, 1 << 16, 1 << 27, 1 << 16, 64
 #: Candidates of a language that are sorted in one task.
 SORTED = 1 << 20
 
@@ -40,6 +45,8 @@ _LAYOUT = pa.schema([("lang", pa.string()), ("words", pa.binary()), ("places", p
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 LAYOUT = "lang string, words binary, places binary, n long"
 COUNTS = "lang string, phrase string, size int, n long"
+_SLICES = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
+SLICES = "slice int, part int, at binary, counts binary"
 
 
 # --- shards ----------------------------------------------------------------------------------------------------------
@@ -54,11 +61,11 @@ class _Shard:
         self.vocab.default_factory = self.vocab.__len__
         self.vocab[b"."]
 
-    def add(self, text: bytes) -> None:
+    def add(self, text: bytes, portion: int) -> None:
         text, at = text.lower().translate(_CLEAN), 0
         while at < len(text):
             # portions end at a space, where nothing ends but a word
-            end = text.find(b" ", at + PORTION)
+            end = text.find(b" ", at + portion)
             end = len(text) if end < 0 else end
             words = text[at:end].replace(b"\n", b" . ").split()
             self.places.append(np.fromiter(map(self.vocab.__getitem__, words), np.int32, len(words)))
@@ -70,8 +77,8 @@ class _Shard:
         return pa.RecordBatch.from_pydict({"lang": [lang], "words": [b" ".join(self.vocab)], "places": [places.tobytes()], "n": [int((places > 0).sum())]}, _LAYOUT)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of LAYOUT; whatever the number of languages, a task holds SHARD places and a text at most."""
+def _shards(batches: Iterator[pa.RecordBatch], shard: int, portion: int) -> Iterator[pa.RecordBatch]:
+    """Rows of LAYOUT; whatever the number of languages, a task holds so many places and a text at most."""
     held: dict[str, _Shard] = defaultdict(_Shard)
     n = 0
     for batch in batches:
@@ -79,9 +86,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, lang in enumerate(batch.column(0).to_pylist()):
             own = held[lang]
             n -= own.n
-            own.add(texts[k].as_py())
+            own.add(texts[k].as_py(), portion)
             n += own.n + 1
-            if n >= SHARD:
+            if n >= shard:
                 most = max(held, key=lambda x: held[x].n)
                 n -= held[most].n
                 yield held.pop(most).row(most)
@@ -97,13 +104,15 @@ class Bitmaps:
 
     def __init__(self, places: np.ndarray, keep: np.ndarray):
         at = np.flatnonzero(keep[places])
-        word, part = places[at].astype(np.int64), at >> 5
-        order = np.argsort(part << 32 | word, kind="stable")
-        word, part, bit = word[order], part[order], (np.uint32(1) << (at[order] & 31).astype(np.uint32))
-        first = np.flatnonzero(np.append(True, (np.diff(word) != 0) | (np.diff(part) != 0))) if len(at) else np.zeros(0, np.int64)
-        self.word, self.part = word[first], part[first]
+        # one number for each place: its part, its word, and its bit in the part
+        key = at >> 5 << 32 | places[at].astype(np.int64) << 5 | at & 31
+        key.sort()
+        first = np.flatnonzero(np.append(True, np.diff(key >> 5) != 0)) if len(at) else np.zeros(0, np.int64)
+        bit = np.left_shift(np.uint32(1), (key & 31).astype(np.uint32))
         self.bits = np.bitwise_or.reduceat(bit, first) if len(at) else np.zeros(0, np.uint32)
-        self.begin = np.searchsorted(self.part, np.arange((len(places) >> 5) + 3))
+        key = key[first]
+        self.word, self.part = (key >> 5 & (1 << 27) - 1).astype(np.int32), (key >> 32).astype(np.int32)
+        self.begin = np.searchsorted(self.part, np.arange((len(places) >> 5) + 3, dtype=np.int32))
         self.size = len(keep)
 
     def counts(self) -> np.ndarray:
@@ -126,18 +135,18 @@ class Bitmaps:
         return owner[of], self.word[take], self.part[take], both[hit]
 
 
-def grown(maps: Bitmaps, phrases: np.ndarray, owner: np.ndarray, part: np.ndarray, bits: np.ndarray, longest: int, follows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grown(maps: Bitmaps, phrases: np.ndarray, owner: np.ndarray, part: np.ndarray, bits: np.ndarray, longest: int, follows, bundle: int = BUNDLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Depth-first extensions of phrases (a row of word numbers each, owner says whose a bitmap entry is) with their counts.
 
-    follows(before, word) says which two words may stand side by side, or is None for all.
+    follows(before, word) says which words may stand after the phrases before (a row each), or is None for all.
     """
     owner, word, part, bits = maps.extended(owner, part, bits)
     if follows is not None:
-        may = follows(phrases[owner, -1], word)
+        may = follows(phrases[owner], word)
         owner, word, part, bits = owner[may], word[may], part[may], bits[may]
     if not len(owner):
         return
-    key = owner * maps.size + word
+    key = owner.astype(np.int64) * maps.size + word
     order = np.argsort(key, kind="stable")
     key, part, bits = key[order], part[order], bits[order]
     new = np.append(True, np.diff(key) != 0)
@@ -146,15 +155,15 @@ def grown(maps: Bitmaps, phrases: np.ndarray, owner: np.ndarray, part: np.ndarra
     yield longer, np.add.reduceat(np.bitwise_count(bits).astype(np.int64), first)
     if longer.shape[1] < longest:
         owner = np.cumsum(new) - 1
-        for a, b in _bundles(owner):
-            yield from grown(maps, longer, owner[a:b], part[a:b], bits[a:b], longest, follows)
+        for a, b in _bundles(owner, bundle):
+            yield from grown(maps, longer, owner[a:b], part[a:b], bits[a:b], longest, follows, bundle)
 
 
-def _bundles(owner: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of about BUNDLE entries that begin and end with an owner's."""
+def _bundles(owner: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about so many entries that begin and end with an owner's."""
     at = 0
     while at < len(owner):
-        end = int(np.searchsorted(owner, owner[min(at + BUNDLE, len(owner)) - 1], "right"))
+        end = int(np.searchsorted(owner, owner[min(at + size, len(owner)) - 1], "right"))
         yield at, end
         at = end
 
@@ -186,6 +195,16 @@ class Keys:
         return (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same as _pair_key(), from the words' keys."""
+    return a ^ (b << np.uint64(1) | b >> np.uint64(63))
+
+
+def _of_three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A key of three words, from theirs."""
+    return _of_two(a, b) ^ (c << np.uint64(2) | c >> np.uint64(62))
+
+
 def _word_key(word: Column) -> Column:
     return F.xxhash64("lang", word)
 
@@ -202,17 +221,105 @@ def _word_keys(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words: Keys | None, pairs: Keys | None) -> Iterator[pa.RecordBatch]:
-    """Counts of one round in each shard: words (size 1), pairs of words (2), or what is longer (3)."""
+def _slice_rows(part: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of SLICES for sorted buckets; their low and high bytes lie apart, which packs well."""
+    first = np.flatnonzero(np.append(True, np.diff(at // SLICE) != 0)) if len(at) else np.zeros(0, np.int64)
+    rows: dict[str, list] = {"slice": [], "part": [], "at": [], "counts": []}
+    for a, b in zip(first, np.append(first[1:], len(at))[: len(first)], strict=True):
+        own = counts[a:b]
+        rows["slice"].append(int(at[a]) // SLICE)
+        rows["part"].append(part)
+        rows["at"].append((at[a:b] % SLICE).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+        rows["counts"].append(own.astype("u1" if own.max() < 256 else "<u4" if own.max() < 1 << 32 else "<u8").tobytes())
+    return pa.RecordBatch.from_pydict(rows, _SLICES)
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch], buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """How often the words, pairs and triples of each shard fall into which bucket."""
+    n = TaskContext.get().partitionId() * 1009
+    for batch in batches:
+        for k in range(batch.num_rows):
+            places = np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
+            keys = _word_keys(batch.column(0)[k].as_py(), batch.column(1)[k].as_py().split(b" "))
+            words = np.bincount(places, minlength=len(keys))
+            words[0] = 0
+            mask, word = np.uint64(buckets - 1), places > 0
+            left = np.flatnonzero(word[:-1] & word[1:])
+            pairs = (_of_two(keys[places[left]], keys[places[left + 1]]) & mask).astype(np.uint32)
+            left = np.flatnonzero(word[:-2] & word[1:-1] & word[2:])
+            triples = (_of_three(keys[places[left]], keys[places[left + 1]], keys[places[left + 2]]) & mask).astype(np.uint32)
+            more, times = np.unique(np.concatenate([pairs, triples]), return_counts=True)
+            at = np.concatenate([more, (keys & mask).astype(np.uint32)])
+            order = np.argsort(at, kind="stable")
+            at, counts = at[order], np.concatenate([times, words])[order]
+            first = np.flatnonzero(np.append(True, np.diff(at) != 0))
+            counts = np.add.reduceat(counts, first)
+            some = counts > 0
+            n += 1
+            yield _slice_rows(n % parts, at[first][some].astype(np.int64), counts[some])
+
+
+def _adder(parts: int, least: int | None = None) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    """Adds a slice's rows to a row of the next level; or, with least, to a bit for each bucket that reaches it."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _added(key, rows, parts, least)
+
+    return run
+
+
+def _added(key: tuple[pa.Scalar, ...], rows: pa.Table, parts: int, least: int | None) -> pa.Table:
+    sums = np.zeros(SLICE, np.int64)
+    for at, counts in zip(rows["at"], rows["counts"], strict=True):
+        at = np.frombuffer(at.as_buffer(), np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1)
+        data = counts.as_buffer()
+        sums[at] += np.frombuffer(data, {1: "u1", 4: "<u4", 8: "<u8"}[len(data) // len(at)]).astype(np.int64)
+    index = key[0].as_py()
+    if least is not None:
+        bits = np.packbits(sums >= least, bitorder="little").tobytes()
+        return pa.Table.from_pydict({"slice": [index], "part": [0], "at": [bits], "counts": [b""]}, _SLICES)
+    found = np.flatnonzero(sums)
+    return pa.Table.from_batches([_slice_rows(key[1].as_py() % parts, found + index * SLICE, sums[found])])
+
+
+def _frequent_buckets(layout: DataFrame, least: int) -> Keys:
+    """The buckets whose words, pairs and triples come least times or more in all; what comes so often is in one of them.
+
+    Sums of a slice are added in levels of FAN rows, so a slice is never one group of all shards. The driver gets a bit for
+    each bucket.
+    """
+    places, shards = layout.agg(F.sum("n"), F.count("*")).first()
+    buckets, parts = LEAST_BUCKETS, max(1, shards)
+    while buckets < min((places or 0) // LOAD, MOST_BUCKETS):
+        buckets *= 2
+    parts = -(-parts // FAN)
+    sums = layout.mapInArrow(given_back(partial(_bucketed, buckets=buckets, parts=parts)), SLICES)
+    while parts > 1:
+        fewer = -(-parts // FAN)
+        sums = sums.groupBy("slice", "part").applyInArrow(_adder(fewer), SLICES)
+        parts = fewer
+    found = sums.groupBy("slice").applyInArrow(_adder(1, least), SLICES).select("slice", "at").toArrow()
+    cells = np.zeros(buckets // 64, np.uint64)
+    for index, bits in zip(found["slice"].to_pylist(), found["at"], strict=True):
+        cells[index * (SLICE // 64) : (index + 1) * (SLICE // 64)] = np.frombuffer(bits.as_buffer(), "<u8")
+    return Keys(cells)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words: Keys, pairs: Keys | None, triples: Keys | None, bundle: int) -> Iterator[pa.RecordBatch]:
+    """Counts of one round in each shard: words (size 1), pairs of words (2), or what is longer (3), of those that pass."""
+
+    def may_follow(keys: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        may = pairs.has(_of_two(keys[before[:, -1]], keys[word]))
+        if triples is not None and before.shape[1] > 1:
+            may &= triples.has(_of_three(keys[before[:, -2]], keys[before[:, -1]], keys[word]))
+        return may
+
     for batch in batches:
         for k in range(batch.num_rows):
             lang, text, places = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
             vocab = text.split(b" ")
-            keep = np.ones(len(vocab), bool)
-            keys = None
-            if words is not None:
-                keys = _word_keys(lang, vocab)
-                keep = words.has(keys)
+            keys = _word_keys(lang, vocab)
+            keep = words.has(keys)
             keep[0] = False
             maps, names = Bitmaps(places, keep), pa.array(vocab, pa.binary())
             if size == 1:
@@ -220,12 +327,12 @@ def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words:
                 found = np.flatnonzero(counts)
                 yield from _rows(lang, names, found[:, None], counts[found])
                 continue
-            follows = None if pairs is None else lambda a, b, keys=keys: pairs.has(keys[a] ^ (keys[b] << np.uint64(1) | keys[b] >> np.uint64(63)))
+            follows = partial(may_follow, keys)
             order = np.argsort(maps.word, kind="stable")
             word, part, bits = maps.word[order], maps.part[order], maps.bits[order]
             single = np.arange(len(vocab))[:, None]
-            for a, b in _bundles(word):
-                for phrases, n in grown(maps, single, word[a:b], part[a:b], bits[a:b], longest, follows):
+            for a, b in _bundles(word, bundle):
+                for phrases, n in grown(maps, single, word[a:b], part[a:b], bits[a:b], longest, follows, bundle):
                     if phrases.shape[1] >= size:
                         yield from _rows(lang, names, phrases, n)
 
@@ -244,17 +351,18 @@ def _rows(lang: str, names: pa.Array, phrases: np.ndarray, n: np.ndarray) -> Ite
 def _frequent(layout: DataFrame, least: int, longest: int) -> DataFrame:
     """lang, phrase, size and n of all phrases of 1 to longest words that occur least times or more."""
 
-    def summed(size: int, longest: int, words: Keys | None = None, pairs: Keys | None = None) -> DataFrame:
-        counts = layout.mapInArrow(given_back(partial(_counted, size=size, longest=longest, words=words, pairs=pairs)), COUNTS)
+    def summed(size: int, longest: int, words: Keys, pairs: Keys | None = None, triples: Keys | None = None) -> DataFrame:
+        counts = layout.mapInArrow(given_back(partial(_counted, size=size, longest=longest, words=words, pairs=pairs, triples=triples, bundle=BUNDLE)), COUNTS)
         return saved(counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-counts")
 
-    found = summed(1, 1)
+    often = _frequent_buckets(layout, least)
+    found = summed(1, 1, often)
     if longest > 1:
         words = Keys.of(found, _word_key(F.col("phrase")))
-        twos = summed(2, 2, words)
+        twos = summed(2, 2, words, often)
         found = found.union(twos)
         if longest > 2:
-            found = found.union(summed(3, longest, words, Keys.of(twos, _pair_key(F.col("phrase")))))
+            found = found.union(summed(3, longest, words, Keys.of(twos, _pair_key(F.col("phrase"))), often))
     return found
 
 
@@ -279,7 +387,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     their names, are ignored; an empty table gives an empty one.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    layout = saved(texts.mapInArrow(given_back(_shards), LAYOUT), "phrase-shards")
+    layout = saved(texts.mapInArrow(given_back(partial(_shards, shard=SHARD, portion=PORTION)), LAYOUT), "phrase-shards")
     found = _frequent(layout, least, longest)
     totals = layout.groupBy("lang").agg(F.sum("n").alias("total"))
     words = F.split("phrase", " ")

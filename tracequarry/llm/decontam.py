@@ -13,7 +13,7 @@ from .common import fresh, saved
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 28
 #: The part of an item's shingles that is looked for in all texts, the rarest of the benchmark first.
 PROBED = 0.5
-#: Rows of the items' shingles, and of their blocks, up to which they are broadcast; more are joined by a shuffle.
+#: Probes, or keys of texts, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
 #: Words are runs of letters and digits, in lower case.
@@ -83,6 +83,15 @@ def _probes(items: DataFrame) -> DataFrame:
     return found.select("item_id", "m", F.expr(f"c.n - {missing}").alias("least"), F.explode("c.x").alias("x")).select("item_id", "m", "least", "x.h", "x.times")
 
 
+def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """texts joined with what was found of them by their keys; texts of which nothing was found aren't moved.
+
+    The keys, 16 bytes each, pick the texts before the join; where they are too many to broadcast, all texts are moved.
+    """
+    keys = F.broadcast(found.select("k1", "k2"))
+    return (texts.join(keys, ["k1", "k2"], "left_semi") if found.count() <= BROADCAST else texts).join(found, ["k1", "k2"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Windows of docs(doc_id, text) that repeat an item of benchmark(item_id, text): the best of each document and item.
 
@@ -110,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # a window that holds a probe lies in its piece of m shingles and those beside it
     pieces = F.expr("array_distinct(flatten(transform(pieces, p -> array(p - 1, p, p + 1))))")
     found = saved(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "m", pieces.alias("pieces"))).alias("of")), "benchmark-met")
-    near = _shingled(texts.dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"])).select("k1", "k2", F.size("sh").alias("n"), "sh", F.explode_outer("of").alias("x")).select("k1", "k2", "n", "sh", "x.*")
+    near = _shingled(_of(texts, found).dropDuplicates(["k1", "k2"])).select("k1", "k2", F.size("sh").alias("n"), "sh", F.explode_outer("of").alias("x")).select("k1", "k2", "n", "sh", "x.*")
     near = near.select("k1", "k2", "n", "item_id", "m", "sh", F.explode("pieces").alias("piece")).where("piece >= 0 AND piece * m < n")
     near = near.select("k1", "k2", "n", "item_id", "m", "piece", F.posexplode(F.expr("slice(sh, CAST(piece * m AS INT) + 1, m)")).alias("of", "h")).withColumn("at", F.expr("CAST(piece * m AS INT) + of"))
     known = items.select("item_id", F.explode(F.array_distinct("sh")).alias("h"))
@@ -122,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = F.expr(f"transform(filter(sequence(0, size(ats) - 1), k -> {enough}), k -> ats[k])")
     windows = met.select("k1", "k2", "item_id", "m", F.explode(starts).alias("start")).groupBy("k1", "k2", "m", "start").agg(F.collect_set("item_id").alias("item_ids"))
     windows = saved(windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("m", "start", "item_ids")).alias("windows")), "benchmark-windows")
-    hit = _shingled(texts.join(windows, ["k1", "k2"])).select("k1", "k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))
+    hit = _shingled(_of(texts, windows)).select("k1", "k2", "doc_id", "sh", F.explode_outer("windows").alias("w"))
     cut = hit.select("k1", "k2", "doc_id", "w.start", "w.item_ids", F.expr("array_sort(slice(sh, w.start + 1, w.m))").alias("cut"))
     both = f"transform(array(cut), cut -> named_struct('bag', {_numbered('cut')}, 'fp', {_simhash('cut')}))[0]"
     cut = cut.select("k1", "k2", "doc_id", "start", "item_ids", F.expr(both).alias("made")).select("k1", "k2", "doc_id", "start", F.explode("item_ids").alias("item_id"), "made.bag", "made.fp")

@@ -55,11 +55,14 @@ def test_odd_rows(spark, least, longest, top):
 
 
 def test_shards_and_groups(spark, sf, monkeypatch):
-    """Many shards for each language, small bundles, a full bitmap of keys, several groups of sorted candidates."""
+    """Many shards for each language, small bundles, a full bitmap of keys, several groups of sorted candidates.
+
+    Sums of buckets are added in several levels.
+    """
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").limit(60)
     rows = [tuple(r) for r in docs.collect()]
     want = got(collocations(docs, 6))
-    for name, value in {"SHARD": 500, "PORTION": 50, "BUNDLE": 8, "MOST_BITS": 64, "SORTED": 40}.items():
+    for name, value in {"SHARD": 500, "PORTION": 50, "BUNDLE": 8, "MOST_BITS": 64, "SORTED": 40, "GROUP": 1 << 9, "FAN": 3}.items():
         monkeypatch.setattr(phrases, name, value)
     again = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     assert want and got(collocations(again, 6)) == want
@@ -92,3 +95,24 @@ def test_products_of_many_digits(spark):
     a, n, left, right = 4 * 10**12, 9 * 10**14 + 7, 5 * 10**12 + 3, 6 * 10**12 + 1
     row = spark.sql(f"SELECT (CAST(1000 * CAST({a}L AS decimal(19,0)) AS decimal(19,0)) * CAST({n}L AS decimal(19,0))) div (CAST({left}L AS decimal(19,0)) * CAST({right}L AS decimal(19,0))) AS s").first()
     assert row.s == 1000 * a * n // (left * right)
+
+
+def test_words_of_no_frequent_pair_are_not_counted(spark):
+    """A word that comes often, but never twice before or after the same word, is part of no candidate."""
+    text = " ".join(f"often x{i}" for i in range(50)) + " . both of . both of . both of"
+    layout = spark.createDataFrame([("en", text)], "lang string, text string").mapInArrow(lambda b: phrases._shards(b, 1000, 1000), phrases.LAYOUT)
+    assert sorted((r.phrase, r.n) for r in phrases._frequent(layout, 3, 5).collect()) == [("both", 3), ("both of", 3), ("of", 3)]
+
+
+def test_levels_of_buckets(spark, monkeypatch):
+    """The buckets that reach a count are the same in one group and in groups of any size."""
+    rnd = np.random.default_rng(7)
+    texts = [(lang, " ".join(f"w{k}" for k in rnd.zipf(1.3, 400) % 500)) for lang in ("en", "de") for _ in range(40)]
+    layout = spark.createDataFrame(texts, "lang string, text string").repartition(4).mapInArrow(lambda b: phrases._shards(b, 300, 1000), phrases.LAYOUT).cache()
+    want = phrases._frequent_buckets(layout, 20).cells
+    for group, fan in ((1 << 12, 2), (1 << 9, 3), (1, 2)):
+        monkeypatch.setattr(phrases, "GROUP", group)
+        monkeypatch.setattr(phrases, "FAN", fan)
+        assert (phrases._frequent_buckets(layout, 20).cells == want).all()
+    assert want.any()
+    layout.unpersist()

@@ -5,11 +5,12 @@ Texts are gathered into shards of one language. A shard has a bitmap of places f
 ever follows it; the popcount of what is left is the shard's count, and Spark sums these over all shards. Boundaries of
 pieces are places without a word, so no phrase crosses one.
 
-What is frequent is known only from the sums, so there are three rounds: words; pairs of frequent words; then depth-first
-all longer phrases of which each two neighbours are a frequent pair. Shards learn what was frequent from a bitmap of hashed
-keys whose size is bounded. It may let others pass but never holds one back, and sums decide in the end: results are exact
-at any size. Most words, pairs and triples are seldom, so before the rounds all of them are counted in hashed buckets, and only
-those in a bucket that holds enough are counted by name.
+What is frequent is known only from the sums, so there are two rounds: pairs; then the words of frequent pairs, and depth-first
+all longer phrases of which each two neighbours are a frequent pair. Words that no frequent pair holds are part of no candidate
+and never counted by name. Shards learn what was frequent from a bitmap of hashed keys whose size is bounded. It may let others
+pass but never holds one back, and sums decide in the end: results are exact at any size. Most words, pairs and triples are
+seldom, so before the rounds all of them are counted in hashed buckets, and only those in a bucket that holds enough are counted
+by name.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARD, PORTION, BUNDLE = 1 << 21, 1 << 21, 1 << 14
 #: Bits of the bitmaps of hashed keys: for each key, and at most (8 MB).
 KEY_BITS, MOST_BITS = 32, 1 << 26
-#: Words of a bucket on the average (and about as many pairs and triples), bounds of the number of buckets (16 MB as bits), buckets of a slice, and rows of
-#: a slice that are added at once.
-LOAD, LEAST_BUCKETS, MOST_BUCKETS, SLICE, FAN = 8, 1 << 16, 1 << 27, 1 << 16, 64
+#: Words of a bucket on the average (and about as many pairs and triples), bounds of the number of buckets (16 MB as bits), buckets
+#: of a slice.
+LOAD, LEAST_BUCKETS, MOST_BUCKETS, SLICE = 8, 1 << 16, 1 << 27, 1 << 16
+#: Filled buckets of a slice, over all shards, that are added at once (3 to 6 bytes each), and rows of sums that are.
+GROUP, FAN = 1 << 22, 64
 #: Candidates of a language that are sorted in one task.
 SORTED = 1 << 20
 
@@ -285,14 +288,15 @@ def _added(key: tuple[pa.Scalar, ...], rows: pa.Table, parts: int, least: int |
 def _frequent_buckets(layout: DataFrame, least: int) -> Keys:
     """The buckets whose words, pairs and triples come least times or more in all; what comes so often is in one of them.
 
-    Sums of a slice are added in levels of FAN rows, so a slice is never one group of all shards. The driver gets a bit for
-    each bucket.
+    Shards of a slice are added in groups of about GROUP filled buckets, and these sums in levels of FAN rows, so a slice is never
+    one group of all shards. The driver gets a bit for each bucket.
     """
     places, shards = layout.agg(F.sum("n"), F.count("*")).first()
-    buckets, parts = LEAST_BUCKETS, max(1, shards)
+    buckets = LEAST_BUCKETS
     while buckets < min((places or 0) // LOAD, MOST_BUCKETS):
         buckets *= 2
-    parts = -(-parts // FAN)
+    # words, pairs and triples fill three buckets a place at most
+    parts = max(1, min(shards, -(-3 * (places or 0) * SLICE // (buckets * GROUP))))
     sums = layout.mapInArrow(given_back(partial(_bucketed, buckets=buckets, parts=parts)), SLICES)
     while parts > 1:
         fewer = -(-parts // FAN)
@@ -305,8 +309,8 @@ def _frequent_buckets(layout: DataFrame, least: int) -> Keys:
     return Keys(cells)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words: Keys, pairs: Keys | None, triples: Keys | None, bundle: int) -> Iterator[pa.RecordBatch]:
-    """Counts of one round in each shard: words (size 1), pairs of words (2), or what is longer (3), of those that pass."""
+def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words: Keys, pairs: Keys, triples: Keys | None, bundle: int) -> Iterator[pa.RecordBatch]:
+    """Counts of one round in each shard: pairs of words (size 2), or words and what is longer (3), of those that pass."""
 
     def may_follow(keys: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         may = pairs.has(_of_two(keys[before[:, -1]], keys[word]))
@@ -322,10 +326,11 @@ def _counted(batches: Iterator[pa.RecordBatch], size: int, longest: int, words:
             keep = words.has(keys)
             keep[0] = False
             maps, names = Bitmaps(places, keep), pa.array(vocab, pa.binary())
-            if size == 1:
+            if size > 2:
                 counts = maps.counts()
                 found = np.flatnonzero(counts)
                 yield from _rows(lang, names, found[:, None], counts[found])
+            if longest < size:
                 continue
             follows = partial(may_follow, keys)
             order = np.argsort(maps.word, kind="stable")
@@ -349,21 +354,19 @@ def _rows(lang: str, names: pa.Array, phrases: np.ndarray, n: np.ndarray) -> Ite
 
 
 def _frequent(layout: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, size and n of all phrases of 1 to longest words that occur least times or more."""
+    """lang, phrase, size and n of all phrases of 2 to longest words that occur least times or more, and of their words."""
+    spark = layout.sparkSession
+    if longest < 2:
+        return spark.createDataFrame([], COUNTS)
 
-    def summed(size: int, longest: int, words: Keys, pairs: Keys | None = None, triples: Keys | None = None) -> DataFrame:
+    def summed(size: int, longest: int, words: Keys, pairs: Keys, triples: Keys | None = None) -> DataFrame:
         counts = layout.mapInArrow(given_back(partial(_counted, size=size, longest=longest, words=words, pairs=pairs, triples=triples, bundle=BUNDLE)), COUNTS)
         return saved(counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-counts")
 
     often = _frequent_buckets(layout, least)
-    found = summed(1, 1, often)
-    if longest > 1:
-        words = Keys.of(found, _word_key(F.col("phrase")))
-        twos = summed(2, 2, words, often)
-        found = found.union(twos)
-        if longest > 2:
-            found = found.union(summed(3, longest, words, Keys.of(twos, _pair_key(F.col("phrase"))), often))
-    return found
+    twos = summed(2, 2, often, often)
+    words = twos.select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct()
+    return twos.union(summed(3, longest, Keys.of(words, _word_key(F.col("word"))), Keys.of(twos, _pair_key(F.col("phrase"))), often))
 
 
 def _whole(name: str) -> Column:

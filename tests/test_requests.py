@@ -124,3 +124,10 @@ def test_latencies_at_one_time(spark, width, wake_first):
         frame = spark.createDataFrame([(v, k) for k, v in enumerate(lines)], "value string, place long").selectExpr("value", f"{place} AS place")
         t = derive.trace_tables(parse_events(frame), width=width)
         assert t["sched_latency_for_running_interval"].where("latency_dur = 0").count() == 100
+
+
+def test_depth_times_time_beyond_64_bits(spark):
+    """Ten requests that stay open for 10^18 ns pass 2^63 in depth times time, not in time."""
+    rows = [(k, k, "B", 7, k, "8,0") for k in range(10)] + [(10**18, 10, "E", 7, 0, "8,0")]
+    frame = spark.createDataFrame(rows, "ts long, place long, kind string, track_id long, sector long, device string")
+    got = requests.queue_depth(frame, 10**17).first()

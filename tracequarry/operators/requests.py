@@ -81,17 +81,19 @@ def queue_depth(requests: DataFrame, width: int = WIDTH, limit: int = 32, rate_n
     stretches = in_flight(requests, width)
     at = stretches.groupBy("track_id", "depth").agg(F.sum("dur").alias("ns"), F.min("ts").alias("first"), F.max(F.col("ts") + F.col("dur")).alias("last"))
     times = F.array_sort(F.collect_list(F.struct("depth", "ns")))
+    # a queue of some thousands that stays for a month passes 64 bits
+    weighted = F.sum(F.col("depth").cast("decimal(19,0)") * F.col("ns").cast("decimal(19,0)"))
     found = at.groupBy("track_id").agg(
-        times.alias("times"), F.sum("ns").alias("whole"), F.sum(F.col("depth") * F.col("ns")).alias("weighted"), F.max("depth").alias("max_depth"),
+        times.alias("times"), F.sum("ns").alias("whole"), weighted.alias("weighted"), F.max("depth").alias("max_depth"),
         F.sum(F.when(F.col("depth") > 0, F.col("ns")).otherwise(0)).alias("busy"), F.sum(F.when(F.col("depth") >= limit, F.col("ns")).otherwise(0)).alias("full_ns"),
     )
     # walking up the depths, the first at which a hundredth of the wanted share of the time is reached
-    reached = "aggregate(times, named_struct('ns', 0L, 'depth', CAST(NULL AS BIGINT)), (a, x) -> IF(a.depth IS NULL, named_struct('ns', a.ns + x.ns, 'depth', IF((a.ns + x.ns) * 100 >= whole * {p}, x.depth, NULL)), a), a -> a.depth)"
+    reached = "aggregate(times, named_struct('ns', 0L, 'depth', CAST(NULL AS BIGINT)), (a, x) -> IF(a.depth IS NULL, named_struct('ns', a.ns + x.ns, 'depth', IF(CAST(a.ns + x.ns AS DECIMAL(19,0)) * 100 >= CAST(whole AS DECIMAL(19,0)) * {p}, x.depth, NULL)), a), a -> a.depth)"
     begins = requests.where("kind = 'B'").groupBy("track_id", F.floor(F.col("ts") / rate_ns)).agg(F.count("*").alias("n"), F.min("device").alias("device"))
     begins = begins.groupBy("track_id").agg(F.sum("n").alias("requests"), F.max("n").alias("peak_rate"), F.min("device").alias("device"))
     joined = begins.join(found, "track_id", "left")
     return joined.select(
-        "track_id", "device", "requests", (F.col("weighted") / F.col("whole")).alias("mean_depth"), F.expr(reached.format(p=50)).alias("median_depth"), F.expr(reached.format(p=95)).alias("p95_depth"),
+        "track_id", "device", "requests", (F.col("weighted").cast("double") / F.col("whole")).alias("mean_depth"), F.expr(reached.format(p=50)).alias("median_depth"), F.expr(reached.format(p=95)).alias("p95_depth"),
         "max_depth", (F.col("busy") / F.col("whole")).alias("busy_share"), "full_ns", (F.col("requests") * 1e9 / F.col("whole")).alias("rate"), "peak_rate",
     )
 

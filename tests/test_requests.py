@@ -131,3 +131,11 @@ def test_depth_times_time_beyond_64_bits(spark):
     rows = [(k, k, "B", 7, k, "8,0") for k in range(10)] + [(10**18, 10, "E", 7, 0, "8,0")]
     frame = spark.createDataFrame(rows, "ts long, place long, kind string, track_id long, sector long, device string")
     got = requests.queue_depth(frame, 10**17).first()
+    assert (got.requests, got.max_depth, got.median_depth) == (10, 10, 10) and abs(got.mean_depth - 10) < 1e-9
+
+
+def test_average_of_a_sum_beyond_64_bits(spark):
+    rows = [(k, "block_rq_issue", "block_io", 4 * 10**18 + k) for k in range(4)]
+    frame = spark.createDataFrame(rows, "id long, name string, category string, dur long")
+    got = SCENARIOS[12].plan({"slice": frame}).first()
+    assert (got.avg_latency, got.max_latency) == (4e18, 4 * 10**18 + 3)

@@ -40,8 +40,8 @@ def _scenario(number: int, title: str, goal: str) -> Callable:
 
 
 def mean(column: str) -> Column:
-    """The average of whole numbers, from their exact sum."""
-    return F.sum(column).cast("double") / F.nullif(F.count(column), F.lit(0)).cast("double")
+    """The average of whole numbers, from their exact sum, which may pass 64 bits."""
+    return F.sum(F.col(column).cast("decimal(19,0)")).cast("double") / F.nullif(F.count(column), F.lit(0)).cast("double")
 
 
 def ranked(frame: DataFrame, by: str, *ties: str) -> DataFrame:

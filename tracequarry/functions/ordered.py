@@ -91,11 +91,15 @@ def running_sums(frame: DataFrame, by: list[str], at: str, ties: list[str], colu
     return found.drop(*[f"__{p}_{c}" for p in ("own", "from") for c in columns], "__own", "__carry", "__last", _BUCKET, _KEY)
 
 
-def last_known(frame: DataFrame, by: list[str], at: str, ties: list[str], value: Column, name: str, width: int) -> DataFrame:
-    """Adds the last value that isn't null of the same key, up to and with each row."""
+def last_known(frame: DataFrame, by: list[str], at: str, ties: list[str], value: Column, name: str, width: int, earlier: bool = False) -> DataFrame:
+    """Adds the last value that isn't null of the same key, up to and with each row, or (earlier) of rows with a lesser at."""
     frame = _bucketed(frame.withColumn("__value", value), by, at, width)
     inner = _inner(at, ties).rowsBetween(Window.unboundedPreceding, 0)
     edges = frame.groupBy(_KEY, _BUCKET).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(at, *ties))).alias("__edge"))
     edges = edges.withColumn("__carry", F.last("__edge", ignorenulls=True).over(_before())).drop("__edge")
-    found = frame.withColumn("__own", F.last("__value", ignorenulls=True).over(inner)).join(edges, [_KEY, _BUCKET], "left")
+    own = F.last("__value", ignorenulls=True).over(inner)
+    if earlier:
+        placed = F.when(F.col("__value").isNotNull(), F.struct(at, *ties, "__value"))
+        own = F.max(placed).over(Window.partitionBy(_KEY, _BUCKET).orderBy(at).rangeBetween(Window.unboundedPreceding, -1))["__value"]
+    found = frame.withColumn("__own", own).join(edges, [_KEY, _BUCKET], "left")
     return found.withColumn(name, F.coalesce("__own", "__carry")).drop("__own", "__carry", "__value", _BUCKET, _KEY)

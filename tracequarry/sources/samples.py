@@ -90,7 +90,7 @@ def interrupt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "click": ("concat('irq_handler_entry: irq=', u % 9, ' name=dev', u % 9)", "concat('irq_handler_exit: irq=', u % 9, ' ret=handled')"),
         "view": ("concat('softirq_entry: vec=', u % 5, ' [action=NET', u % 5, ']')", "concat('softirq_exit: vec=', u % 5, ' [action=NET', u % 5, ']')"),
         "purchase": ("concat('sys_enter: NR ', u % 30, ' (0, 0)')", "concat('sys_exit: NR ', u % 30, ' = 0')"),
-        "error": ("'block_rq_issue: 8,0 R 4096'", "'block_rq_complete: 8,0 R'"),
+        "error": ("concat('block_rq_issue: 8,0 R 4096 () ', event_id * 8, ' + 8 [app]')", "concat('block_rq_complete: 8,0 R () ', event_id * 8, ' + 8 [0]')"),
         "signup": ("concat('cpu_frequency: state=', u * 1000, ' cpu_id=', cpu)", "NULL"),
     }
     pick = lambda k: " ".join(f"WHEN '{e}' THEN {s[k]}" for e, s in says.items())

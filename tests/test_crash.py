@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from tracequarry.functions.store import at_hand
 from tracequarry.operators import crash
 from tracequarry.plans.rules import abnormal, stall_level, switch_meaning, verdicts
 from tracequarry.sources import crash as source
+from tracequarry.sources import samples
 
 REPORT = """CRASH ANALYSIS REPORT
 >>> Command: sys
@@ -113,3 +115,11 @@ def test_borders_of_rules(spark):
     assert [r.abnormal for r in verdicts(frame, "avg_slice_dur", "v").collect()] == [True, True, True, False, False, False, False]
     states = spark.createDataFrame([("R+",), ("S",), ("D",), ("Z",)], "s string").select(switch_meaning("s")).collect()
     assert [r[0] for r in states] == ["preempted", "sleeps", "blocked", "other"]
+
+
+def test_lines_of_many_customers_are_many_tasks(spark, tmp_path):
+    """A file of one split holds 25,000 customers; their lines are made by as many tasks as they need, and read at hand."""
+    spark.range(25_000).selectExpr("id c_custkey", "CAST(id % 25 AS INT) c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(25).selectExpr("CAST(id AS INT) n_nationkey").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    for made in (samples.report_lines(spark, str(tmp_path)), samples.nested_lines(spark, str(tmp_path))):
+        assert made.rdd.getNumPartitions() >= 4 and at_hand(made)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: What kept() has written in this process: session and path.
 _WRITTEN: list[tuple[SparkSession, str]] = []
-#: Steps of a plan that move no rows between tasks.
-_NARROW = {"Project", "Filter", "Generate", "Union", "Relation", "LocalRelation", "Range"}
+#: Steps of a plan that move no rows between tasks, and rows dealt out anew, which Spark does once for equal plans.
+_NARROW = {"Project", "Filter", "Generate", "Union", "Relation", "LocalRelation", "Range", "RepartitionByExpression"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +39,7 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
 
 
 def at_hand(frame: DataFrame) -> bool:
-    """Whether a frame is Parquet with narrow steps only, so that reading it twice costs less than storing it."""
+    """Whether a frame is Parquet with narrow steps only, or dealt out once, so that reading it twice costs less than storing it."""
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     if re.search(r"monotonically_increasing_id|\brandn?\(|\buuid\(", plan):
         return False  # the two readings would differ

@@ -73,7 +73,7 @@ def signature(column: str = "text") -> Column:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """Lines with a signature, and for each report which was first: a later one may come of handling it."""
-    found = lines.withColumn("class", signature()).where("class IS NOT NULL")
+    found = kept(lines.withColumn("class", signature()).where("class IS NOT NULL").select("report", "line_no", "class", "text"), "signatures")
     firsts = found.groupBy("report").agg(F.min("line_no").alias("first_line"))
     return found.join(firsts, "report").select("report", "line_no", "class", (F.col("line_no") == F.col("first_line")).alias("is_first"), "text")
 

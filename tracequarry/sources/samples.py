@@ -13,6 +13,8 @@ STATE_OF = "CASE event_type WHEN 'click' THEN 'R' WHEN 'view' THEN 'S' WHEN 'pur
 EPOCH_US = 1704067200000000
 #: Width of the windows' buckets: these events are minutes apart.
 DAY = 86_400 * 10**9
+#: Customers whose lines one task makes.
+DEALT = 10_000
 
 _COMM = """CASE WHEN {u} = 0 THEN 'swapper/0' WHEN {u} % 10 = 1 THEN 'qemu-kvm' WHEN {u} % 10 = 2 THEN concat('vhost-', {u})
 WHEN {u} % 10 = 3 THEN concat('kworker/', {u}, ':0') WHEN {u} % 10 = 4 THEN concat('ksoftirqd/', {u} % 8)
@@ -141,13 +143,20 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECTIONS = {"sys": 0, "ps": 10**7, "kmem -s": 2 * 10**7, "log": 3 * 10**7, "foreach bt": 4 * 10**7, "irq": 5 * 10**7, "timer": 6 * 10**7, "mod": 7 * 10**7, "kmem -i": 8 * 10**7}
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """report and k of the customers, dealt out by their number: each makes a dozen lines, and a file of few splits would put
+    millions of lines into a task. The rows are counted from the file's footers."""
+    found = _table(spark, sf_dir, "customer").selectExpr("concat('r', c_nationkey) report", "c_custkey k")
+    return found.repartition(max(1, -(-found.count() // DEALT)), "k")
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crash reports (report, line_no, text) from customers: one for each nation, with a section for each command.
 
     For each customer k there are a task, a slab cache, a kernel message, a stack, a timer, and a lock that it waits for
     and that another holds; for each nation an interrupt, a module and summaries.
     """
-    each = _table(spark, sf_dir, "customer").selectExpr("concat('r', c_nationkey) report", "c_custkey k")
+    each = _customers(spark, sf_dir)
     kinds = (
         "concat('BUG: soft lockup - CPU#', k % 8, ' stuck')", "concat('Out of memory: Kill process ', k)", "concat('INFO: task t', k, ' blocked for more than 120 seconds')",
         "concat('EXT4-fs error (device sda', k % 4, ')')", "'usb 1-1: firmware ready'", "'fault at 6b6b6b6b6b6b6b6b, kdump: saving'",
@@ -178,7 +187,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crash reports (report, line_no, text) from customers, one for each nation: open files of each task, mounts, devices and
     run queues of eight CPUs."""
-    each = _table(spark, sf_dir, "customer").selectExpr("concat('r', c_nationkey) report", "c_custkey k")
+    each = _customers(spark, sf_dir)
     address = lambda of: f"lower(concat('ffff8800', lpad(hex({of}), 8, '0')))"
     pid = f"concat('PID: ', k, '    TASK: ', {address('k')}, '  CPU: ', k % 8, '   COMMAND: \"comm', k % 20, '\"')"
     files = (

@@ -76,6 +76,30 @@ def test_pid_reads_its_partitions(spark, tmp_path):
     assert "EqualTo(prev_pid,9999)" in pushed and "EqualTo(pid,9999)" in pushed
 
 
+def test_folders_of_a_long_trace_are_few(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr("tracequarry.sources.index.FOLDERS", 8)
+    (folder / "3.txt").write_text("\n".join(_line(k, at=k * 30) for k in range(100)) + "\n")  # 50 minutes
+    trace, plain = TraceFile(spark, str(folder), str(tmp_path / "index")), TraceFile(spark, str(folder))
+    assert trace.build_index() == 4
+
+    def parts(batch):
+        return sorted(int(x.split("=")[1]) for x in os.listdir(f"{trace.index}/batch={batch}") if x.startswith("ts_part="))
+
+    (first,) = Index(spark, trace.index).batches()
+    assert parts(first) == list(range(0, 50, 8)) and not [x for x in os.listdir(trace.index) if x.startswith("_parsed")]
+    # a short file later has folders of a minute beside those of eight
+    (folder / "4.txt").write_text("\n".join(_line(k, 7777 if k == 5 else None, at=1000 + k) for k in range(90)) + "\n")
+    assert trace.build_index() == 1 and trace.info() == plain.info() | {"indexed": True}
+    (second,) = set(Index(spark, trace.index).batches()) - {first}
+    assert parts(second) == [16, 17, 18]
+    for start, end in ((0, 3000), (1019, 1021), (1085, 1088), (479, 481), (480, 480), (2000, 2100)):
+        found = trace.query().time_range(start, end)
+        assert found.count() == plain.query().time_range(start, end).count() > 0
+        assert "ts_part" in found.frame._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
+    assert trace.query().pid(7777).count() == plain.query().pid(7777).count() == 1
+    assert trace.query().pid(3).count() == plain.query().pid(3).count() > 0
+
+
 def test_info_of_an_index_reads_no_events(spark, folder, tmp_path):
     trace = TraceFile(spark, str(folder), str(tmp_path / "index"))
     want = TraceFile(spark, str(folder)).info()

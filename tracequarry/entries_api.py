@@ -66,7 +66,7 @@ def src7_info_of_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_text("src8_index", f"SELECT ts // {60 * SECOND} AS ts_part, count(*) AS events FROM (SELECT ts FROM sw UNION ALL SELECT ts FROM wk) WHERE ts BETWEEN {DAY} AND {3 * DAY} GROUP BY 1")
 def src8_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _trace(spark, sf_dir, True)
-    return read_events(spark, trace.index, DAY, 3 * DAY).groupBy(F.col("ts_part").cast("long").alias("ts_part")).agg(F.count("*").alias("events"))
+    return read_events(spark, trace.index, DAY, 3 * DAY).groupBy(F.expr(f"ts div {60 * SECOND}").alias("ts_part")).agg(F.count("*").alias("events"))
 
 
 @_text("t3_summary", f"""{_ALL} SELECT 'event_count: ' || count(*) AS line FROM al UNION ALL SELECT 'cpu_count: ' || count(DISTINCT cpu) FROM al UNION ALL SELECT 'process_count: ' || count(DISTINCT pid) FROM al

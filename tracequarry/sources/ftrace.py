@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .index import Index
+from .index import PARTITION_NS, Index
 
 # The forms of a trace line and of the fields of its message.
 LINE = r"(?s)^\s*(.*?)-(\d+)\s+\[(\d+)\]\s+(\S{4,5})\s+([\d.]+):\s+(.*)$"
@@ -23,9 +23,6 @@ FIELDS = {
 }
 WAKE_FIELDS = {"wake_comm": (r"(?:^|\s)comm=(\S+)", "string"), "wake_pid": (r"(?:^|\s)pid=(\d+)", "long")}
 
-#: Nanoseconds of a partition of stored events.
-PARTITION_NS = 60 * 10**9
-
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value and place of each line of a path or of several; place sorts as the lines stand in the files."""
@@ -67,17 +64,21 @@ def parse_switches(lines: DataFrame) -> DataFrame:
     return found.select(*[_field(FIELDS[n][0], "string", "value").alias(n) for n in wanted], cpu, at, "place")
 
 
-def write_events(events: DataFrame, path: str, partition_ns: int = PARTITION_NS) -> None:
-    """Stores events as Parquet by time, sorted by cpu and ts, so that scans skip by partition and by statistics."""
-    by_time = events.withColumn("ts_part", F.floor(F.col("ts") / partition_ns))
+def write_events(events: DataFrame, path: str, partition_ns: int = PARTITION_NS, width: int = 1) -> None:
+    """Stores events as Parquet by time, sorted by cpu and ts, so that scans skip by partition and by statistics.
+
+    A folder holds width partitions of time and is named by the first.
+    """
+    by_time = events.withColumn("ts_part", F.floor(F.col("ts") / (partition_ns * width)) * width)
     by_time.repartitionByRange("ts_part", "cpu", "ts").sortWithinPartitions("ts_part", "cpu", "ts").write.mode("overwrite").partitionBy("ts_part").parquet(path)
 
 
 def within(events: DataFrame, start: int | None = None, end: int | None = None, partition_ns: int = PARTITION_NS) -> DataFrame:
     """Events with start <= ts <= end; where they have ts_part, as stored ones do, whole partitions outside are not read."""
     stored = "ts_part" in events.columns
+    width = events.schema["ts_part"].metadata.get("width", 1) if stored else 1
     if start is not None:
-        events = events.where((F.col("ts_part") >= start // partition_ns) & (F.col("ts") >= start) if stored else F.col("ts") >= start)
+        events = events.where((F.col("ts_part") >= start // (partition_ns * width) * width) & (F.col("ts") >= start) if stored else F.col("ts") >= start)
     if end is not None:
         events = events.where((F.col("ts_part") <= end // partition_ns) & (F.col("ts") <= end) if stored else F.col("ts") <= end)
     return events

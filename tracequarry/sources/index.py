@@ -3,6 +3,9 @@
 A batch is what was indexed at once. The list of files that batches come from is written last, and only listed batches are
 read, so a build that broke off leaves nothing behind that counts. A file that is new becomes a batch of its own; where a
 file changed or went, all is indexed anew.
+
+A batch lies in folders of time: of a minute each, or of 2, 4, 8 minutes and so on where these would be too many. ts_part is
+the first minute of a folder.
 """
 
 from __future__ import annotations
@@ -15,10 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+#: Nanoseconds of a partition of stored events.
+PARTITION_NS = 60 * 10**9
+#: Folders of time that a batch has at most.
+FOLDERS = 1_000
 #: Partitions up to which a query names those that hold a pid.
 NAMED = 10_000
 
 
+def width_of(first: int | None, last: int | None) -> int:
+    """Minutes of a folder of events from a time to another, a power of two."""
+    width = 1
+    while first is not None and last // (width * PARTITION_NS) - first // (width * PARTITION_NS) >= FOLDERS:
+        width *= 2
+    return width
+
+
 class Index:
     """The folder of an index; paths are any that Spark's file systems open."""
 
@@ -76,14 +91,25 @@ class Index:
     def batches(self) -> list[str]:
         return sorted({r["batch"] for r in self._listing() or ()})
 
+    def _schema(self) -> StructType:
+        """The columns of events and ts_part, whose metadata have the width of the widest folders (none: a minute)."""
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/_schema").first()[0]))
+        return schema if "ts_part" in schema.names else schema.add("ts_part", LongType())
+
     def events(self) -> DataFrame:
-        """Events of all batches, with ts_part."""
+        """Events of all batches, with ts_part; its metadata have the width of the widest folders if they aren't of a minute."""
         paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/_schema").first()[0]))
-        return self.spark.read.schema(schema.add("ts_part", LongType()).add("batch", "string")).option("basePath", self.path).parquet(*paths).drop("batch")
+        schema = self._schema()
+        said = schema["ts_part"].metadata
+        found = self.spark.read.schema(schema.add("batch", "string")).option("basePath", self.path).parquet(*paths).drop("batch")
+        return found.withMetadata("ts_part", said) if said.get("width", 1) > 1 else found
+
+    def update(self, trace: str, parse: Callable[[list[str]], DataFrame], write: Callable[..., None], force: bool = False) -> int:
+        """Indexes the files of a trace that aren't; returns how many were read.
 
-    def update(self, trace: str, parse: Callable[[list[str]], DataFrame], write: Callable[[DataFrame, str], None], force: bool = False) -> int:
-        """Indexes the files of a trace that aren't; returns how many were read."""
+        The text is parsed once, into a folder that goes at the end: how long the trace is, what ranges it is dealt out in,
+        and the events themselves are three readings.
+        """
         now, known = self.listed(trace), self.files()
         if force or known is None or any(now.get(f) != x for f, x in known.items()):
             place, system = self._place(self.path)
@@ -93,18 +119,25 @@ class Index:
         if not fresh:
             return 0
         batch = uuid.uuid4().hex
-        events = parse(fresh)
-        write(events, f"{self.path}/batch={batch}")
-        stored = self.spark.read.schema(StructType([*events.schema.fields]).add("ts_part", LongType())).parquet(f"{self.path}/batch={batch}")
+        parsed, events = f"{self.path}/_parsed-{batch}", parse(fresh)
+        events.write.parquet(parsed)
+        events = self.spark.read.schema(events.schema).parquet(parsed)
+        width = width_of(*events.agg(F.min("ts"), F.max("ts")).first())
+        write(events, f"{self.path}/batch={batch}", width=width)
+        widest = max(width, self._schema()["ts_part"].metadata.get("width", 1) if known else 1)
+        schema = StructType([*events.schema.fields]).add("ts_part", LongType(), metadata={"width": widest})
+        stored = self.spark.read.schema(schema).parquet(f"{self.path}/batch={batch}")
         name = F.lit(batch).alias("batch")
         pids = F.explode(F.array_distinct(F.array("pid", "prev_pid", "next_pid")))
         seen = stored.select("ts_part", F.col("pid").alias("__own"), pids.alias("pid")).where("pid IS NOT NULL").groupBy("pid", "ts_part").agg(F.max(F.col("pid") == F.col("__own")).alias("own"))
         seen.select("pid", "ts_part", "own", name).repartitionByRange("pid").sortWithinPartitions("pid").write.mode("append").parquet(f"{self.path}/_pids")
         totals = stored.groupBy("ts_part", "event", "cpu").agg(F.count("*").alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last"))
         totals.select("*", name).write.mode("append").parquet(f"{self.path}/_totals")
-        self.spark.createDataFrame([(events.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_schema")
+        self.spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_schema")
         rows = [(batch, f, *now[f]) for f in fresh]
         self.spark.createDataFrame(rows, "batch string, file string, length long, changed long").coalesce(1).write.mode("append").parquet(f"{self.path}/_files")
+        place, system = self._place(parsed)
+        system.delete(place, True)
         return len(fresh)
 
     def totals(self) -> DataFrame:

@@ -66,6 +66,27 @@ def test_odd_texts_by_merges():
     assert [Decoder(vocab).decode(x) for x in found] == library.decode(found)
 
 
+def test_words_of_many_portions_are_looked_for_once(monkeypatch):
+    """Words that several portions hold stay known, and a step between nodes is looked up in the pieces' parts once."""
+    texts = [" ".join(f"{k * 2654435761 % 10**9:x}" for k in range(at, at + 50_000)) for at in range(0, 150_000, 50_000)]
+    encoder, learned, steps = Encoder(vocabulary(DATA)), [], []
+    learn, step = encoder.learn, encoder.step
+    monkeypatch.setattr(encoder, "learn", lambda words: (learned.append(len(words)), learn(words)))
+    monkeypatch.setattr(encoder, "step", lambda node, character: (steps.append((node.text, character)), step(node, character))[1])
+    for _ in range(2):
+        for text in texts:
+            list(encoder.encode([text]))
+    assert learned[:3] == [50_000] * 3 and sum(learned[3:]) == 0
+    assert len(steps) == len(set(steps)) < 100_000
+
+
+def test_few_steps_and_pairs_remembered(monkeypatch):
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=MODEL), odd_texts(200)
+    monkeypatch.setattr("tracequarry.llm.pieces.STEPS", 7)
+    monkeypatch.setattr("tracequarry.llm.pieces.PAIRS", 5)
+    assert ids_of(Encoder(vocabulary(DATA)), texts) == library.encode(texts)
+
+
 def test_best_sums_by_unigram_scores():
     """Against all segmentations of short words."""
     vocab = vocabulary(as_unigram(DATA))

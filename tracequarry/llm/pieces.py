@@ -28,8 +28,8 @@ MARK = "▁"
 #: Vocabulary file of the queries, as /opt/tokenizers/README.md describes it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a portion of texts, characters of words (each WORD more than it has) and pairs that a process remembers,
-#: ids of a batch that goes out.
-PORTION, HELD, WORD, PAIRS, IDS = 1 << 20, 3 << 20, 16, 1 << 18, 1 << 19
+#: steps between nodes that it does, ids of a batch that goes out.
+PORTION, HELD, WORD, PAIRS, STEPS, IDS = 1 << 20, 12 << 20, 16, 1 << 18, 1 << 18, 1 << 19
 #: What an unknown character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -40,7 +40,7 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Vocabulary:
     """Names of the pieces by id (empty: not a piece), their scores, the ids of bytes (-1: none), and the file's settings.
 
-    ends has every end of a piece with its id, or -1 if it is not a piece itself.
+    parts has every substring of a piece.
     """
 
     names: list[str]
@@ -57,7 +57,7 @@ class Vocabulary:
             raise ValueError("a piece reaches over the start of a word")
         if len(self.names) > 1 << 20:
             raise ValueError("a vocabulary has 1,048,576 pieces at most")
-        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        self.parts = {p[k:n] for p in self.ids for n in range(1, len(p) + 1) for k in range(n)}
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
 
 
@@ -119,8 +119,19 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
     return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
 
 
+class Node:
+    """The longest part of a piece that ends a prefix: its text, length and id of the pieces that end it, the longest first,
+    and the nodes after it by the next character, as far as they are known."""
+
+    __slots__ = ("text", "found", "after")
+
+    def __init__(self, text: str, found: list[tuple[int, int]]):
+        self.text, self.found, self.after = text, found, {}
+
+
 class Encoder:
-    """Finds the pieces of marked words; it remembers words of HELD characters together, and up to PAIRS pairs of pieces.
+    """Finds the pieces of marked words; it remembers words of HELD characters together, up to PAIRS pairs of pieces and STEPS
+    steps between nodes, of which there are as many as the pieces have parts at most.
 
     A text without spaces is one word, so what is remembered is bounded by characters. Within the search a piece is its
     id, and a character without a piece is ~ of its code point.
@@ -131,6 +142,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.held = 0
         self.pairs: dict[int, bool] = {}
+        self.nodes, self.steps = {"": Node("", [])}, 0
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: of neighbours that form a piece, the best-scored, leftmost, first."""
@@ -153,43 +165,65 @@ class Encoder:
         first = names[before] if before >= 0 else chr(~before)
         return self.merged(first + names[piece]) == [first, names[piece]]
 
-    def merge_step(self, word: str, end: int, lasts: list[int], starts: list[int]) -> None:
-        """Appends the last piece of word[:end] and its start: the longest one that fits what ends where it starts.
+    def step(self, node: Node, character: str) -> Node:
+        """The node after a character; nodes that are known already are reached by node.after alone."""
+        text, parts = node.text + character, self.vocab.parts
+        while text and text not in parts:
+            text = text[1:]
+        found = self.nodes.get(text)
+        if found is None:
+            ids = self.vocab.ids
+            found = self.nodes[text] = Node(text, [(len(text) - k, ids[text[k:]]) for k in range(len(text)) if text[k:] in ids])
+        if self.steps >= STEPS:
+            for other in self.nodes.values():
+                other.after.clear()
+            self.steps = 0
+        self.steps += 1
+        node.after[character] = found
+        return found
+
+    def merge_steps(self, word: str, shared: int, lasts: list[int], starts: list[int], nodes: list[Node]) -> None:
+        """Appends for each end of word after shared its node, the last piece of word[:end] and that one's start: the longest
+        piece that fits what ends where it starts.
 
         A file of merges has an order and no scores to add: what the prefixes share is the one path that merging takes, and
-        no sum is carried on. score_step() is the same for a file of scores.
+        no sum is carried on. score_steps() is the same for a file of scores.
         """
-        ends, found, start = self.vocab.ends, [], end - 1
-        while start >= 0 and (piece := ends.get(word[start:end])) is not None:
-            if piece >= 0:
-                found.append((start, piece))
-            start -= 1
-        pairs = self.pairs
-        for start, piece in reversed(found):
-            key = (lasts[start] << 20) + piece if start else (1 << 60) + piece
-            fits = pairs.get(key)
-            if fits is None:
-                if len(pairs) >= PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = self.fits(lasts[start] if start else None, piece)
-            if fits:
-                lasts.append(piece)
-                starts.append(start)
-                return
-        lasts.append(~ord(word[end - 1]))
-        starts.append(end - 1)
-
-    def score_step(self, word: str, end: int, lasts: list[int], starts: list[int], sums: list[float]) -> None:
-        """Appends the last piece of the best path to word[:end], its start and the path's sum of scores."""
-        vocab, start = self.vocab, end - 1
-        best = (sums[start] + vocab.worst, ~ord(word[start]), start)
-        while start >= 0 and (piece := vocab.ends.get(word[start:end])) is not None:
-            if piece >= 0 and (start == end - 1 or sums[start] + vocab.scores[piece] > best[0]):
-                best = (sums[start] + vocab.scores[piece], piece, start)
-            start -= 1
-        sums.append(best[0])
-        lasts.append(best[1])
-        starts.append(best[2])
+        node, pairs = nodes[-1], self.pairs
+        for end, character in enumerate(word[shared:], shared + 1):
+            node = node.after.get(character) or self.step(node, character)
+            for size, piece in node.found:
+                start = end - size
+                key = (lasts[start] << 20) + piece if start else (1 << 60) + piece
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    fits = pairs[key] = self.fits(lasts[start] if start else None, piece)
+                if fits:
+                    lasts.append(piece)
+                    starts.append(start)
+                    break
+            else:
+                lasts.append(~ord(character))
+                starts.append(end - 1)
+            nodes.append(node)
+
+    def score_steps(self, word: str, shared: int, lasts: list[int], starts: list[int], nodes: list[Node], sums: list[float]) -> None:
+        """Appends for each end of word after shared its node, the last piece of the best path to word[:end], its start and the
+        path's sum of scores."""
+        node, vocab = nodes[-1], self.vocab
+        for end, character in enumerate(word[shared:], shared + 1):
+            node = node.after.get(character) or self.step(node, character)
+            best = (sums[end - 1] + vocab.worst, ~ord(character), end - 1)
+            for size, piece in reversed(node.found):
+                start = end - size
+                if size == 1 or sums[start] + vocab.scores[piece] > best[0]:
+                    best = (sums[start] + vocab.scores[piece], piece, start)
+            sums.append(best[0])
+            lasts.append(best[1])
+            starts.append(best[2])
+            nodes.append(node)
 
     def spelled(self, piece: int) -> list[int]:
         """The ids of a piece: its own, or those of an unknown character's bytes."""
@@ -201,17 +235,16 @@ class Encoder:
     def learn(self, words: Iterable[str]) -> None:
         """Encodes distinct words in the order of their trie, depth first: what a word shares with the last one stays."""
         before, merges = "", self.vocab.merges
-        lasts, starts, sums = [0], [0], [0.0]
+        lasts, starts, sums, nodes = [0], [0], [0.0], [self.nodes[""]]
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del lasts[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                if merges:
-                    self.merge_step(word, end, lasts, starts)
-                else:
-                    self.score_step(word, end, lasts, starts, sums)
+            del lasts[shared + 1 :], starts[shared + 1 :], sums[shared + 1 :], nodes[shared + 1 :]
+            if merges:
+                self.merge_steps(word, shared, lasts, starts, nodes)
+            else:
+                self.score_steps(word, shared, lasts, starts, nodes, sums)
             path, at = array("i"), len(word)
             while at:
                 if lasts[at] >= 0:
@@ -337,7 +370,8 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
     rows have a row each; other columns are ignored, and an empty table gives an empty one. Very long texts are encoded
     whole. Both ways are gone in one pass, so that a task has one Python process.
     """
-    byte_ids = np.array(vocabulary(model).byte_ids, np.int32)
+    vocab = vocabulary(model)
+    spells = np.isin(np.arange(len(vocab.names)), vocab.byte_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
@@ -347,7 +381,7 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                 rows = []
                 for text, data in zip(texts, encoder.encode(texts), strict=True):
                     ids = np.frombuffer(data, np.int32)
-                    rows.append((len(ids), int(np.isin(ids, byte_ids).sum()), decoder.decode(ids.tolist()) == text, ids))
+                    rows.append((len(ids), int(np.count_nonzero(spells[ids])), decoder.decode(ids.tolist()) == text, ids))
                 n, spelled, lossless, ids = zip(*rows, strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(ids)))
                 columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(spelled, pa.int64()), pa.array(lossless), lists]

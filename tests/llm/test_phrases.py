@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,16 @@ def test_levels_of_buckets(spark, monkeypatch):
         assert (phrases._frequent_buckets(layout, 20).cells == want).all()
     assert want.any()
     layout.unpersist()
+
+
+@pytest.mark.parametrize("most", [2, 1000])
+def test_a_task_adds_up_its_shards(most):
+    """Counts of several shards leave a task as a row for each phrase, or are passed on when many are held; nothing is lost."""
+    own = [[("en", "a b", 2, 3), ("de", "a b", 2, 1)], [("en", "a b", 2, 4)], [("en", "c", 1, 5), ("en", "a b", 2, 1)], [("fr", "d e f", 3, 7)]]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(phrases._COUNTS.names, r, strict=True)) for r in rows], phrases._COUNTS) for rows in own]
+    found = [tuple(r.values()) for b in phrases._summed(iter(batches), most) for r in b.to_pylist()]
+    total = Counter()
+    for lang, phrase, size, n in found:
+        total[lang, phrase, size] += n
+    assert total == {("en", "a b", 2): 8, ("de", "a b", 2): 1, ("en", "c", 1): 5, ("fr", "d e f", 3): 7}
+    assert len(found) == (4 if most == 1000 else len(found)) and list(phrases._summed(iter([]), most)) == []

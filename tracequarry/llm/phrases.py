@@ -40,6 +40,8 @@ KEY_BITS, MOST_BITS = 32, 1 << 26
 LOAD, LEAST_BUCKETS, MOST_BUCKETS, SLICE = 8, 1 << 16, 1 << 27, 1 << 16
 #: Filled buckets of a slice, over all shards, that are added at once (3 to 6 bytes each), and rows of sums that are.
 GROUP, FAN = 1 << 22, 64
+#: Counts by name that a task adds up before they go out.
+ADDED = 1 << 18
 #: Candidates of a language that are sorted in one task.
 SORTED = 1 << 20
 
@@ -350,6 +352,27 @@ def _rows(lang: str, names: pa.Array, phrases: np.ndarray, n: np.ndarray) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), text, pa.array(np.full(len(some), some.shape[1], np.int32)), pa.array(n[at : at + 50_000])], schema=_COUNTS)
 
 
+def _summed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Adds up what a task's shards count, so that a phrase leaves a task once; whenever most phrases are held, they go out."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 2 * most:
+            held = [_added_up(held)]
+            n = held[0].num_rows
+            if n >= most:
+                yield from held
+                held, n = [], 0
+    if n:
+        yield _added_up(held)
+
+
+def _added_up(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    found = pa.Table.from_batches(batches, _COUNTS).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+    return found.rename_columns(["lang", "phrase", "size", "n"]).select(_COUNTS.names).cast(_COUNTS).combine_chunks().to_batches()[0]
+
+
 # --- phrases and their scores ----------------------------------------------------------------------------------------
 
 
@@ -360,7 +383,8 @@ def _frequent(layout: DataFrame, least: int, longest: int) -> DataFrame:
         return spark.createDataFrame([], COUNTS)
 
     def summed(size: int, longest: int, words: Keys, pairs: Keys, triples: Keys | None = None) -> DataFrame:
-        counts = layout.mapInArrow(given_back(partial(_counted, size=size, longest=longest, words=words, pairs=pairs, triples=triples, bundle=BUNDLE)), COUNTS)
+        count, most = partial(_counted, size=size, longest=longest, words=words, pairs=pairs, triples=triples, bundle=BUNDLE), ADDED
+        counts = layout.mapInArrow(given_back(lambda batches: _summed(count(batches), most)), COUNTS)
         return saved(counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-counts")
 
     often = _frequent_buckets(layout, least)

@@ -213,10 +213,13 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, Scorer]:
     worded = docs.select("text", F.xxhash64("text").alias("h")).where(r"text RLIKE '(?U)\\S'")
     share = min(1.0, fit_rows / max(1, worded.agg(F.approx_count_distinct("h", 0.02)).first()[0]))
     chosen = worded.where(F.abs(F.col("h") % 1_000_003) < share * 1_000_003).groupBy("h").agg(F.min("text").alias("text"))
-    drawn = _map(chosen, lambda i, b, x: (code(votes(x)), *hashed(x)), "pattern int, at array<int>, value array<double>").collect()
-    drawn = sorted(map(tuple, drawn))
-    good = labels.posterior(_pattern_rows([r[0] for r in drawn])) if drawn else np.zeros(0)
-    return labels, fit_scorer([(np.array(r[1], np.int64), np.array(r[2])) for r in drawn], good)
+    drawn = _map(chosen, lambda i, b, x: (code(votes(x)), *hashed(x)), "pattern int, at array<int>, value array<double>").toArrow()
+    codes, at, value = (drawn.column(c).combine_chunks() for c in ("pattern", "at", "value"))
+    rows = [(codes[i].as_py(), at[i].values.to_numpy(), value[i].values.to_numpy()) for i in range(len(codes))]
+    # the order of the numbers themselves: neither buckets nor values are negative
+    rows.sort(key=lambda r: (r[0], r[1].astype(">i4").tobytes(), r[2].astype(">f8").tobytes()))
+    good = labels.posterior(_pattern_rows([r[0] for r in rows])) if rows else np.zeros(0)
+    return labels, fit_scorer([r[1:] for r in rows], good)
 
 
 def quality_scores(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,7 +12,8 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star step and one small-star step over edges (hi, lo) with hi > lo."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo"), F.col("hi")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    # repeats do no harm here, as there are no more rows than edges, and go at the end
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     low = large.groupBy("hi").agg(F.min("lo").alias("m"))
     hung = large.join(low, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return hung.union(low.select("hi", F.col("m").alias("lo"))).distinct()

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tracequarry.functions import ordered
 from tracequarry.functions.store import at_hand
 from tracequarry.operators import crash
 from tracequarry.plans.rules import abnormal, stall_level, switch_meaning, verdicts
@@ -123,3 +124,15 @@ def test_lines_of_many_customers_are_many_tasks(spark, tmp_path):
     spark.range(25).selectExpr("CAST(id AS INT) n_nationkey").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
     for made in (samples.report_lines(spark, str(tmp_path)), samples.nested_lines(spark, str(tmp_path))):
         assert made.rdd.getNumPartitions() >= 4 and at_hand(made)
+
+
+def test_tasks_of_a_window_grow_with_the_rows(spark, monkeypatch):
+    """More lines come to more tasks than there are shuffle partitions, with the values of the plain window."""
+    monkeypatch.setattr(ordered, "SORTED", 50)
+    monkeypatch.setattr(source, "LINES", 20)
+    lines = spark.range(4000).selectExpr("concat('r', id % 3) report", "id line_no", "IF(id % 7 = 0, concat('>>> Command: c', id), 'x') text").repartition(3)
+    found = source.sections(lines)
+    want = {(r, n): max((k for k in range(n, max(-1, n - 22), -1) if k % 7 == 0 and k % 3 == n % 3), default=None) for n in range(4000) for r in [f"r{n % 3}"]}
+    assert {(r.report, r.line_no): r.section_line for r in found.collect()} == want
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 30 and max(by_task) < 400

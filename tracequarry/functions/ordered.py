@@ -7,7 +7,8 @@ row for each key and bucket that has rows. Results are those of the plain window
 Both the windows and the edges read the rows. So a function stores what it gets first, unless that is Parquet with narrow
 steps only: the first link of a chain over stored events stores nothing, each further one its input once, and plans don't
 double with each link. Rows are shuffled once, by key and bucket; the edges are summed before their shuffle, and the join
-finds the rows dealt as it needs them.
+finds the rows dealt as it needs them. last_known() deals them into more tasks the more rows there are: Spark's number of
+shuffle partitions is fixed, and a task would sort a share of all rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .store import kept_once
 
 _BUCKET, _KEY = "__bucket", "__key"
+#: Rows that a task sorts for last_known(), on the average.
+SORTED = 250_000
 
 
 def _bucketed(frame: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
@@ -26,6 +29,12 @@ def _bucketed(frame: DataFrame, by: list[str], at: str, width: int) -> DataFrame
     return kept_once(frame, "ordered").withColumns({_KEY: key, _BUCKET: F.floor(F.col(at) / F.lit(width))})
 
 
+def _dealt(frame: DataFrame) -> DataFrame:
+    """frame of _bucketed() by key and bucket, in tasks of SORTED rows where shuffle partitions would hold more."""
+    tasks = -(-frame.count() // SORTED)
+    return frame.repartition(tasks, _KEY, _BUCKET) if tasks > int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame
+
+
 def _inner(at: str, ties: list[str]):
     return Window.partitionBy(_KEY, _BUCKET).orderBy(at, *ties)
 
@@ -94,6 +103,7 @@ def running_sums(frame: DataFrame, by: list[str], at: str, ties: list[str], colu
 def last_known(frame: DataFrame, by: list[str], at: str, ties: list[str], value: Column, name: str, width: int, earlier: bool = False) -> DataFrame:
     """Adds the last value that isn't null of the same key, up to and with each row, or (earlier) of rows with a lesser at."""
     frame = _bucketed(frame.withColumn("__value", value), by, at, width)
+    dealt = _dealt(frame)
     inner = _inner(at, ties).rowsBetween(Window.unboundedPreceding, 0)
     edges = frame.groupBy(_KEY, _BUCKET).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(at, *ties))).alias("__edge"))
     edges = edges.withColumn("__carry", F.last("__edge", ignorenulls=True).over(_before())).drop("__edge")
@@ -101,5 +111,5 @@ def last_known(frame: DataFrame, by: list[str], at: str, ties: list[str], value:
     if earlier:
         placed = F.when(F.col("__value").isNotNull(), F.struct(at, *ties, "__value"))
         own = F.max(placed).over(Window.partitionBy(_KEY, _BUCKET).orderBy(at).rangeBetween(Window.unboundedPreceding, -1))["__value"]
-    found = frame.withColumn("__own", own).join(edges, [_KEY, _BUCKET], "left")
+    found = dealt.withColumn("__own", own).join(edges, [_KEY, _BUCKET], "left")
     return found.withColumn(name, F.coalesce("__own", "__carry")).drop("__own", "__carry", "__value", _BUCKET, _KEY)
